@@ -1,14 +1,14 @@
 """Obligations matched to resources, and purposes matched to groups.
 
 A selector applies to a resource when no exclude glob hits, every required tag is equal, and some
-include glob hits (or none is given but tags are). Instead of testing all pairs, each selector is
-routed to one equality key, candidates come from hash joins, and only candidates are tested:
-
-* tags    - the rarest required ``key=value`` pair against the tags of the resource;
-* prefix  - the literal text of an include glob up to its last colon (or all of it, when it has no
-            wildcard) against the prefixes of the urn;
-* rest    - globs without such text. The distinct ones are packed into blocks of at most
-            ``block_size`` patterns, and each resource meets each block.
+include glob hits (or none is given but tags are). Instead of testing all pairs, every selector gets
+equality keys that a matching resource must own, and one hash join gives the candidates to test:
+
+* a tag key    - one required ``key=value`` pair, the rarest one when there are several;
+* prefix keys  - the literal text of each include glob up to its last colon (or all of it, when it
+                 has no wildcard), against the prefixes of the urn;
+* a spread key - for globs without such text. The selector is repeated for a fixed number of spread
+                 numbers and each resource belongs to one of them, so no key collects all resources.
 """
 
 from __future__ import annotations
@@ -17,139 +17,119 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govspark.functions import glob_regex
+from govspark.session import materialize
 
 _WILDCARD = r"[*?\[]"
 _STRINGS = "array<string>"
+_TAG, _PREFIX, _SPREAD = "t:", "p:", "s:"
+
+
+def _pair(tag: Column) -> Column:
+    return F.concat(F.lit(_TAG), tag["key"], F.lit("\u0001"), tag["value"])
+
+
+def _literal_prefix(pattern: Column) -> Column:
+    """Text of a glob that every match must start with: all of it, or up to the last colon."""
+    literal = F.regexp_extract(pattern, r"^([^*?\[]*)", 1)
+    return F.when(pattern.rlike(_WILDCARD), F.regexp_extract(literal, r"^(.*:)", 1)).otherwise(pattern)
+
+
+def _is_selective(prefix: Column) -> Column:
+    """A prefix is worth a key when it names more than the scheme of the urn."""
+    return F.length(prefix) - F.length(F.replace(prefix, F.lit(":"), F.lit(""))) >= 2
 
 
 def _selectors(obligations: DataFrame) -> DataFrame:
-    """Lean selector rows with ready-made regexes; selectors that can never match are dropped."""
+    """Lean selector rows with ready-made regexes and the pairs or prefixes that can serve as keys.
+
+    Selectors that can never match are dropped. A tag required to be '' also matches a missing tag, so
+    it is no key.
+    """
     target = F.col("target")
     include = F.coalesce(target["include_patterns"], F.array().cast(_STRINGS))
     exclude = F.coalesce(target["exclude_patterns"], F.array().cast(_STRINGS))
     tags = F.coalesce(F.map_entries(target["match_tags"]), F.array().cast("array<struct<key:string,value:string>>"))
-    return obligations.select(
+    prefixes = F.transform(include, lambda p: _literal_prefix(p))
+    pairs = F.transform(F.filter(tags, lambda t: t["value"] != ""), _pair)
+    by_prefix = (F.size(include) > 0) & F.forall(prefixes, _is_selective)
+    keys = F.when(F.size(pairs) > 0, pairs).when(
+        by_prefix, F.array_distinct(F.transform(prefixes, lambda p: F.concat(F.lit(_PREFIX), p)))
+    )
+    return obligations.filter((F.size(include) > 0) | (F.size(tags) > 0)).select(
         F.col("project_id").alias("scope"),
         "ord",
-        F.array_distinct(include).alias("include"),
-        F.transform(include, glob_regex).alias("include_rx"),
-        F.transform(exclude, glob_regex).alias("exclude_rx"),
+        F.transform(include, lambda p: glob_regex(p)).alias("include_rx"),
+        F.transform(exclude, lambda p: glob_regex(p)).alias("exclude_rx"),
         tags.alias("tags"),
-    ).filter((F.size("include") > 0) | (F.size("tags") > 0))
-
-
-def _tag_ok(resource_tags: Column, required: Column) -> Column:
-    """Text equality in which a missing tag counts as the empty string."""
-    return F.forall(
-        required, lambda t: F.coalesce(F.try_element_at(resource_tags, t["key"]), F.lit("")) == t["value"]
+        F.coalesce(keys, F.array().cast(_STRINGS)).alias("keys"),
+        (F.size(pairs) > 1).alias("choose"),
     )
 
 
-def _verified(candidates: DataFrame) -> DataFrame:
-    """Candidates that pass scope, excludes, tags and includes."""
-    urn = F.col("urn")
-    hit = lambda rx: F.rlike(urn, rx)
-    return candidates.filter(
-        (F.col("scope").isNull() | (F.col("scope") == F.col("project_id")))
-        & ~F.exists("exclude_rx", hit)
-        & _tag_ok(F.col("r_tags"), F.col("tags"))
-        & ((F.size("include_rx") == 0) | F.exists("include_rx", hit))
-    ).select("project_id", "urn", "ord")
-
-
-def _tag_route(resources: DataFrame, selectors: DataFrame) -> DataFrame:
-    pair = lambda t: F.concat(t["key"], F.lit("\u0001"), t["value"])
-    owned = resources.withColumn("pair", F.explode(F.transform(F.map_entries("r_tags"), pair)))
-    wanted = selectors.withColumn(
-        "pair", F.explode(F.transform(F.filter("tags", lambda t: t["value"] != ""), pair))
-    )
-    # How many resources own each wanted pair; the rarest pair of a selector becomes its key.
-    frequency = (
-        resources.select(F.explode(F.transform(F.map_entries("r_tags"), pair)).alias("pair"))
-        .join(wanted.select("pair").distinct(), "pair", "left_semi")
-        .groupBy("pair")
-        .agg(F.count("*").alias("n"))
-    )
-    keyed = (
-        wanted.join(frequency, "pair")
+def _rarest(resources: DataFrame, selectors: DataFrame) -> DataFrame:
+    """Selectors with several pairs, cut down to the pair that the fewest resources own."""
+    several = selectors.filter("choose")
+    wanted = several.select("ord", F.explode("keys").alias("key"))
+    owned = resources.select(F.explode(F.transform(F.map_entries("r_tags"), _pair)).alias("key"))
+    counts = owned.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    # A pair that no resource owns gets n = 0: its selector matches nothing and joins with nothing.
+    best = (
+        wanted.join(counts, "key", "left")
         .groupBy("ord")
-        .agg(
-            F.count("*").alias("pairs_found"),
-            F.min_by(
-                F.struct("pair", "scope", "include", "include_rx", "exclude_rx", "tags"), F.struct("n", "pair")
-            ).alias("s"),
-        )
-        # A selector with a pair that no resource owns matches nothing.
-        .filter(F.col("pairs_found") == F.size(F.filter("s.tags", lambda t: t["value"] != "")))
-        .select("ord", "s.*")
+        .agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("key").alias("k"))).alias("best"))
     )
-    return _verified(owned.join(keyed, "pair"))
+    return several.join(best, "ord").withColumn("keys", F.array("best")).drop("best")
 
 
-def _literal_prefix(pattern: Column) -> Column:
-    """Text of a glob that every match must start with: all of it, or up to the last colon."""
-    literal = F.regexp_extract(pattern, r"^([^*?\[]*)", 1)
-    return F.when(pattern.rlike(_WILDCARD), F.regexp_extract(literal, r"^(.*:)", 1)).otherwise(pattern)
-
-
-def _is_selective(prefix: Column) -> Column:
-    """A prefix is worth a hash key when it names more than the scheme of the urn."""
-    return F.length(prefix) - F.length(F.replace(prefix, F.lit(":"), F.lit(""))) >= 2
+def _owns(urn: Column, key: Column) -> Column:
+    text = F.substring(key, len(_PREFIX) + 1, 2**30)
+    return F.when(text.endswith(":"), urn.startswith(text)).otherwise(urn == text)
 
 
-def _prefix_route(resources: DataFrame, selectors: DataFrame) -> DataFrame:
-    keyed = selectors.withColumn("prefix", F.explode(F.array_distinct(F.transform("include", _literal_prefix))))
-    segments = F.split("urn", ":")
-    ends = F.sequence(F.lit(1), F.greatest(F.size(segments) - 1, F.lit(1)))
-    prefixes = F.transform(ends, lambda n: F.concat(F.array_join(F.slice(segments, F.lit(1), n), ":"), F.lit(":")))
-    owned = resources.withColumn("prefix", F.explode(F.array_distinct(F.concat(prefixes, F.array("urn")))))
-    # Several prefixes of one selector may reach the same resource.
-    return _verified(owned.join(keyed, "prefix")).distinct()
-
-
-def _rest_route(resources: DataFrame, selectors: DataFrame, block_size: int) -> DataFrame:
-    patterns = selectors.select(F.explode("include").alias("pattern")).distinct()
-    # Only the number of distinct unkeyed patterns is read by the driver.
-    total = patterns.count()
-    if total == 0:
-        return resources.select("project_id", "urn").withColumn("ord", F.lit(0).cast("bigint")).limit(0)
-    n_blocks = -(-total // block_size)
-    blocks = (
-        patterns.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)).cast("int"))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("pattern", glob_regex(F.col("pattern")).alias("rx"))).alias("globs"))
-    )
-    spread = resources.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    hits = (
-        spread.join(blocks, "block")
-        .select("project_id", "urn", "r_tags", F.explode(F.filter("globs", lambda g: F.rlike(F.col("urn"), g["rx"]))).alias("g"))
-        .select("project_id", "urn", "r_tags", F.col("g.pattern").alias("pattern"))
+def _tag_ok(resource_tags: Column, required: Column) -> Column:
+    """Text equality in which a missing tag counts as the empty string."""
+    return F.forall(
+        required, lambda t: F.coalesce(F.try_element_at(resource_tags, t["key"]), F.lit("")) == t["value"]
     )
-    by_pattern = selectors.withColumn("pattern", F.explode("include"))
-    return _verified(hits.join(by_pattern, "pattern")).distinct()
 
 
-def match_obligations(resources: DataFrame, obligations: DataFrame, block_size: int = 256) -> DataFrame:
+def match_obligations(resources: DataFrame, obligations: DataFrame, spread: int = 64) -> DataFrame:
     """(project_id, urn, ord) of every resource and active obligation that applies to it.
 
     An obligation without a project applies to all projects. ``ord`` must be unique.
     """
-    lean = resources.select("project_id", "urn", F.coalesce("tags", F.from_json(F.lit("{}"), "map<string,string>")).alias("r_tags"))
+    no_tags = F.from_json(F.lit("{}"), "map<string,string>")
+    lean = resources.select("project_id", "urn", F.coalesce("tags", no_tags).alias("r_tags"))
     if "is_active" in obligations.columns:
         obligations = obligations.filter(F.coalesce("is_active", F.lit(True)))
-    selectors = _selectors(obligations)
-    # A tag required to be '' also matches a missing tag, so it cannot serve as a key.
-    tag_keyed = F.exists("tags", lambda t: t["value"] != "")
-    prefix_keyed = ~tag_keyed & F.forall("include", lambda p: _is_selective(_literal_prefix(p))) & (F.size("include") > 0)
-    blank_tags_only = ~tag_keyed & (F.size("include") == 0)
-    rest = selectors.filter(~tag_keyed & ~prefix_keyed).withColumn(
-        "include", F.when(blank_tags_only, F.array(F.lit("*"))).otherwise(F.col("include"))
+    # Regexes are built once per obligation and reused by the steps below.
+    selectors = materialize(_selectors(obligations))
+    if not selectors.filter("choose").isEmpty():
+        selectors = selectors.filter("NOT choose").unionByName(_rarest(lean, selectors))
+    spread_keys = F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda i: F.concat(F.lit(_SPREAD), i.cast("string")))
+    keyed = selectors.withColumn("key", F.explode(F.when(F.size("keys") > 0, F.col("keys")).otherwise(spread_keys)))
+
+    urn, segments = F.col("urn"), F.split("urn", ":")
+    ends = F.sequence(F.lit(1), F.greatest(F.size(segments) - 1, F.lit(1)))
+    prefixes = F.transform(
+        ends, lambda n: F.concat(F.lit(_PREFIX), F.array_join(F.slice(segments, F.lit(1), n), ":"), F.lit(":"))
     )
-    return (
-        _tag_route(lean, selectors.filter(tag_keyed))
-        .unionByName(_prefix_route(lean, selectors.filter(prefix_keyed)))
-        .unionByName(_rest_route(lean, rest, block_size))
+    mine = F.concat(F.lit(_SPREAD), F.pmod(F.xxhash64("urn"), F.lit(spread)).cast("string"))
+    owned_keys = F.concat(
+        F.transform(F.map_entries("r_tags"), _pair), prefixes, F.array(F.concat(F.lit(_PREFIX), urn), mine)
     )
+    owned = lean.withColumn("key", F.explode(F.array_distinct(owned_keys)))
+
+    hit = lambda rx: F.rlike(urn, rx)
+    # A selector with several prefixes may meet a resource more than once; its first key counts.
+    first_key = (F.size("keys") < 2) | (F.get(F.filter("keys", lambda k: _owns(urn, k)), F.lit(0)) == F.col("key"))
+    return owned.join(keyed, "key").filter(
+        (F.col("scope").isNull() | (F.col("scope") == F.col("project_id")))
+        & first_key
+        & ~F.exists("exclude_rx", hit)
+        & _tag_ok(F.col("r_tags"), F.col("tags"))
+        & ((F.size("include_rx") == 0) | F.exists("include_rx", hit))
+    ).select("project_id", "urn", "ord")
 
 
 def resolve_groups(policies: DataFrame, mapping: DataFrame, defaults: list[str]) -> DataFrame:
