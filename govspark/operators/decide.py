@@ -36,9 +36,13 @@ _NO_POLICY = "No policy found for resource."
 
 def ctx(context: Column, keys: list[str]) -> Column:
     """Value of the first key present, each tried exactly and then ignoring case."""
+
+    def ignoring_case(key: str) -> Column:
+        return F.filter(F.map_entries(context), lambda entry: F.lower(entry["key"]) == key.lower())
+
     found = F.when(F.lit(False), F.lit(None).cast("string"))
     for key in keys:
-        folded = F.filter(F.map_entries(context), lambda e, key=key: F.lower(e["key"]) == key.lower())
+        folded = ignoring_case(key)
         found = found.when(F.map_contains_key(context, key), F.try_element_at(context, F.lit(key)))
         found = found.when(F.size(folded) > 0, F.try_element_at(folded, F.lit(-1))["value"])
     return found

@@ -122,7 +122,7 @@ def resolve_ai(rules: Column) -> Column:
     texts = F.filter(F.transform(rules, text_of), lambda t: t != "")
     training, tuning = permitted("training_allowed"), permitted("fine_tuning_allowed")
     bans = F.filter(rules, lambda r: ~F.coalesce(r["ai_model"]["training_allowed"], F.lit(False)))
-    credits = F.filter(F.slice(rules, 2, 2**31 - 1), lambda r: text_of(r) != "")
+    credits = F.filter(F.slice(rules, F.lit(2), F.greatest(F.size(rules), F.lit(1))), lambda r: text_of(r) != "")
     winner = F.coalesce(F.get(bans, F.lit(0)), F.get(credits, F.lit(0)), F.get(rules, F.lit(0)))
     summary = F.concat_ws(
         ", ",

@@ -20,8 +20,8 @@ class Dialect:
 
     def iso_days_before(self, ts: str, days: str) -> str:
         if self.spark:
-            return f"date_format(timestampadd(DAY, -CAST({days} AS INT), {ts}), \"yyyy-MM-dd'T'HH:mm:ss\")"
-        return f"strftime({ts} - to_days(CAST({days} AS INTEGER)), '%Y-%m-%dT%H:%M:%S')"
+            return f"date_format(timestampadd(DAY, -CAST(floor({days}) AS INT), {ts}), \"yyyy-MM-dd'T'HH:mm:ss\")"
+        return f"strftime({ts} - to_days(CAST(floor({days}) AS INTEGER)), '%Y-%m-%dT%H:%M:%S')"
 
     def iso(self, ts: str) -> str:
         return f"date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss\")" if self.spark else f"strftime({ts}, '%Y-%m-%dT%H:%M:%S')"
