@@ -1 +1,167 @@
-"""To be filled."""
+"""Sync plans, drift and diffs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from govspark import fixed_values as fixed
+from govspark.operators import change
+from workload.q_policies import ALL_DOMAINS, METHOD_NAME, policies
+from workload.registry import query
+from workload.tables import Tables, as_of
+from workload.views import AS_OF, VIEWS
+
+# Definitions as JSON text; the incoming side writes its keys in another order.
+_DOC = """'{{"days":' || (k % {mod}) || ',"title":"' || title || '"}}'"""
+_CURRENT = f"""SELECT coalesce(project_id, 'all') AS project_id, id AS slug, title, {_DOC.format(mod=30)} AS definition, sha2_hex({_DOC.format(mod=30)}) AS source_hash,
+  CAST(1 + k % 4 AS INT) AS version, is_active, CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS updated_at FROM v_obligations"""
+_INCOMING = """SELECT coalesce(project_id, 'all') AS project_id, id AS slug, title,
+  '{ "title": "' || title || '", "days": ' || (k % CASE WHEN k % 3 = 0 THEN 7 ELSE 30 END) || ' }' AS definition FROM v_obligations_v2"""
+
+
+def _texts(spark: bool) -> tuple[str, str]:
+    fn = "sha2({}, 256)" if spark else "sha256({})"
+    return _CURRENT.replace(f"sha2_hex({_DOC.format(mod=30)})", fn.format(_DOC.format(mod=30))), _INCOMING
+
+
+_C, _I = _texts(False)
+_PLAN = f"""c AS ({_C}), i AS (SELECT *, sha256('{{"days":' || regexp_extract(definition, 'days": (\\d+)', 1) || ',"title":"' || title || '"}}') AS new_hash FROM ({_I})),
+plan AS (SELECT project_id, slug, coalesce(i.title, c.title) AS title,
+  CASE WHEN c.slug IS NULL THEN 'CREATED' WHEN i.slug IS NULL THEN 'PRUNED' WHEN source_hash <> new_hash THEN 'UPDATED' ELSE 'UNCHANGED' END AS status,
+  CASE WHEN c.slug IS NULL THEN 1 WHEN source_hash <> new_hash THEN version + 1 ELSE version END AS version
+  FROM (SELECT * FROM c WHERE is_active) c FULL JOIN i USING (project_id, slug))"""
+
+
+def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+    t.view("v_obligations"), t.view("v_obligations_v2")
+    current, incoming = _texts(True)
+    return t.spark.sql(current), t.spark.sql(incoming)
+
+
+@query("g2_sync_plan", f"WITH {_PLAN} SELECT * FROM plan")
+def g2_sync_plan(t: Tables) -> DataFrame:
+    return change.plan_sync(*_sides(t), prune=True).drop("new_hash")
+
+
+@query("g2_sync_apply", f"""WITH {_PLAN}, n AS (SELECT p.*, i.new_hash FROM plan p LEFT JOIN i USING (project_id, slug))
+SELECT project_id, slug, coalesce(CASE WHEN w THEN new_hash END, source_hash) AS source_hash, CASE WHEN w THEN n_version ELSE version END AS version,
+  CASE WHEN w THEN TRUE WHEN status = 'PRUNED' THEN FALSE ELSE is_active END AS is_active,
+  CASE WHEN w OR status = 'PRUNED' THEN TIMESTAMP '{AS_OF}' ELSE updated_at END AS updated_at
+FROM (SELECT project_id, slug, c.source_hash, c.version, c.is_active, c.updated_at, n.new_hash, n.status, n.version AS n_version,
+    n.new_hash IS NOT NULL AND (c.slug IS NULL OR c.source_hash <> n.new_hash OR NOT c.is_active) AS w FROM c FULL JOIN n USING (project_id, slug))""")
+def g2_sync_apply(t: Tables) -> DataFrame:
+    return change.apply_sync(*_sides(t), F.lit(as_of()).cast("timestamp"), prune=True).drop("title", "definition")
+
+
+@query("g3_pull_plan", f"""WITH {_PLAN} SELECT project_id, slug, title, CASE status WHEN 'CREATED' THEN 'NEW' WHEN 'PRUNED' THEN 'DELETED' ELSE status END AS status, version FROM plan""")
+def g3_pull_plan(t: Tables) -> DataFrame:
+    return change.plan_sync(*_sides(t), direction="pull").drop("new_hash")
+
+
+_DESIRED = "SELECT 'mask_' || p_partkey AS object_name, 'gov:v1:' || substr(h, 1, 8) AS content_hash, 'f' || (p_partkey % 3) AS binding FROM (SELECT *, {hash} AS h FROM part) x"
+_ACTUAL = """SELECT 'mask_' || p_partkey AS object_name, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'gov:v1:' || substr(h, 1, 8) || ' | note' WHEN 2 THEN 'manual' ELSE 'gov:v1:00000000' END AS comment,
+  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 'f' || (p_partkey % 4) END AS binding FROM (SELECT *, {hash} AS h FROM part) x WHERE p_partkey % 5 <> 0"""
+_DH, _SH = "sha256(p_name || p_partkey)", "sha2(p_name || p_partkey, 256)"
+
+
+@query("g4_drift", f"""WITH d AS ({_DESIRED.format(hash=_DH)}), a AS ({_ACTUAL.format(hash=_DH)}),
+j AS (SELECT d.*, a.object_name IS NOT NULL AS there, a.comment, a.binding AS bound FROM d LEFT JOIN a USING (object_name))
+SELECT object_name, CASE WHEN NOT there THEN 'missing' WHEN coalesce(comment, '') NOT LIKE 'gov:v%' THEN 'no hash' WHEN substr(comment, 1, 15) <> content_hash THEN 'changed' ELSE 'current' END AS cause,
+  NOT there OR coalesce(comment, '') NOT LIKE 'gov:v%' OR substr(comment, 1, 15) <> content_hash AS needs_update, bound IS DISTINCT FROM binding AS needs_binding FROM j""")
+def g4_drift(t: Tables) -> DataFrame:
+    t.base("part")
+    return change.drift(t.spark.sql(_DESIRED.format(hash=_SH)), t.spark.sql(_ACTUAL.format(hash=_SH)))
+
+
+@query("g5_changed_only", f"WITH {_PLAN} SELECT i.slug AS name FROM i WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.slug = i.slug AND c.source_hash = i.new_hash)")
+def g5_changed_only(t: Tables) -> DataFrame:
+    current, incoming = _sides(t)
+    seen = current.select(F.col("slug").alias("name"), F.col("source_hash").alias("definition_hash"))
+    return change.changed_only(incoming.withColumnRenamed("slug", "name"), seen).select("name")
+
+
+# --- semantic diff -----------------------------------------------------------
+
+
+def _suffixed(sql: str) -> str:
+    """The resolution statements once more, over the second version of the obligations."""
+    import re
+
+    names = set(re.findall(r"(?:^|[\s,])(\w+) AS \(", sql)) & {
+        "matches", "hits", "retention", "geofencing", "purpose", "ai_rules", "ai_sum", "ai", "top_method", "peers", "privacy", "privacy_text",
+        *[f"{p}_{s}" for p in ("geo", "use") for s in ("rules", "allow", "deny", "n", "kept", "final", "death", "end", "win", "lists")],
+    }
+    out = sql.replace("v_obligations", "v_obligations_v2")
+    for name in names:
+        out = re.sub(rf"(?<=FROM ){name}\b|(?<=JOIN ){name}\b|(?<![\w.]){name}(?= AS \()", f"{name}_v2", out)
+    return out
+
+
+_SIDE = """{side} AS (SELECT r.project_id, r.urn AS resource_urn, t.duration_s, g.urn IS NOT NULL AS has_geo, g.is_global_ban AS ban, g.allowed AS regions, a.urn IS NOT NULL AS has_ai,
+  a.training, a.tuning, a.rag, a.attribution, a.credit, u.urn IS NOT NULL AS has_use, u.allowed AS uses, u.denied AS bad_uses, p.method, {name} AS method_name, p.p_epsilon, p.p_k,
+  concat_ws(',', p.p_algorithm, p.p_delta, p.p_epsilon, p.p_k) AS params
+  FROM v_resources r LEFT JOIN retention{v} t USING (project_id, urn) LEFT JOIN geofencing{v} g USING (project_id, urn) LEFT JOIN purpose{v} u USING (project_id, urn)
+  LEFT JOIN ai{v} a USING (project_id, urn) LEFT JOIN privacy{v} p USING (project_id, urn))"""
+_MINUS = lambda a, b: f"(SELECT string_agg(x, ', ' ORDER BY x) FROM (SELECT unnest(string_split({a}, ',')) AS x EXCEPT SELECT unnest(string_split({b}, ','))) WHERE x <> '')"
+
+
+def _change_rows() -> str:
+    tight, loose = "'RESTRICTIVE'", "'PERMISSIVE'"
+    by = lambda c: f"CASE WHEN {c} THEN 'RESTRICTIVE' ELSE 'PERMISSIVE' END"
+    rows = [
+        ("Retention", "rule", "o.duration_s IS NOT NULL AND n.duration_s IS NULL", "REMOVED", loose),
+        ("Retention", "rule", "o.duration_s IS NULL AND n.duration_s IS NOT NULL", "ADDED", tight),
+        ("Retention", "duration", "o.duration_s <> n.duration_s", "MODIFIED", by("n.duration_s < o.duration_s")),
+        ("Geofencing", "rule", "NOT o.has_geo AND n.has_geo", "ADDED", tight),
+        ("Geofencing", "is_global_ban", "o.ban <> n.ban", "MODIFIED", by("n.ban")),
+        ("Geofencing", "allowed_regions", f"{_MINUS('n.regions', 'o.regions')} IS NOT NULL AND o.has_geo AND n.has_geo", "MODIFIED", loose),
+        ("Geofencing", "allowed_regions", f"{_MINUS('o.regions', 'n.regions')} IS NOT NULL AND o.has_geo AND n.has_geo", "MODIFIED", tight),
+        ("AI Rules", "training_allowed", "o.training <> n.training", "MODIFIED", by("NOT n.training")),
+        ("AI Rules", "fine_tuning_allowed", "o.tuning <> n.tuning", "MODIFIED", by("NOT n.tuning")),
+        ("AI Rules", "rag_allowed", "o.rag <> n.rag", "MODIFIED", by("NOT n.rag")),
+        ("AI Rules", "attribution_required", "o.attribution <> n.attribution", "MODIFIED", by("n.attribution")),
+        ("AI Rules", "attribution_text", "o.credit <> n.credit", "MODIFIED", "'NEUTRAL'"),
+        ("Purpose", "rule", "NOT o.has_use AND n.has_use", "ADDED", tight),
+        ("Purpose", "rule", "o.has_use AND NOT n.has_use", "REMOVED", loose),
+        ("Purpose", "allowed_purposes", f"o.has_use AND n.has_use AND {_MINUS('n.uses', 'o.uses')} IS NOT NULL", "MODIFIED", loose),
+        ("Purpose", "allowed_purposes", f"o.has_use AND n.has_use AND {_MINUS('o.uses', 'n.uses')} IS NOT NULL", "MODIFIED", tight),
+        ("Purpose", "denied_purposes", f"o.has_use AND n.has_use AND {_MINUS('n.bad_uses', 'o.bad_uses')} IS NOT NULL", "MODIFIED", tight),
+        ("Purpose", "denied_purposes", f"o.has_use AND n.has_use AND {_MINUS('o.bad_uses', 'n.bad_uses')} IS NOT NULL", "MODIFIED", loose),
+        ("Privacy", "rule", "o.method IS NULL AND n.method IS NOT NULL", "ADDED", tight),
+        ("Privacy", "rule", "o.method IS NOT NULL AND n.method IS NULL", "REMOVED", loose),
+        ("Privacy", "method", "o.method <> n.method", "MODIFIED", by("n.method > o.method")),
+        ("Privacy", "parameters.epsilon", "CAST(o.p_epsilon AS DOUBLE) <> CAST(n.p_epsilon AS DOUBLE)", "MODIFIED", by("CAST(n.p_epsilon AS DOUBLE) < CAST(o.p_epsilon AS DOUBLE)")),
+        ("Privacy", "parameters.k", "CAST(o.p_k AS DOUBLE) <> CAST(n.p_k AS DOUBLE)", "MODIFIED", by("CAST(n.p_k AS DOUBLE) > CAST(o.p_k AS DOUBLE)")),
+        ("Privacy", "parameters", "o.method IS NOT NULL AND n.method IS NOT NULL AND o.params <> n.params AND o.p_epsilon IS NULL AND o.p_k IS NULL", "MODIFIED", "'NEUTRAL'"),
+    ]
+    return " UNION ALL ".join(
+        f"SELECT o.project_id, o.resource_urn, '{c}' AS category, '{f}' AS field, '{kind}' AS change_type, {impact} AS impact FROM o JOIN n USING (project_id, resource_urn) WHERE {where}"
+        for c, f, where, kind, impact in rows
+    )
+
+
+DIFF = f"""WITH {ALL_DOMAINS}, {_suffixed(ALL_DOMAINS)}, {_SIDE.format(side='o', v='', name=METHOD_NAME)}, {_SIDE.format(side='n', v='_v2', name=METHOD_NAME)},
+changes AS ({_change_rows()})"""
+
+
+def _changes(t: Tables) -> DataFrame:
+    return change.diff_policies(policies(t), policies(t, version="v_obligations_v2"))
+
+
+@query("g6_policy_diff", f"{DIFF} SELECT * FROM changes")
+def g6_policy_diff(t: Tables) -> DataFrame:
+    return _changes(t).select("project_id", "resource_urn", "category", "field", "change_type", "impact")
+
+
+@query("g7_risk_delta", f"""{DIFF} SELECT project_id, resource_urn, sum(CASE impact WHEN 'PERMISSIVE' THEN 1 WHEN 'RESTRICTIVE' THEN -1 ELSE 0 END) AS risk_delta, count(*) AS changes FROM changes GROUP BY ALL""")
+def g7_risk_delta(t: Tables) -> DataFrame:
+    return change.risk_delta(_changes(t))
+
+
+@query("g8_diff_report")
+def g8_diff_report(t: Tables) -> DataFrame:
+    return change.diff_markdown(_changes(t))
+
+
+__all__ = ["VIEWS", "fixed"]
