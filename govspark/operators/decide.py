@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govspark import fixed_values as fixed
-from govspark.functions import age_seconds, enum_name, is_eu_region, parse_instant
+from govspark.functions import age_seconds, is_eu_region, parse_instant
 
 # Differences between the three evaluators.
 PROFILES = {
@@ -34,114 +34,98 @@ PROFILES = {
 _NO_POLICY = "No policy found for resource."
 
 
-def ctx(context: Column, keys: list[str]) -> Column:
-    """Value of the first key present, each tried exactly and then ignoring case."""
-
-    def ignoring_case(key: str) -> Column:
-        return F.filter(F.map_entries(context), lambda entry: F.lower(entry["key"]) == key.lower())
-
-    found = F.when(F.lit(False), F.lit(None).cast("string"))
+def ctx(context: str, keys: list[str]) -> str:
+    """SQL for the value of the first key present, each tried exactly and then ignoring case."""
+    arms = []
     for key in keys:
-        folded = ignoring_case(key)
-        found = found.when(F.map_contains_key(context, key), F.try_element_at(context, F.lit(key)))
-        found = found.when(F.size(folded) > 0, F.try_element_at(folded, F.lit(-1))["value"])
-    return found
-
-
-def _blank(value: Column) -> Column:
-    return value.isNull() | (value == "")
-
+        folded = f"filter(map_entries({context}), e -> lower(e.key) = '{key.lower()}')"
+        arms.append(f"WHEN map_contains_key({context}, '{key}') THEN try_element_at({context}, '{key}')")
+        arms.append(f"WHEN size({folded}) > 0 THEN try_element_at({folded}, -1).value")
+    return f"CASE {' '.join(arms)} END"
 
-def _any(*lists: Column) -> Column:
-    has = F.lit(False)
-    for values in lists:
-        has = has | (F.size(values) > 0)
-    return has
 
-
-def _quoted(before: str, value: Column, after: str) -> Column:
-    return F.concat(F.lit(before), value, F.lit(after))
+def _asked(profile: str) -> dict[str, str]:
+    """What a request says, read from its context once."""
+    spec = PROFILES[profile]
+    every = profile == "all"
+    blank = (lambda value: value) if every else (lambda value: f"nullif({value}, '')")
+    wanted = f"lower({ctx('context', fixed.FORMAT_KEYS)})"
+    return {
+        "_region": blank(f"upper({ctx('context', fixed.REGION_KEYS)})"),
+        "_purpose": blank(f"upper({ctx('context', spec['purpose_keys'])})"),
+        "_format": wanted if every else f"trim({wanted})",
+        "_date": ctx("context", spec["date_keys"]),
+        "_verb": "lower(action)",
+    }
 
 
-def _checks(as_of: datetime, profile: str) -> dict[str, Column]:
-    """Deny message per check, null when the check passes. Keys are in evaluation order."""
-    spec, context = PROFILES[profile], F.col("context")
+def _checks(profile: str) -> dict[str, list[tuple[str, str]]]:
+    """(deny condition, message) pairs in SQL, in evaluation order."""
     terse, every = profile == "server", profile == "all"
-
-    geo = F.col("geofencing")
-    region = F.upper(ctx(context, fixed.REGION_KEYS))
-    region_missing = region.isNull() if every else _blank(region)
-    ban_text = (
-        F.lit("Global Data Ban Active")
-        if terse
-        else _quoted("Global Data Ban active (Source: ", geo["reason"]["winning_source_id"], ")")
-    )
+    ban = "'Global Data Ban Active'" if terse else "concat('Global Data Ban active (Source: ', geofencing.reason.winning_source_id, ')')"
     no_region = (
-        "Missing 'region' in context required for Geofencing."
+        "'Missing ''region'' in context required for Geofencing.'"
         if terse
-        else "Context missing 'region' attribute required for geofencing."
+        else "'Context missing ''region'' attribute required for geofencing.'"
     )
-    outside = "' is not in allowed list." if terse else "' is not in the allowed list."
-    geo_rules = [
-        (geo["is_global_ban"], ban_text),
-        (~geo["is_global_ban"] & region_missing & _any(geo["allowed_regions"], geo["blocked_regions"]), F.lit(no_region)),
-        (~region_missing & F.array_contains(geo["blocked_regions"], region), _quoted("Region '", region, "' is explicitly blocked.")),
-        (
-            ~region_missing & (F.size(geo["allowed_regions"]) > 0) & ~F.array_contains(geo["allowed_regions"], region),
-            _quoted("Region '", region, outside),
-        ),
-    ]
-
-    use = F.col("purpose")
-    purpose = F.upper(ctx(context, spec["purpose_keys"]))
-    purpose_missing = purpose.isNull() if every else _blank(purpose)
-    no_purpose = "Missing 'purpose' in context." if terse else "Context missing 'purpose' attribute."
-    purpose_rules = [
-        (purpose_missing & _any(use["allowed_purposes"], use["denied_purposes"]), F.lit(no_purpose)),
-        (~purpose_missing & F.array_contains(use["denied_purposes"], purpose), _quoted("Purpose '", purpose, "' is forbidden.")),
-        (
-            ~purpose_missing & (F.size(use["allowed_purposes"]) > 0) & ~F.array_contains(use["allowed_purposes"], purpose),
-            _quoted("Purpose '", purpose, "' is not explicitly allowed."),
-        ),
-    ]
-
-    ai, verb = F.col("ai_rules"), F.lower("action")
+    outside = "allowed list." if terse else "the allowed list."
+    no_purpose = "'Missing ''purpose'' in context.'" if terse else "'Context missing ''purpose'' attribute.'"
     by_policy = "prohibited." if terse else "is prohibited by policy."
-    tuning = "Fine-tuning " if terse else "Model Fine-Tuning "
-    rag = "RAG usage " if terse else "RAG/Retrieval usage "
-    ai_rules = [
-        (verb.contains("train") & ~ai["training_allowed"], F.lit("AI Training " + by_policy)),
-        (verb.contains("fine") & verb.contains("tune") & ~ai["fine_tuning_allowed"], F.lit(tuning + by_policy)),
-        ((verb.contains("rag") | verb.contains("retrieval")) & ~ai["rag_allowed"], F.lit(rag + by_policy)),
-    ]
-
-    keep = F.col("retention")
-    created = parse_instant(ctx(context, spec["date_keys"]), require_zone=every)
-    age = age_seconds(created, F.lit(as_of).cast("timestamp"))
-    days = (lambda s: F.round(s / 86400)) if every else (lambda s: F.floor(s / 86400))
-    whole = lambda s: days(s).cast("bigint").cast("string")
-    expired_text = F.concat(
-        F.lit("Data expired. Age "), whole(age), F.lit("d > Limit "), whole(keep["duration_s"]), F.lit("d.")
-    )
-    retention_rules = [(~keep["is_indefinite"] & (age > keep["duration_s"]), expired_text)]
+    days = "cast({}({} / 86400) AS bigint)".format("round" if every else "floor", "{}")
+    method = "CASE privacy.method " + " ".join(f"WHEN {v} THEN '{k}'" for k, v in fixed.PRIVACY_METHOD.items()) + " END"
+    raw = ", ".join(f"'{f}'" for f in fixed.RAW_FORMATS)
+    checks = {
+        "geo": [
+            ("geofencing.is_global_ban", ban),
+            (
+                "NOT geofencing.is_global_ban AND _region IS NULL "
+                "AND (size(geofencing.allowed_regions) > 0 OR size(geofencing.blocked_regions) > 0)",
+                no_region,
+            ),
+            ("array_contains(geofencing.blocked_regions, _region)", "concat('Region ''', _region, ''' is explicitly blocked.')"),
+            (
+                "size(geofencing.allowed_regions) > 0 AND NOT array_contains(geofencing.allowed_regions, _region)",
+                f"concat('Region ''', _region, ''' is not in {outside}')",
+            ),
+        ],
+        "purpose": [
+            ("_purpose IS NULL AND (size(purpose.allowed_purposes) > 0 OR size(purpose.denied_purposes) > 0)", no_purpose),
+            ("array_contains(purpose.denied_purposes, _purpose)", "concat('Purpose ''', _purpose, ''' is forbidden.')"),
+            (
+                "size(purpose.allowed_purposes) > 0 AND NOT array_contains(purpose.allowed_purposes, _purpose)",
+                "concat('Purpose ''', _purpose, ''' is not explicitly allowed.')",
+            ),
+        ],
+        "ai": [
+            ("contains(_verb, 'train') AND NOT ai_rules.training_allowed", f"'AI Training {by_policy}'"),
+            (
+                "contains(_verb, 'fine') AND contains(_verb, 'tune') AND NOT ai_rules.fine_tuning_allowed",
+                f"'{'Fine-tuning' if terse else 'Model Fine-Tuning'} {by_policy}'",
+            ),
+            (
+                "(contains(_verb, 'rag') OR contains(_verb, 'retrieval')) AND NOT ai_rules.rag_allowed",
+                f"'{'RAG' if terse else 'RAG/Retrieval'} usage {by_policy}'",
+            ),
+        ],
+        "retention": [
+            (
+                "NOT retention.is_indefinite AND _age > retention.duration_s",
+                f"concat('Data expired. Age ', {days.format('_age')}, 'd > Limit ', {days.format('retention.duration_s')}, 'd.')",
+            ),
+        ],
+    }
+    if PROFILES[profile]["privacy"]:
+        checks["privacy"] = [
+            (
+                f"privacy.method <> 0 AND _format IN ({raw})",
+                f"concat('Access Denied: Policy requires ''', {method}, ''', but ''', _format, ''' output was requested.')",
+            )
+        ]
+    return checks
 
-    mask = F.col("privacy")
-    wanted = ctx(context, fixed.FORMAT_KEYS)
-    wanted = F.lower(wanted) if every else F.trim(F.lower(wanted))
-    privacy_text = F.concat(
-        F.lit("Access Denied: Policy requires '"), enum_name(mask["method"], fixed.PRIVACY_METHOD),
-        F.lit("', but '"), wanted, F.lit("' output was requested."),
-    )
-    privacy_rules = [((mask["method"] != 0) & wanted.isin(*fixed.RAW_FORMATS), privacy_text)]
 
-    groups = {"geo": geo_rules, "purpose": purpose_rules, "ai": ai_rules, "retention": retention_rules}
-    if spec["privacy"]:
-        groups["privacy"] = privacy_rules
-    return {
-        f"{name}_{i}": F.when(F.coalesce(condition, F.lit(False)), text)
-        for name, rules in groups.items()
-        for i, (condition, text) in enumerate(rules)
-    }
+def _case(pairs: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {condition} THEN {message}" for condition, message in pairs) + " END"
 
 
 _DOMAINS = ["retention", "geofencing", "ai_rules", "purpose", "privacy"]
@@ -152,6 +136,13 @@ def _with_policy(requests: DataFrame, policies: DataFrame) -> DataFrame:
     return requests.join(policies.select(*keys, *_DOMAINS, F.lit(True).alias("has_policy")), keys, "left")
 
 
+def _with_facts(joined: DataFrame, as_of: datetime, profile: str) -> DataFrame:
+    """Add what the checks look at: the context values and the age of the data."""
+    asked = joined.selectExpr("*", *[f"{sql} AS {name}" for name, sql in _asked(profile).items()])
+    created = parse_instant(F.col("_date"), require_zone=profile == "all")
+    return asked.withColumn("_age", age_seconds(created, F.lit(as_of).cast("timestamp")))
+
+
 def evaluate_requests(
     requests: DataFrame,
     policies: DataFrame,
@@ -178,65 +169,49 @@ def evaluate_requests(
         return matched.select("request_id", "project_id", "resource_urn", *outcome)
 
     joined = _with_policy(requests, policies)
-    gate = F.lit(None).cast("string")
+    gate: list[tuple[str, str]] = []
     if lineage is not None:
         upstream = lineage.select(
             "project_id", F.col("urn").alias("resource_urn"), "inherited_risk", "inherited_sensitivity", "poison_sources"
         )
         joined = joined.join(upstream, ["project_id", "resource_urn"], "left").withColumn(
             "context",
-            F.map_concat(
-                F.map_filter("context", lambda k, _: ~k.isin("inherited_risk", "inherited_sensitivity")),
-                F.create_map(
-                    F.lit("inherited_risk"), F.coalesce("inherited_risk", F.lit(0)).cast("string"),
-                    F.lit("inherited_sensitivity"), F.coalesce("inherited_sensitivity", F.lit(0)).cast("string"),
-                ),
+            F.expr(
+                "map_concat(map_filter(context, (k, v) -> k NOT IN ('inherited_risk', 'inherited_sensitivity')), "
+                "map('inherited_risk', cast(coalesce(inherited_risk, 0) AS string), "
+                "'inherited_sensitivity', cast(coalesce(inherited_sensitivity, 0) AS string)))"
             ),
         )
-        listed = F.array_join(F.transform("poison_sources", lambda u: F.concat(F.lit("'"), u, F.lit("'"))), ", ")
-        gate = F.when(
-            (F.size("poison_sources") > 0) & F.lower("action").contains("train"),
-            F.concat(F.lit("Blocked by upstream constraint propagation. Sources: ["), listed, F.lit("]")),
-        )
-    spec = PROFILES[profile]
-    missing = F.lit(None).cast("string")
-    if not spec["missing_policy_allows"]:
-        missing = F.when(F.col("has_policy").isNull(), F.lit(_NO_POLICY))
-    checks = list(_checks(as_of, profile).values())
+        listed = "array_join(transform(poison_sources, u -> concat('''', u, '''')), ', ')"
+        gate = [
+            (
+                "size(poison_sources) > 0 AND contains(_verb, 'train')",
+                f"concat('Blocked by upstream constraint propagation. Sources: [', {listed}, ']')",
+            )
+        ]
+    missing = [] if PROFILES[profile]["missing_policy_allows"] else [("has_policy IS NULL", f"'{_NO_POLICY}'")]
+    facts = _with_facts(joined, as_of, profile)
+    checks = [*gate, *missing, *[check for pairs in _checks(profile).values() for check in pairs]]
     columns = ["request_id", "project_id", "resource_urn"]
     if profile == "all":
-        violations = F.array_sort(F.array_distinct(F.filter(F.array(gate, *checks), lambda m: m.isNotNull())))
-        return joined.select(*columns, violations.alias("violations")).select(
-            *columns,
-            (F.size("violations") == 0).alias("allowed"),
-            F.coalesce(F.get("violations", F.lit(0)), F.lit("Access Allowed")).alias("reason"),
-            "violations",
+        messages = ", ".join(_case([check]) for check in checks)
+        found = facts.selectExpr(*columns, f"array_sort(array_distinct(array_compact(array({messages})))) AS violations")
+        return found.selectExpr(
+            *columns, "size(violations) = 0 AS allowed", "coalesce(get(violations, 0), 'Access Allowed') AS reason", "violations"
         )
-    denied = F.coalesce(gate, missing, *checks)
-    return joined.select(*columns, denied.alias("denied")).select(
-        *columns,
-        F.col("denied").isNull().alias("allowed"),
-        F.coalesce("denied", F.lit("Access Allowed")).alias("reason"),
-    )
+    decided = facts.selectExpr(*columns, f"{_case(checks)} AS denied")
+    return decided.selectExpr(*columns, "denied IS NULL AS allowed", "coalesce(denied, 'Access Allowed') AS reason")
 
 
 def explain_decisions(requests: DataFrame, policies: DataFrame, as_of: datetime, profile: str = "sdk") -> DataFrame:
     """Blocking domain per request, looked for in the order AI, geo, purpose, retention, and its winner."""
-    checks = _checks(as_of, profile)
-    first = lambda prefix: F.coalesce(*[c for k, c in checks.items() if k.startswith(prefix)])
+    checks = _checks(profile)
     order = [("ai_rules", "ai"), ("geofencing", "geo"), ("purpose", "purpose"), ("retention", "retention")]
-    blocking = F.lit(None)
-    winner = F.lit(None)
-    for domain, prefix in reversed(order):
-        hit = first(prefix).isNotNull()
-        blocking = F.when(hit, F.lit(domain)).otherwise(blocking)
-        winner = F.when(hit, F.col(f"{domain}.reason.winning_obligation_id")).otherwise(winner)
-    return _with_policy(requests, policies).select(
-        "request_id",
-        "project_id",
-        "resource_urn",
-        blocking.cast("string").alias("blocking_domain"),
-        winner.cast("string").alias("winning_obligation_id"),
+    hits = [(" OR ".join(f"coalesce({condition}, false)" for condition, _ in checks[name]), domain) for domain, name in order]
+    blocking = _case([(hit, f"'{domain}'") for hit, domain in hits])
+    winner = _case([(hit, f"{domain}.reason.winning_obligation_id") for hit, domain in hits])
+    return _with_facts(_with_policy(requests, policies), as_of, profile).selectExpr(
+        "request_id", "project_id", "resource_urn", f"{blocking} AS blocking_domain", f"{winner} AS winning_obligation_id"
     )
 
 

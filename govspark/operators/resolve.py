@@ -3,152 +3,128 @@
 Resources that match the same obligations share one policy, so the folds run once per distinct
 rule set and only obligation ordinals travel with the resources.
 
-A fold takes the rule-set rows of one domain, ordered by ``ord``, and gives a Column. New domains
-can be added to ``RESOLVERS``.
+A fold takes the name of a column that holds the rules of one domain as an array of
+struct(ord, id, title, source_id, <rule>) in ``ord`` order, and gives the SQL of the effective rule.
+New domains can be added to ``RESOLVERS``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govspark import fixed_values as fixed
-from govspark.functions import enum_name
 from govspark.operators.match import match_obligations
 
 _STRINGS = "array<string>"
 
 
-def _reason(rule: Column, description: Column) -> Column:
-    return F.struct(
-        rule["id"].alias("winning_obligation_id"),
-        rule["source_id"].alias("winning_source_id"),
-        description.alias("description"),
-    ).alias("reason")
+def _let(name: str, value: str, body: str) -> str:
+    """SQL that names a value inside an expression, so that it is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _nonempty(values: Column) -> Column:
-    return F.coalesce(F.size(values), F.lit(0)) > 0
+def _reason(rule: str, description: str) -> str:
+    return (
+        f"named_struct('winning_obligation_id', {rule}.id, 'winning_source_id', {rule}.source_id, "
+        f"'description', {description})"
+    )
 
 
-def _union(lists: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(lists)))
+def _union_of(rules: str, field: str) -> str:
+    return f"array_sort(array_distinct(flatten(transform({rules}, r -> coalesce(r.{field}, array())))))"
 
 
-def resolve_retention(rules: Column) -> Column:
+def resolve_retention(rules: str) -> str:
     """Shortest duration; the earliest rule wins a tie."""
-    best = F.array_min(F.transform(rules, lambda r: F.struct(r["retention"]["duration_s"].alias("d"), r["ord"].alias("o"))))
-    winner = F.filter(rules, lambda r: r["ord"] == best["o"])[0]
-    text = F.concat(
-        F.lit("Applied strictest retention limit from '"), winner["title"],
-        F.lit("'. Calculated shortest duration among "), F.size(rules).cast("string"), F.lit(" competing rules."),
+    ranked = f"transform({rules}, r -> named_struct('d', r.retention.duration_s, 'o', r.ord, 'r', r))"
+    text = (
+        f"concat('Applied strictest retention limit from ''', w.title, '''. Calculated shortest duration among ', "
+        f"size({rules}), ' competing rules.')"
     )
-    return F.struct(
-        winner["retention"]["duration_s"].alias("duration_s"),
-        F.lit(False).alias("is_indefinite"),
-        winner["retention"]["trigger"].alias("trigger"),
-        _reason(winner, text),
+    return _let(
+        "w",
+        f"array_min({ranked}).r",
+        "named_struct('duration_s', w.retention.duration_s, 'is_indefinite', false, 'trigger', w.retention.trigger, "
+        f"'reason', {_reason('w', text)})",
     )
 
 
-def _narrow(rules: Column, allowed: Callable[[Column], Column], denied_wins: Callable[[Column], Column] | None) -> Column:
+def _narrow(rules: str, allowed: str, wins_before: str = "false") -> str:
     """Left-to-right intersection of the non-empty allow lists, with the position that last narrowed it.
 
-    Gives struct(seen, kept, winner). ``denied_wins`` marks rules that also take the win while nothing
+    Gives struct(seen, kept, winner, i). ``wins_before`` marks rules that also take the win while nothing
     is allowed yet.
     """
-    start = F.struct(
-        F.lit(False).alias("seen"), F.array().cast(_STRINGS).alias("kept"), F.lit(0).alias("winner"), F.lit(0).alias("i")
+    restricts = f"coalesce(size(r.{allowed}), 0) > 0"
+    after = f"CASE WHEN acc.seen THEN array_intersect(acc.kept, r.{allowed}) ELSE array_distinct(r.{allowed}) END"
+    wins = (
+        f"({restricts} AND (NOT acc.seen OR size(next) < size(acc.kept))) "
+        f"OR ({wins_before} AND (NOT acc.seen OR size(acc.kept) = 0))"
     )
-
-    def step(acc: Column, rule: Column) -> Column:
-        mine = F.array_distinct(allowed(rule))
-        restricts = _nonempty(allowed(rule))
-        after = F.when(~acc["seen"], mine).otherwise(F.array_intersect(acc["kept"], mine))
-        shrinks = restricts & (~acc["seen"] | (F.size(after) < F.size(acc["kept"])))
-        wins = shrinks
-        if denied_wins is not None:
-            wins = wins | (denied_wins(rule) & (~acc["seen"] | (F.size(acc["kept"]) == 0)))
-        return F.struct(
-            (acc["seen"] | restricts).alias("seen"),
-            F.when(restricts, after).otherwise(acc["kept"]).alias("kept"),
-            F.when(wins, acc["i"]).otherwise(acc["winner"]).alias("winner"),
-            (acc["i"] + 1).alias("i"),
-        )
-
-    return F.aggregate(rules, start, step)
+    step = (
+        f"named_struct('seen', acc.seen OR {restricts}, 'kept', CASE WHEN {restricts} THEN next ELSE acc.kept END, "
+        f"'winner', CASE WHEN {wins} THEN acc.i ELSE acc.winner END, 'i', acc.i + 1)"
+    )
+    start = "named_struct('seen', false, 'kept', cast(array() AS array<string>), 'winner', 0, 'i', 0)"
+    return f"aggregate({rules}, {start}, (acc, r) -> {_let('next', after, step)})"
 
 
-def resolve_geofencing(rules: Column) -> Column:
+def resolve_geofencing(rules: str) -> str:
     """Intersection of allow lists minus the union of deny lists; nothing left is a global ban."""
-    state = _narrow(rules, lambda r: r["geofencing"]["allowed_regions"], None)
-    denied = _union(F.transform(rules, lambda r: F.coalesce(r["geofencing"]["denied_regions"], F.array().cast(_STRINGS))))
-    final = F.array_sort(F.array_except(state["kept"], denied))
-    ban = state["seen"] & (F.size(final) == 0)
-    text = F.concat(
-        F.lit("Calculated intersection of "), F.size(rules).cast("string"), F.lit(" geofencing rules. "),
-        F.size(denied).cast("string"), F.lit(" regions explicitly denied."),
-        F.when(ban, F.lit(" RESULT: GLOBAL BAN (Intersection is empty).")).otherwise(F.lit("")),
+    text = (
+        f"concat('Calculated intersection of ', size({rules}), ' geofencing rules. ', size(denied), "
+        "' regions explicitly denied.', CASE WHEN ban THEN ' RESULT: GLOBAL BAN (Intersection is empty).' ELSE '' END)"
     )
-    return F.struct(
-        final.alias("allowed_regions"),
-        denied.alias("blocked_regions"),
-        ban.alias("is_global_ban"),
-        _reason(F.get(rules, state["winner"]), text),
+    body = (
+        "named_struct('allowed_regions', final, 'blocked_regions', denied, 'is_global_ban', ban, "
+        f"'reason', {_reason(f'get({rules}, s.winner)', text)})"
     )
+    body = _let("final", "array_sort(array_except(s.kept, denied))", _let("ban", "s.seen AND size(final) = 0", body))
+    body = _let("denied", _union_of(rules, "geofencing.denied_regions"), body)
+    return _let("s", _narrow(rules, "geofencing.allowed_regions"), body)
 
 
-def resolve_purpose(rules: Column) -> Column:
+def resolve_purpose(rules: str) -> str:
     """Same set algebra without a ban: an empty intersection reads as unrestricted."""
-    state = _narrow(
-        rules, lambda r: r["purpose"]["allowed_purposes"], lambda r: _nonempty(r["purpose"]["denied_purposes"])
-    )
-    denied = _union(F.transform(rules, lambda r: F.coalesce(r["purpose"]["denied_purposes"], F.array().cast(_STRINGS))))
-    final = F.array_sort(F.array_except(state["kept"], denied))
-    winner = F.get(rules, state["winner"])
-    text = F.concat(
-        F.lit("Applied purpose intersection from '"), winner["source_id"], F.lit("'. Result: "),
-        F.size(final).cast("string"), F.lit(" allowed, "), F.size(denied).cast("string"), F.lit(" denied."),
+    text = (
+        "concat('Applied purpose intersection from ''', w.source_id, '''. Result: ', size(final), ' allowed, ', "
+        "size(denied), ' denied.')"
     )
-    return F.struct(final.alias("allowed_purposes"), denied.alias("denied_purposes"), _reason(winner, text))
+    body = f"named_struct('allowed_purposes', final, 'denied_purposes', denied, 'reason', {_reason('w', text)})"
+    body = _let("final", "array_sort(array_except(s.kept, denied))", _let("w", f"get({rules}, s.winner)", body))
+    body = _let("denied", _union_of(rules, "purpose.denied_purposes"), body)
+    denies = "coalesce(size(r.purpose.denied_purposes), 0) > 0"
+    return _let("s", _narrow(rules, "purpose.allowed_purposes", denies), body)
 
 
-def resolve_ai(rules: Column) -> Column:
+def resolve_ai(rules: str) -> str:
     """Every permission must be granted by all rules; attribution texts add up."""
-    permitted = lambda field: F.forall(rules, lambda r: F.coalesce(r["ai_model"][field], F.lit(False)))
-    text_of = lambda r: F.coalesce(r["ai_model"]["attribution_text_required"], F.lit(""))
-    texts = F.filter(F.transform(rules, text_of), lambda t: t != "")
-    training, tuning = permitted("training_allowed"), permitted("fine_tuning_allowed")
-    bans = F.filter(rules, lambda r: ~F.coalesce(r["ai_model"]["training_allowed"], F.lit(False)))
-    credits = F.filter(F.slice(rules, F.lit(2), F.greatest(F.size(rules), F.lit(1))), lambda r: text_of(r) != "")
-    winner = F.coalesce(F.get(bans, F.lit(0)), F.get(credits, F.lit(0)), F.get(rules, F.lit(0)))
-    summary = F.concat_ws(
-        ", ",
-        F.when(~training, F.lit("Training Blocked")),
-        F.when(~tuning, F.lit("Fine-Tuning Blocked")),
-        F.when(F.size(texts) > 0, F.lit("Attribution Required")),
+    permitted = lambda field: f"forall({rules}, r -> coalesce(r.ai_model.{field}, false))"
+    credit = "coalesce(r.ai_model.attribution_text_required, '')"
+    winner = (
+        f"coalesce(get(filter({rules}, r -> NOT coalesce(r.ai_model.training_allowed, false)), 0), "
+        f"get(filter({rules}, (r, i) -> i > 0 AND {credit} <> ''), 0), {rules}[0])"
     )
-    text = F.concat(
-        F.lit("AI Constraint: "), F.when(summary == "", F.lit("All AI actions permitted")).otherwise(summary),
-        F.lit(". Defined by source '"), winner["source_id"], F.lit("'."),
+    summary = (
+        "concat_ws(', ', CASE WHEN NOT train THEN 'Training Blocked' END, CASE WHEN NOT tune THEN 'Fine-Tuning Blocked' END, "
+        "CASE WHEN size(texts) > 0 THEN 'Attribution Required' END)"
     )
-    return F.struct(
-        training.alias("training_allowed"),
-        tuning.alias("fine_tuning_allowed"),
-        permitted("rag_usage_allowed").alias("rag_allowed"),
-        (F.size(texts) > 0).alias("attribution_required"),
-        F.array_join(texts, "; ").alias("attribution_text"),
-        _reason(winner, text),
+    text = (
+        f"concat('AI Constraint: ', coalesce(nullif({summary}, ''), 'All AI actions permitted'), "
+        "'. Defined by source ''', w.source_id, '''.')"
     )
+    body = (
+        f"named_struct('training_allowed', train, 'fine_tuning_allowed', tune, 'rag_allowed', {permitted('rag_usage_allowed')}, "
+        f"'attribution_required', size(texts) > 0, 'attribution_text', array_join(texts, '; '), 'reason', {_reason('w', text)})"
+    )
+    body = _let("w", winner, _let("texts", f"filter(transform({rules}, r -> {credit}), t -> t <> '')", body))
+    return _let("train", permitted("training_allowed"), _let("tune", permitted("fine_tuning_allowed"), body))
 
 
-def _number_text(value: Column) -> Column:
-    return value.cast("string")
-
-
-def resolve_privacy(rules: Column, on_conflict: str = "flag") -> Column:
+def resolve_privacy(rules: str, on_conflict: str = "flag") -> str:
     """Highest method; equal methods merge their parameters.
 
     Differential privacy keeps the least epsilon and delta, anonymization the greatest k and l, other
@@ -156,66 +132,52 @@ def resolve_privacy(rules: Column, on_conflict: str = "flag") -> Column:
     ``on_conflict='flag'`` the setting keeps its first value and ``conflict`` is true, with ``'error'``
     the job fails.
     """
-    method = F.array_max(F.transform(rules, lambda r: r["privacy"]["method"]))
-    peers = F.filter(rules, lambda r: r["privacy"]["method"] == method)
-    winner = peers[0]
-    entries = F.flatten(F.transform(peers, lambda r: F.map_entries(r["privacy"]["parameters"])))
-    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    values_of = lambda name: F.transform(F.filter(entries, lambda e: e["key"] == name), lambda e: e["value"])
-    several = F.size(peers) > 1
-    # Numeric settings exist when any peer names them; a peer without one counts with its default.
-    named = lambda name: F.array_contains(names, name)
-    each = lambda name, default, kind: F.transform(
-        peers, lambda r: F.coalesce(F.try_element_at(r["privacy"]["parameters"], F.lit(name)), F.lit(default)).cast(kind)
-    )
-    empty = F.array().cast("array<struct<key:string,value:string>>")
-
-    def numeric(name: str, default: str, kind: str, pick, always: bool = False) -> Column:
-        item = F.array(F.struct(F.lit(name).alias("key"), _number_text(pick(each(name, default, kind))).alias("value")))
-        return item if always else F.when(named(name), item).otherwise(empty)
-
-    def others(reserved: list[str]) -> Column:
-        first_peer = F.map_entries(winner["privacy"]["parameters"])
-        return F.filter(first_peer, lambda e: ~e["key"].isin(*reserved))
-
-    noisy = F.concat(
-        others(["epsilon", "delta"]),
-        numeric("epsilon", "10.0", "double", F.array_min, always=True),
-        numeric("delta", "1.0", "double", F.array_min),
-    )
-    grouped = F.concat(others(["k", "l"]), numeric("k", "0", "bigint", F.array_max), numeric("l", "0", "bigint", F.array_max))
-    united = F.transform(names, lambda n: F.struct(n.alias("key"), values_of(n)[0].alias("value")))
-    is_noise, is_group = (
-        method == fixed.PRIVACY_METHOD["DIFFERENTIAL_PRIVACY"],
-        method == fixed.PRIVACY_METHOD["ANONYMIZATION"],
-    )
+    noise, grouping = fixed.PRIVACY_METHOD["DIFFERENTIAL_PRIVACY"], fixed.PRIVACY_METHOD["ANONYMIZATION"]
+    none = "cast(array() AS array<struct<key:string,value:string>>)"
+    first = "map_entries(peers[0].privacy.parameters)"
+
+    def numeric(name: str, default: str, kind: str, pick: str, always: bool = False) -> str:
+        """One merged number; a peer that does not name it counts with the default."""
+        each = f"transform(peers, r -> cast(coalesce(try_element_at(r.privacy.parameters, '{name}'), '{default}') AS {kind}))"
+        item = f"array(named_struct('key', '{name}', 'value', cast({pick}({each}) AS string)))"
+        return item if always else f"CASE WHEN array_contains(names, '{name}') THEN {item} ELSE {none} END"
+
+    noisy = (
+        f"concat(filter({first}, e -> e.key NOT IN ('epsilon', 'delta')), "
+        f"{numeric('epsilon', '10.0', 'double', 'array_min', always=True)}, {numeric('delta', '1.0', 'double', 'array_min')})"
+    )
+    grouped = (
+        f"concat(filter({first}, e -> e.key NOT IN ('k', 'l')), "
+        f"{numeric('k', '0', 'bigint', 'array_max')}, {numeric('l', '0', 'bigint', 'array_max')})"
+    )
+    values = "transform(filter(entries, e -> e.key = n), e -> e.value)"
+    united = f"transform(names, n -> named_struct('key', n, 'value', {values}[0]))"
     merged = (
-        F.when(~several, F.map_entries(winner["privacy"]["parameters"]))
-        .when(is_noise, noisy)
-        .when(is_group, grouped)
-        .otherwise(united)
-    )
-    conflict = several & ~is_noise & ~is_group & F.exists(names, lambda n: F.size(F.array_distinct(values_of(n))) > 1)
-    parameters = F.map_from_entries(F.array_sort(merged))
-    if on_conflict == "error":
-        parameters = F.when(
-            conflict,
-            F.raise_error(F.concat(F.lit("conflicting privacy parameters near "), winner["id"])).cast("map<string,string>"),
-        ).otherwise(parameters)
-    shown = F.array_join(
-        F.transform(F.array_sort(merged), lambda e: F.concat(F.lit("'"), e["key"], F.lit("': '"), e["value"], F.lit("'"))), ", "
+        f"array_sort(CASE WHEN size(peers) = 1 THEN {first} WHEN best = {noise} THEN {noisy} "
+        f"WHEN best = {grouping} THEN {grouped} ELSE {united} END)"
     )
-    text = F.concat(
-        F.lit("Enforced strongest privacy method '"), enum_name(method, fixed.PRIVACY_METHOD),
-        F.lit("' with parameters: {"), shown, F.lit("}."),
+    conflict = (
+        f"size(peers) > 1 AND best NOT IN ({noise}, {grouping}) AND exists(names, n -> size(array_distinct({values})) > 1)"
     )
-    return F.struct(
-        method.alias("method"), parameters.alias("parameters"), conflict.alias("conflict"), _reason(winner, text)
+    parameters = "map_from_entries(merged)"
+    if on_conflict == "error":
+        failure = "raise_error(concat('conflicting privacy parameters near ', peers[0].id))"
+        parameters = f"CASE WHEN conflict THEN cast({failure} AS map<string,string>) ELSE {parameters} END"
+    name = "CASE best " + " ".join(f"WHEN {v} THEN '{k}'" for k, v in fixed.PRIVACY_METHOD.items()) + " END"
+    shown = "array_join(transform(merged, e -> concat('''', e.key, ''': ''', e.value, '''')), ', ')"
+    text = f"concat('Enforced strongest privacy method ''', {name}, ''' with parameters: {{', {shown}, '}}.')"
+    body = (
+        f"named_struct('method', best, 'parameters', {parameters}, 'conflict', conflict, 'reason', {_reason('peers[0]', text)})"
     )
+    body = _let("merged", merged, _let("conflict", conflict, body))
+    body = _let("names", "array_distinct(transform(entries, e -> e.key))", body)
+    body = _let("entries", "flatten(transform(peers, r -> map_entries(r.privacy.parameters)))", body)
+    body = _let("peers", f"filter({rules}, r -> r.privacy.method = best)", body)
+    return _let("best", f"array_max(transform({rules}, r -> r.privacy.method))", body)
 
 
 # domain of the policy -> (rule column of the obligation, fold)
-RESOLVERS: dict[str, tuple[str, Callable[[Column], Column]]] = {
+RESOLVERS: dict[str, tuple[str, Callable[[str], str]]] = {
     "retention": ("retention", resolve_retention),
     "geofencing": ("geofencing", resolve_geofencing),
     "ai_rules": ("ai_model", resolve_ai),
@@ -224,8 +186,7 @@ RESOLVERS: dict[str, tuple[str, Callable[[Column], Column]]] = {
 }
 
 
-def _by_ord(left: Column, right: Column) -> Column:
-    return F.when(left["ord"] < right["ord"], -1).when(left["ord"] > right["ord"], 1).otherwise(0)
+_BY_ORD = "(a, b) -> CASE WHEN a.ord < b.ord THEN -1 WHEN a.ord > b.ord THEN 1 ELSE 0 END"
 
 
 def rule_sets(matches: DataFrame) -> DataFrame:
@@ -243,22 +204,19 @@ def fold_rule_sets(sets: DataFrame, obligations: DataFrame, domains: list[str] |
     distinct = sets.select("rule_set").distinct()
     joined = distinct.select("rule_set", F.explode("rule_set").alias("ord")).join(rules, "ord")
     collected = [
-        F.array_sort(
-            F.collect_list(F.when(F.col(RESOLVERS[d][0]).isNotNull(), F.struct("ord", "id", "title", "source_id", RESOLVERS[d][0]))),
-            _by_ord,
-        ).alias(f"_{d}")
-        for d in chosen
+        F.expr(f"array_sort(collect_list(CASE WHEN {rule} IS NOT NULL THEN struct(ord, id, title, source_id, {rule}) END), {_BY_ORD})").alias(
+            f"_{domain}"
+        )
+        for domain, rule in ((d, RESOLVERS[d][0]) for d in chosen)
     ]
     grouped = joined.groupBy("rule_set").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda r: r["id"]).alias("contributing_obligation_ids"),
-        *collected,
+        F.expr("transform(array_sort(collect_list(struct(ord, id))), r -> r.id)").alias("contributing_obligation_ids"), *collected
     )
     folds = []
     for domain in chosen:
         fold = RESOLVERS[domain][1]
-        ordered = F.col(f"_{domain}")
-        value = fold(ordered, on_conflict) if domain == "privacy" else fold(ordered)
-        folds.append(F.when(F.size(ordered) > 0, value).alias(domain))
+        value = fold(f"_{domain}", on_conflict) if domain == "privacy" else fold(f"_{domain}")
+        folds.append(F.expr(f"CASE WHEN size(_{domain}) > 0 THEN {value} END").alias(domain))
     return grouped.select("rule_set", *folds, "contributing_obligation_ids")
 
 
