@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from govspark import fixed_values as fixed
 from govspark.operators.match import match_obligations
+from govspark.session import materialize
 
 _STRINGS = "array<string>"
 
@@ -224,7 +225,8 @@ def resolve_policies(
     resources: DataFrame, obligations: DataFrame, domains: list[str] | None = None, on_conflict: str = "flag"
 ) -> DataFrame:
     """Effective policy of every resource; one without a match gets an empty policy."""
-    sets = rule_sets(match_obligations(resources, obligations))
+    # One short row per resource, read twice below: matching must not run twice for that.
+    sets = materialize(rule_sets(match_obligations(resources, obligations)))
     folded = fold_rule_sets(sets, obligations, domains, on_conflict)
     applied = sets.join(folded, "rule_set").drop("rule_set")
     return (

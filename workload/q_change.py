@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govspark import fixed_values as fixed
 from govspark.operators import change
 from workload.q_policies import ALL_DOMAINS, METHOD_NAME, policies
 from workload.registry import query
 from workload.tables import Tables, as_of
-from workload.views import AS_OF, VIEWS
+from workload.views import AS_OF
 
 # Definitions as JSON text; the incoming side writes its keys in another order.
 _DOC = """'{{"days":' || (k % {mod}) || ',"title":"' || title || '"}}'"""
@@ -86,8 +87,6 @@ def g5_changed_only(t: Tables) -> DataFrame:
 
 def _suffixed(sql: str) -> str:
     """The resolution statements once more, over the second version of the obligations."""
-    import re
-
     names = set(re.findall(r"(?:^|[\s,])(\w+) AS \(", sql)) & {
         "matches", "hits", "retention", "geofencing", "purpose", "ai_rules", "ai_sum", "ai", "top_method", "peers", "privacy", "privacy_text",
         *[f"{p}_{s}" for p in ("geo", "use") for s in ("rules", "allow", "deny", "n", "kept", "final", "death", "end", "win", "lists")],
@@ -163,5 +162,3 @@ def g7_risk_delta(t: Tables) -> DataFrame:
 def g8_diff_report(t: Tables) -> DataFrame:
     return change.diff_markdown(_changes(t))
 
-
-__all__ = ["VIEWS", "fixed"]

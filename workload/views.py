@@ -123,10 +123,12 @@ def _obligations(keys: str, halve: bool) -> str:
     n, s = "src = 'n'", "src = 's'"
     days = "30 * (1 + k % 25)"
     duration = f"CAST({days} * 86400 / CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END AS BIGINT)" if halve else f"CAST({days} * 86400 AS BIGINT)"
+    shift = "(k + 1)" if halve else "k"
+    method = "(k + k % 4) % 5" if halve else "k % 5"
     geo = case_of("k % 6", *quoted("DE,FR,IT,US", "DE,FR,GB,US", "", "DE,FR,JP,US", "DE,FR,FR", "BR,DE,FR,US"))
-    geo_deny = case_of("k % 5", *quoted("CN,RU", "RU", "", "FR", ""))
+    geo_deny = case_of(f"{shift} % 5", *quoted("CN,RU", "RU", "", "FR", ""))
     allow = case_of("k % 4", *quoted("ANALYTICS,FINANCE,MARKETING", "", "AI_TRAINING,ANALYTICS,FINANCE", "ANALYTICS,DEBUGGING,FINANCE"))
-    deny = case_of("k % 6", *quoted("MARKETING", "", "SALES", "", "HR_ADMIN,SALES", ""))
+    deny = case_of(f"{shift} % 6", *quoted("MARKETING", "", "SALES", "", "HR_ADMIN,SALES", ""))
     return f"""
     SELECT project_id, id, ord, k, d, src, {case_of('d', *quoted(*_DOMAIN_NAMES))} || ' rule of ' || source AS title,
       CAST(1 + k % 3 AS INT) AS enforcement_level, 'SRC-' || source AS source_id, k % 13 <> 12 AS is_active,
@@ -147,12 +149,12 @@ def _obligations(keys: str, halve: bool) -> str:
       CASE WHEN d = 1 THEN {geo_deny} END AS denied_regions,
       CASE WHEN d = 2 THEN CASE WHEN k % 23 = 22 THEN 'HR_ADMIN' ELSE {allow} END END AS allowed_purposes,
       CASE WHEN d = 2 THEN {deny} END AS denied_purposes,
-      CASE WHEN d = 3 THEN CAST(k % 5 AS INT) END AS method,
-      CASE WHEN d = 3 AND k % 5 = 3 THEN {case_of('k % 4', *quoted('0.5', '1.0', '2.0'), 'NULL')} END AS p_epsilon,
-      CASE WHEN d = 3 AND k % 5 = 3 AND k % 3 = 0 THEN '0.01' END AS p_delta,
-      CASE WHEN d = 3 AND k % 5 = 2 THEN CAST(3 + k % 8 AS STRING) END AS p_k,
-      CASE WHEN d = 3 AND k % 5 = 1 THEN CASE WHEN k % 3 = 0 THEN 'AES256' ELSE 'SHA256' END END AS p_algorithm,
-      CASE WHEN d = 4 THEN k % 3 <> 0 END AS training, CASE WHEN d = 4 THEN k % 4 <> 0 END AS tuning,
+      CASE WHEN d = 3 THEN CAST({method} AS INT) END AS method,
+      CASE WHEN d = 3 AND {method} = 3 THEN {case_of('k % 4', *quoted('0.5', '1.0', '2.0'), 'NULL')} END AS p_epsilon,
+      CASE WHEN d = 3 AND {method} = 3 AND k % 3 = 0 THEN '0.01' END AS p_delta,
+      CASE WHEN d = 3 AND {method} = 2 THEN CAST(3 + k % 8 AS STRING) END AS p_k,
+      CASE WHEN d = 3 AND {method} = 1 THEN CASE WHEN k % 3 = 0 THEN 'AES256' ELSE 'SHA256' END END AS p_algorithm,
+      CASE WHEN d = 4 THEN {shift} % 3 <> 0 END AS training, CASE WHEN d = 4 THEN k % 4 <> 0 END AS tuning,
       CASE WHEN d = 4 THEN k % 5 <> 0 END AS rag,
       CASE WHEN d = 4 THEN CASE WHEN k % 4 = 1 THEN 'Credit ' || source ELSE '' END END AS credit
     FROM {keys}"""
@@ -163,7 +165,7 @@ def v_obligations(d: Dialect) -> str:
 
 
 def v_obligations_v2(d: Dialect) -> str:
-    """Even durations halved, some contracts gone and some new."""
+    """Even durations halved, some lists, methods and flags changed, some contracts gone and some new."""
     keys = """(SELECT * FROM v_obligation_keys WHERE NOT (src = 's' AND k % 50 = 49)
       UNION ALL SELECT project_id, 'ob-x' || k, 10000000000 + k, k, d, source, src FROM v_obligation_keys WHERE src = 's' AND k % 50 = 48) x"""
     return _obligations(keys, halve=True)
