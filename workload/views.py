@@ -311,6 +311,17 @@ def v_constraints(d: Dialect) -> str:
     return " UNION ALL ".join(rows)
 
 
+def v_passages(d: Dialect) -> str:
+    """Chunk-like rows: one per line, some short, some with quoted terms, with a section name."""
+    six, text = d.int_div("pos", 6), "CASE WHEN pos % 3 = 0 THEN substr(line, 1, 15) ELSE line END"
+    return f"""
+    SELECT doc_id, pos AS start_pos, doc_id || '-' || pos AS chunk_id, {d.int_div('pos', 4)} + 1 AS page,
+      CASE WHEN doc_id % 9 = 4 AND {six} = 1 THEN '1. Definitions' ELSE 'Part ' || {six} END AS section,
+      CASE (doc_id + pos) % 7 WHEN 0 THEN '"Customer Data" and "Provider" ' || {text} WHEN 1 THEN {text} || ' shall mean it'
+        WHEN 2 THEN 'A definition of ' || {text} ELSE {text} END AS content
+    FROM ({d.lines('documents', 'doc_id', 'text')}) x"""
+
+
 VIEWS = {name: fn for name, fn in list(globals().items()) if name.startswith("v_")}
 _SPARK, _DUCK = Dialect("spark"), Dialect("duckdb")
 
