@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from govspark import fixed_values as fixed
 from govspark.functions import uuid5_dns
-from govspark.operators.ordered import ordered_ranges, running
+from govspark.operators.ordered import MAX_GROUP_ROWS, largest_group, ordered_ranges, running
 
 _STRINGS = "array<string>"
 
@@ -39,7 +39,9 @@ def clean_elements(elements: DataFrame) -> DataFrame:
 
 # --- chunks ------------------------------------------------------------------
 
-def chunk_elements(elements: DataFrame, max_tokens: int = 800, html: str | None = None) -> DataFrame:
+def chunk_elements(
+    elements: DataFrame, max_tokens: int = 800, html: str | None = None, max_group_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
     """Section-aware chunks of (doc_id, pos, kind, text, page).
 
     A Title closes the section before it and names the next one (`Preamble` before the first). A Table
@@ -64,9 +66,10 @@ def chunk_elements(elements: DataFrame, max_tokens: int = 800, html: str | None
         # A title or a table ends the text before it, and the text after it starts afresh.
         sums={"cut": F.when(title | table, 1).otherwise(0)},
         lasts={"section": F.col("title")},
+        max_group_rows=max_group_rows,
     ).select("doc_id", "pos", "cut", F.coalesce("section", F.lit("Preamble")).alias("section"), "kind", "tokens")
     packed = pack_greedily(
-        numbered.filter(~title & ~table & (F.col("tokens") > 0)), ["doc_id", "cut"], "pos", "tokens", max_tokens
+        numbered.filter(~title & ~table & (F.col("tokens") > 0)), ["doc_id", "cut"], "pos", "tokens", max_tokens, max_group_rows
     ).select("doc_id", "pos", "cut", "section", "chunk_no")
     alone = numbered.filter(table).select("doc_id", "pos", "cut", "section", F.lit(-1).cast("bigint").alias("chunk_no"))
     content = rows.filter(~title).select("doc_id", "pos", "text", "page")
@@ -89,14 +92,19 @@ def chunk_elements(elements: DataFrame, max_tokens: int = 800, html: str | None
     )
 
 
-def pack_greedily(df: DataFrame, keys: list[str], order: str, size: str, limit: int) -> DataFrame:
+def pack_greedily(
+    df: DataFrame, keys: list[str], order: str, size: str, limit: int, max_group_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
     """Add ``chunk_no``: consecutive rows of a key share one while their sizes sum to at most ``limit``.
 
     Greedy packing depends on all rows before it, but only through the size of the open chunk, a number
-    up to ``limit``. Rows are range-partitioned; each range is summarised by what it does to every
-    possible open size, the summaries of ranges are chained, and then each range is numbered on its own.
-    A key may be as long as the table.
+    up to ``limit``. When some key has more than ``max_group_rows`` rows, rows are range-partitioned, each
+    range is summarised by what it does to every possible open size, the summaries of ranges are chained,
+    and then each range is numbered on its own. A key may be as long as the table.
     """
+    if largest_group(df, keys) <= max_group_rows:
+        whole = df.select("*", *[F.lit(0).alias(c) for c in ("_range", "_open", "_done")])
+        return _number_chunks(whole.repartition(*keys), df, keys, order, size, limit)
     ranged = ordered_ranges(df, keys, [order])
     cells = [*keys, "_range"]
     spans = ranged.groupBy(*keys).agg(F.countDistinct("_range").alias("n")).filter(F.col("n") > 1).select(*keys)
@@ -144,28 +152,29 @@ def pack_greedily(df: DataFrame, keys: list[str], order: str, size: str, limit:
     carried = ranged.join(
         carries.select(*cells, F.col("open").alias("_open"), F.col("done").alias("_done")), cells, "left"
     ).fillna(0, ["_open", "_done"])
-    sorted_rows = carried.repartition(*cells).sortWithinPartitions(*cells, order)
-    fields = [f for f in df.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", chunk_no bigint"
-    names = [f.name for f in fields]
+    return _number_chunks(carried.repartition(*cells), df, keys, order, size, limit)
+
+
+def _number_chunks(placed: DataFrame, df: DataFrame, keys: list[str], order: str, size: str, limit: int) -> DataFrame:
+    """Number the rows of each (key, range) from its carried-in state, one sorted pass per partition."""
+    cells, names = [*keys, "_range"], df.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", chunk_no bigint"
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, opened, chunk = None, 0, 0
         for batch in batches:
-            cell_rows = list(zip(*[batch[c] for c in cells]))
             numbers = []
-            for i, (cell, amount) in enumerate(zip(cell_rows, batch[size])):
+            carried = zip(zip(*[batch[c] for c in cells]), batch[size], batch["_open"], batch["_done"])
+            for cell, amount, carry_open, carry_done in carried:
                 if cell != current:
-                    current, opened, chunk = cell, int(batch["_open"].iloc[i]), int(batch["_done"].iloc[i])
+                    current, opened, chunk = cell, carry_open, carry_done
                 if opened > 0 and opened + amount > limit:
-                    chunk, opened = chunk + 1, amount
-                else:
-                    opened = opened + amount
-                opened = min(opened, limit)
+                    chunk, opened = chunk + 1, 0
+                opened = min(opened + amount, limit)
                 numbers.append(chunk)
             yield batch[names].assign(chunk_no=numbers)
 
-    return sorted_rows.mapInPandas(number, schema)
+    return placed.sortWithinPartitions(*cells, order).mapInPandas(number, schema)
 
 
 # --- vectors -----------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from govspark import fixed_values as fixed
 from govspark.functions import canonical_json
 from govspark.functions.time import iso_utc
-from govspark.operators.ordered import running
+from govspark.operators.ordered import MAX_GROUP_ROWS, running
 
 HASHED_FIELDS = [
     "id", "timestamp", "actor", "resource_urn", "action", "decision", "evaluation_trace", "request_context",
@@ -111,6 +111,7 @@ def seal(
     min_entries: int = fixed.SEAL_MIN_ENTRIES,
     max_age_s: int = fixed.SEAL_MAX_AGE_S,
     capacity: int = fixed.BLOCK_CAPACITY,
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Seal unsealed entries (project_id, id, timestamp, entry_hash) into blocks of ``capacity``.
 
@@ -120,9 +121,8 @@ def seal(
     count in ``log_count`` but not in the tree; a block without any hash is not sealed.
     """
     lean = unsealed.select("project_id", "timestamp", "id", "entry_hash")
-    numbered = running(lean, ["project_id"], ["timestamp", "id"], number="_n").withColumn(
-        "_block", F.floor(F.col("_n") / capacity)
-    )
+    numbered = running(lean, ["project_id"], ["timestamp", "id"], number="_n", max_group_rows=max_group_rows)
+    numbered = numbered.withColumn("_block", F.floor(F.col("_n") / capacity))
     # A block never holds more than `capacity` entries, so its leaves fit in one group.
     grouped = numbered.groupBy("project_id", "_block").agg(
         F.collect_list(F.when(F.length("entry_hash") == 64, F.col("entry_hash"))).alias("leaves"),

@@ -23,7 +23,7 @@ def parse_audit_stream(raw: DataFrame, value: str = "value") -> DataFrame:
     decodable messages that miss a required field are kept apart for a retry.
     """
     decoded = raw.withColumn("_e", F.from_json(value, AUDIT_EVENT, {"mode": "PERMISSIVE"}))
-    broken = F.col("_e").isNull() | F.try_parse_json(F.col(value)).isNull()
+    broken = F.try_parse_json(F.col(value)).isNull()
     missing = F.lit(False)
     for field in REQUIRED:
         missing = missing | F.col(f"_e.{field}").isNull()
@@ -46,7 +46,9 @@ def canonicalize_audit(events: DataFrame) -> DataFrame:
     decision = F.lit(fixed.DECISION["UNSPECIFIED"])
     for member, number in fixed.DECISION.items():
         decision = F.when(name == member, F.lit(number)).otherwise(decision)
-    trace = F.from_json("reason_trace", _TRACE)
+    # A column of its own, so that the JSON is parsed once per row.
+    events = events.withColumn("_trace", F.from_json("reason_trace", _TRACE))
+    trace = F.col("_trace")
     return events.select(
         "id",
         "project_id",

@@ -104,14 +104,14 @@ def a8_all_violations(t: Tables) -> DataFrame:
     return decided.select("request_id", "project_id", "resource_urn", "allowed", F.array_join("violations", " / ").alias("violations"))
 
 
-# Lineage among the resources themselves: resource k feeds 2k and 2k + 1, across the projects of each.
+# Lineage among the resources themselves: resource k feeds 10k to 10k + 9, across the projects of each.
 _EDGE = f"""
-  SELECT {project_of('p_partkey')} AS project_id, {urn_of('p_partkey // 2')} AS source_urn, {urn_of('p_partkey')} AS target_urn FROM part WHERE p_partkey > 1"""
+  SELECT {project_of('p_partkey')} AS project_id, {urn_of('p_partkey // 10')} AS source_urn, {urn_of('p_partkey')} AS target_urn FROM part WHERE p_partkey > 0"""
 
 
 def resource_edges(t: Tables) -> DataFrame:
     t.base("part")
-    return t.spark.sql(_EDGE.replace("p_partkey // 2", "CAST(floor(p_partkey / 2) AS BIGINT)"))
+    return t.spark.sql(_EDGE.replace("p_partkey // 10", "CAST(floor(p_partkey / 10) AS BIGINT)"))
 
 
 _POISON = f""",

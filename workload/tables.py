@@ -50,6 +50,13 @@ class Tables:
             self._seen[name].createOrReplaceTempView(name)
         return self._seen[name]
 
+    def spread(self, df: DataFrame, base: str) -> DataFrame:
+        """Use all cores when the file of a table has fewer row groups than that."""
+        cores = self.spark.sparkContext.defaultParallelism
+        if ("parts", base) not in self._seen:
+            self._seen["parts", base] = self.base(base).rdd.getNumPartitions()
+        return df.repartition(cores) if self._seen["parts", base] < cores else df
+
     def view(self, name: str) -> DataFrame:
         for view in needed(name):
             if view not in self._seen:
@@ -67,9 +74,10 @@ class Tables:
         tags = present_map(
             {"brand": F.col("brand"), "type": F.col("type_tag"), "env": F.col("env"), "vendor": F.col("vendor")}
         )
-        return self.view("v_resources").select(
+        resources = self.view("v_resources").select(
             "project_id", "urn", "platform", "name", tags.alias("tags"), "sensitivity", "risk_level", "ai_training_allowed", "owner"
         )
+        return self.spread(resources, "part")
 
     def obligations(self, version: str = "v_obligations") -> DataFrame:
         d = lambda n: F.col("d") == n
@@ -121,10 +129,11 @@ class Tables:
             F.col("reason").alias("decision_reason"), F.lit("h1").alias("resolved_policy_hash"), "cache_hit",
             F.filter(F.array(F.struct("obligation_id")), lambda p: p["obligation_id"].isNotNull()).alias("contributing_policies"),
         ))
-        return self.view("v_audit_log").select(
+        log = self.view("v_audit_log").select(
             "id", "project_id", F.col("timestamp_").cast("timestamp").alias("timestamp"), "actor_id", "resource_urn", "action",
             "decision", F.when(F.col("event_id") % 5 != 4, trace).alias("reason_trace"), "request_context",
         )
+        return self.spread(log, "events")
 
     def run_signals(self) -> DataFrame:
         signals = self.view("v_run_signals")
@@ -164,7 +173,7 @@ class Tables:
         )
 
     def elements(self) -> DataFrame:
-        return self.view("v_elements")
+        return self.spread(self.view("v_elements"), "documents")
 
     def constraints(self) -> DataFrame:
         return self.view("v_constraints")
