@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from govspark import fixed_values as fixed
 from govspark.functions import uuid5_dns
 from govspark.operators.ordered import MAX_GROUP_ROWS, largest_group, ordered_ranges, running
+from govspark.session import materialize
 
 _STRINGS = "array<string>"
 
@@ -56,8 +57,8 @@ def chunk_elements(
         "doc_id", "pos", "kind", F.when(table, body).otherwise(trimmed).alias("text"), F.col("page").cast("bigint").alias("page")
     )
     # Numbering and packing move positions and sizes only; the text joins in once at the end.
-    sizes = rows.select(
-        "doc_id", "pos", "kind", count_tokens(F.col("text")).alias("tokens"), F.when(title, F.col("text")).alias("title")
+    sizes = materialize(
+        rows.select("doc_id", "pos", "kind", count_tokens(F.col("text")).alias("tokens"), F.when(title, F.col("text")).alias("title"))
     )
     numbered = running(
         sizes,

@@ -185,21 +185,19 @@ def merkle_proof(sealed_log: DataFrame) -> DataFrame:
         .agg(F.collect_list("entry_hash").alias("leaves"))
         .select("project_id", "sequence_index", merkle_levels(F.col("leaves")).alias("levels"))
     )
-    base = F.get("levels", F.lit(0))
-    inner = F.slice("levels", F.lit(1), F.size("levels") - 1)
-
-    def proof(pos: Column) -> Column:
-        def sibling(level: Column, height: Column) -> Column:
-            at = F.floor(pos / F.pow(F.lit(2.0), height)).cast("int")
-            return F.coalesce(F.get(level, at.bitwiseXOR(F.lit(1))), F.get(level, at))
-
-        repeated = F.get(base, pos + 1).eqNullSafe(F.get(base, pos))
-        body = F.struct(F.get(base, pos).alias("entry_hash"), F.transform(inner, sibling).alias("siblings"))
-        return F.when(~repeated, body)
-
     # Proofs are built inside the row of the block, so the levels are not copied per leaf.
-    proofs = F.filter(F.transform(F.sequence(F.lit(0), F.size(base) - 1), proof), lambda p: p.isNotNull())
-    return blocks.select("project_id", "sequence_index", F.inline(proofs))
+    return blocks.select(
+        "project_id",
+        "sequence_index",
+        F.expr(
+            """inline(array_compact(transform(sequence(0, size(levels[0]) - 1), pos ->
+                 CASE WHEN NOT (get(levels[0], pos + 1) <=> levels[0][pos]) THEN named_struct(
+                   'entry_hash', levels[0][pos],
+                   'siblings', transform(slice(levels, 1, size(levels) - 1), (level, height) ->
+                     coalesce(get(level, shiftright(pos, height) ^ 1), get(level, shiftright(pos, height)))))
+                 END)))"""
+        ),
+    )
 
 
 def verify_proofs(proofs: DataFrame, blocks: DataFrame) -> DataFrame:

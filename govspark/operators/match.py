@@ -7,8 +7,10 @@ equality keys that a matching resource must own, and one hash join gives the can
 * a tag key    - one required ``key=value`` pair, the rarest one when there are several;
 * prefix keys  - the literal text of each include glob up to its last colon (or all of it, when it
                  has no wildcard), against the prefixes of the urn;
-* a spread key - for globs without such text. The selector is repeated for a fixed number of spread
-                 numbers and each resource belongs to one of them, so no key collects all resources.
+* glob keys    - for globs without such text, when their distinct number is small: each resource is
+                 tested against those few fixed patterns and owns the ones that hit;
+* a spread key - for the rest. The selector is repeated for a fixed number of spread numbers and each
+                 resource belongs to one of them, so no key collects all resources.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from govspark.session import materialize
 
 _WILDCARD = r"[*?\[]"
 _STRINGS = "array<string>"
-_TAG, _PREFIX, _SPREAD = "t:", "p:", "s:"
+_TAG, _PREFIX, _GLOB, _SPREAD = "t:", "p:", "g:", "s:"
+# Up to this many distinct patterns are compiled into the scan of the resources.
+MAX_SCAN_GLOBS = 64
 
 
 def _pair(tag: Column) -> Column:
@@ -83,7 +87,15 @@ def _rarest(resources: DataFrame, selectors: DataFrame) -> DataFrame:
 
 def _owns(urn: Column, key: Column) -> Column:
     text = F.substring(key, len(_PREFIX) + 1, 2**30)
-    return F.when(text.endswith(":"), urn.startswith(text)).otherwise(urn == text)
+    by_prefix = F.when(text.endswith(":"), urn.startswith(text)).otherwise(urn == text)
+    return F.when(key.startswith(_GLOB), F.rlike(urn, text)).otherwise(by_prefix)
+
+
+def _scan_globs(selectors: DataFrame, limit: int) -> list[str]:
+    """The distinct regexes of selectors without a key, or none when there are more than ``limit``."""
+    unkeyed = selectors.filter(F.size("keys") == 0).select(F.explode("include_rx").alias("rx")).distinct()
+    found = [row.rx for row in unkeyed.limit(limit + 1).collect()]
+    return sorted(found) if len(found) <= limit else []
 
 
 def _tag_ok(resource_tags: Column, required: Column) -> Column:
@@ -93,7 +105,9 @@ def _tag_ok(resource_tags: Column, required: Column) -> Column:
     )
 
 
-def match_obligations(resources: DataFrame, obligations: DataFrame, spread: int = 64) -> DataFrame:
+def match_obligations(
+    resources: DataFrame, obligations: DataFrame, spread: int = 64, max_scan_globs: int = MAX_SCAN_GLOBS
+) -> DataFrame:
     """(project_id, urn, ord) of every resource and active obligation that applies to it.
 
     An obligation without a project applies to all projects. ``ord`` must be unique.
@@ -106,6 +120,10 @@ def match_obligations(resources: DataFrame, obligations: DataFrame, spread: int
     selectors = materialize(_selectors(obligations))
     if not selectors.filter("choose").isEmpty():
         selectors = selectors.filter("NOT choose").unionByName(_rarest(lean, selectors))
+    globs = _scan_globs(selectors, max_scan_globs)
+    if globs:
+        glob_keys = F.transform("include_rx", lambda rx: F.concat(F.lit(_GLOB), rx))
+        selectors = selectors.withColumn("keys", F.when(F.size("keys") == 0, glob_keys).otherwise(F.col("keys")))
     spread_keys = F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda i: F.concat(F.lit(_SPREAD), i.cast("string")))
     keyed = selectors.withColumn("key", F.explode(F.when(F.size("keys") > 0, F.col("keys")).otherwise(spread_keys)))
 
@@ -115,8 +133,9 @@ def match_obligations(resources: DataFrame, obligations: DataFrame, spread: int
         ends, lambda n: F.concat(F.lit(_PREFIX), F.array_join(F.slice(segments, F.lit(1), n), ":"), F.lit(":"))
     )
     mine = F.concat(F.lit(_SPREAD), F.pmod(F.xxhash64("urn"), F.lit(spread)).cast("string"))
-    owned_keys = F.concat(
-        F.transform(F.map_entries("r_tags"), _pair), prefixes, F.array(F.concat(F.lit(_PREFIX), urn), mine)
+    hits = [F.when(urn.rlike(rx), F.lit(_GLOB + rx)) for rx in globs]
+    owned_keys = F.array_compact(
+        F.concat(F.transform(F.map_entries("r_tags"), _pair), prefixes, F.array(F.concat(F.lit(_PREFIX), urn), mine, *hits))
     )
     owned = lean.withColumn("key", F.explode(F.array_distinct(owned_keys)))
 
@@ -128,7 +147,7 @@ def match_obligations(resources: DataFrame, obligations: DataFrame, spread: int
         & first_key
         & ~F.exists("exclude_rx", hit)
         & _tag_ok(F.col("r_tags"), F.col("tags"))
-        & ((F.size("include_rx") == 0) | F.exists("include_rx", hit))
+        & (F.col("key").startswith(_GLOB) | (F.size("include_rx") == 0) | F.exists("include_rx", hit))
     ).select("project_id", "urn", "ord")
 
 

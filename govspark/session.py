@@ -34,6 +34,8 @@ def local_session(app_name: str = "govspark", cores: str = "8", **conf: str) ->
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Small test data is still worth all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         # Call-site capture costs several JVM round trips per Column.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
