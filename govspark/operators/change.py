@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govspark import fixed_values as fixed
-from govspark.functions import canonical_json_text, enum_name
+from govspark.functions import canonical_json_text
 
 _STRINGS = "array<string>"
 
@@ -104,154 +104,168 @@ def changed_only(definitions: DataFrame, seen: DataFrame) -> DataFrame:
 # --- semantic diff -----------------------------------------------------------
 
 
-def _change(position: int, category: str, field: str, old: Column, new: Column, kind: str, impact: Column, text: Column) -> Column:
-    return F.struct(
-        F.lit(position).alias("position"),
-        F.lit(category).alias("category"),
-        F.lit(field).alias("field"),
-        old.cast("string").alias("old_value"),
-        new.cast("string").alias("new_value"),
-        F.lit(kind).alias("change_type"),
-        impact.alias("impact"),
-        text.alias("description"),
+def _impact(restrictive: str) -> str:
+    return f"CASE WHEN {restrictive} THEN 'RESTRICTIVE' ELSE 'PERMISSIVE' END"
+
+
+def _clock(seconds: str) -> str:
+    """SQL for seconds in the form '3 days, 2:00:00'."""
+    days = f"cast(floor({seconds} / 86400) AS bigint)"
+    time = (
+        f"format_string('%d:%02d:%02d', cast(floor({seconds} % 86400 / 3600) AS bigint), "
+        f"cast(floor({seconds} % 3600 / 60) AS bigint), cast({seconds} % 60 AS bigint))"
     )
+    prefix = f"CASE WHEN {days} = 0 THEN '' WHEN abs({days}) = 1 THEN concat({days}, ' day, ') ELSE concat({days}, ' days, ') END"
+    return f"concat({prefix}, {time})"
 
 
-def _impact(restrictive: Column) -> Column:
-    return F.when(restrictive, F.lit("RESTRICTIVE")).otherwise(F.lit("PERMISSIVE"))
+def _flag(value: str) -> str:
+    return f"CASE WHEN {value} THEN 'True' ELSE 'False' END"
 
 
-def _clock(seconds: Column) -> Column:
-    """Seconds in the form '3 days, 2:00:00'."""
-    days = F.floor(seconds / 86400)
-    rest = F.format_string(
-        "%d:%02d:%02d", F.floor(seconds % 86400 / 3600), F.floor(seconds % 3600 / 60), (seconds % 60).cast("bigint")
-    )
-    unit = F.when(F.abs(days) == 1, F.lit(" day, ")).otherwise(F.lit(" days, "))
-    return F.when(days == 0, rest).otherwise(F.concat(days.cast("string"), unit, rest))
+_TIGHT, _LOOSE, _NEUTRAL, _NONE = "'RESTRICTIVE'", "'PERMISSIVE'", "'NEUTRAL'", "cast(NULL AS string)"
+# condition, category, field, old value, new value, change type, impact, description; all but the names in SQL
+_Change = tuple[str, str, str, str, str, str, str, str]
 
 
-def _yes_no(flag: Column) -> Column:
-    return F.when(flag, F.lit("True")).otherwise(F.lit("False"))
+def _presence(name: str) -> tuple[str, str, str]:
+    old, new = f"o_{name} IS NOT NULL", f"n_{name} IS NOT NULL"
+    return f"NOT {old} AND {new}", f"{old} AND NOT {new}", f"{old} AND {new}"
 
 
-def _say(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+def _flip(condition: str, category: str, path: str, true_is_tight: bool, text: str) -> _Change:
+    """A boolean that changed; ``text`` may name the old and new value."""
+    old, new = _flag(f"o_{path}"), _flag(f"n_{path}")
+    impact = _impact(f"n_{path}" if true_is_tight else f"NOT n_{path}")
+    field = path.split(".")[-1]
+    return (f"{condition} AND o_{path} <> n_{path}", category, field, old, new, "MODIFIED", impact, text.format(old=old, new=new))
 
 
-def _presence(old: Column, new: Column) -> tuple[Column, Column, Column]:
-    return old.isNull() & new.isNotNull(), old.isNotNull() & new.isNull(), old.isNotNull() & new.isNotNull()
+def _set_change(condition: str, category: str, path: str, growth_is_loose: bool, gained: str, lost: str) -> list[_Change]:
+    field = path.split(".")[-1]
+    names = lambda a, b: f"array_join(array_sort(array_except({a}_{path}, {b}_{path})), ', ')"
+    more, less = names("n", "o"), names("o", "n")
+    up, down = (_LOOSE, _TIGHT) if growth_is_loose else (_TIGHT, _LOOSE)
+    return [
+        (f"{condition} AND {more} <> ''", category, field, _NONE, more, "MODIFIED", up, f"concat('{gained}: ', {more})"),
+        (f"{condition} AND {less} <> ''", category, field, less, _NONE, "MODIFIED", down, f"concat('{lost}: ', {less})"),
+    ]
 
 
-def diff_policies(old: DataFrame, new: DataFrame, strict: bool = False) -> DataFrame:
-    """One row per material change between two policy snapshots.
+def _retention_changes() -> list[_Change]:
+    added, removed, both = _presence("retention")
+    old, new = _clock("o_retention.duration_s"), _clock("n_retention.duration_s")
+    hold = "concat('Legal Hold (Indefinite) changed from ', {old}, ' to ', {new}, '.')"
+    return [
+        (removed, "Retention", "rule", "'Defined'", "'None'", "REMOVED", _LOOSE, "'Retention rule removed. Data may be kept indefinitely.'"),
+        (added, "Retention", "rule", "'None'", new, "ADDED", _TIGHT, f"concat('Retention rule added. Max duration: ', {new}, '.')"),
+        _flip(both, "Retention", "retention.is_indefinite", False, hold),
+        (
+            f"{both} AND o_retention.duration_s <> n_retention.duration_s", "Retention", "duration", old, new, "MODIFIED",
+            _impact("n_retention.duration_s < o_retention.duration_s"),
+            f"concat('Retention duration changed from ', {old}, ' to ', {new}, '.')",
+        ),
+    ]
 
-    A resource that is in one snapshot only has an empty policy in the other. Removing geofencing gives a row only with ``strict``.
-    """
-    keys = ["project_id", "resource_urn"]
-    domains = ["retention", "geofencing", "ai_rules", "purpose", "privacy"]
-    side = lambda df, mark: df.select(
-        *keys,
-        *[F.col(d).alias(f"{mark}_{d}") for d in domains],
-        F.size("contributing_obligation_ids").alias(f"{mark}_count"),
-    )
-    joined = side(old, "o").join(side(new, "n"), keys, "full_outer").fillna(0, ["o_count", "n_count"])
-    none, as_is = F.lit(None).cast("string"), F.lit
-    candidates: list[tuple[Column, Column]] = []
-
-    def add(condition: Column, category: str, field: str, before: Column, after: Column, kind: str, impact: Column, text: Column):
-        body = _change(len(candidates), category, field, before, after, kind, impact, text)
-        candidates.append((condition, body))
-
-    tight, loose = F.lit("RESTRICTIVE"), F.lit("PERMISSIVE")
-
-    a, b = F.col("o_retention"), F.col("n_retention")
-    added, removed, both = _presence(a, b)
-    add(removed, "Retention", "rule", as_is("Defined"), as_is("None"), "REMOVED", loose,
-        as_is("Retention rule removed. Data may be kept indefinitely."))
-    add(added, "Retention", "rule", as_is("None"), _clock(b["duration_s"]), "ADDED", tight,
-        _say("Retention rule added. Max duration: ", _clock(b["duration_s"]), "."))
-    add(both & (a["is_indefinite"] != b["is_indefinite"]), "Retention", "is_indefinite",
-        _yes_no(a["is_indefinite"]), _yes_no(b["is_indefinite"]), "MODIFIED", _impact(~b["is_indefinite"]),
-        _say("Legal Hold (Indefinite) changed from ", _yes_no(a["is_indefinite"]), " to ", _yes_no(b["is_indefinite"]), "."))
-    add(both & (a["duration_s"] != b["duration_s"]), "Retention", "duration",
-        _clock(a["duration_s"]), _clock(b["duration_s"]), "MODIFIED", _impact(b["duration_s"] < a["duration_s"]),
-        _say("Retention duration changed from ", _clock(a["duration_s"]), " to ", _clock(b["duration_s"]), "."))
-
-    def add_sets(category: str, field: str, condition: Column, before: Column, after: Column, growth_is_loose: bool, gained: str, lost: str):
-        up = F.array_sort(F.array_except(after, before))
-        down = F.array_sort(F.array_except(before, after))
-        names = lambda values: F.array_join(values, ", ")
-        add(condition & (F.size(up) > 0), category, field, none, names(up), "MODIFIED",
-            loose if growth_is_loose else tight, _say(gained, names(up)))
-        add(condition & (F.size(down) > 0), category, field, names(down), none, "MODIFIED",
-            tight if growth_is_loose else loose, _say(lost, names(down)))
-
-    a, b = F.col("o_geofencing"), F.col("n_geofencing")
-    added, removed, both = _presence(a, b)
-    add(added, "Geofencing", "rule", as_is("None"), as_is("Defined"), "ADDED", tight, as_is("Geofencing rules applied."))
-    if strict:
-        add(removed, "Geofencing", "rule", as_is("Defined"), as_is("None"), "REMOVED", loose, as_is("Geofencing rules removed."))
-    add(both & (a["is_global_ban"] != b["is_global_ban"]), "Geofencing", "is_global_ban",
-        _yes_no(a["is_global_ban"]), _yes_no(b["is_global_ban"]), "MODIFIED", _impact(b["is_global_ban"]),
-        _say("Global Data Ban changed to ", _yes_no(b["is_global_ban"]), "."))
-    add_sets("Geofencing", "allowed_regions", both, a["allowed_regions"], b["allowed_regions"], True,
-             "Allowed regions added: ", "Allowed regions removed: ")
-
-    a, b = F.col("o_ai_rules"), F.col("n_ai_rules")
-    _, _, both = _presence(a, b)
+
+def _geofencing_changes(strict: bool) -> list[_Change]:
+    added, removed, both = _presence("geofencing")
+    gone = (removed, "Geofencing", "rule", "'Defined'", "'None'", "REMOVED", _LOOSE, "'Geofencing rules removed.'")
+    return [
+        (added, "Geofencing", "rule", "'None'", "'Defined'", "ADDED", _TIGHT, "'Geofencing rules applied.'"),
+        *([gone] if strict else []),
+        _flip(both, "Geofencing", "geofencing.is_global_ban", True, "concat('Global Data Ban changed to ', {new}, '.')"),
+        *_set_change(both, "Geofencing", "geofencing.allowed_regions", True, "Allowed regions added", "Allowed regions removed"),
+    ]
+
+
+def _ai_changes() -> list[_Change]:
+    _, _, both = _presence("ai_rules")
     flags = [
         ("training_allowed", "AI Training", False),
         ("fine_tuning_allowed", "AI Fine-Tuning", False),
         ("rag_allowed", "RAG Usage", False),
         ("attribution_required", "Attribution Requirement", True),
     ]
-    for field, label, true_is_tight in flags:
-        add(both & (a[field] != b[field]), "AI Rules", field, _yes_no(a[field]), _yes_no(b[field]), "MODIFIED",
-            _impact(b[field] if true_is_tight else ~b[field]),
-            _say(f"{label} changed from ", _yes_no(a[field]), " to ", _yes_no(b[field]), "."))
-    add(both & (a["attribution_text"] != b["attribution_text"]), "AI Rules", "attribution_text",
-        a["attribution_text"], b["attribution_text"], "MODIFIED", F.lit("NEUTRAL"), as_is("Attribution text content updated."))
-
-    a, b = F.col("o_purpose"), F.col("n_purpose")
-    added, removed, both = _presence(a, b)
-    add(added, "Purpose", "rule", as_is("Open"), as_is("Restricted"), "ADDED", tight, as_is("Purpose limitation rules applied."))
-    add(removed, "Purpose", "rule", as_is("Restricted"), as_is("Open"), "REMOVED", loose,
-        as_is("Purpose limitation removed. Data can be used for any purpose."))
-    add_sets("Purpose", "allowed_purposes", both, a["allowed_purposes"], b["allowed_purposes"], True,
-             "Allowed purposes expanded: ", "Allowed purposes reduced: ")
-    add_sets("Purpose", "denied_purposes", both, a["denied_purposes"], b["denied_purposes"], False,
-             "Denied purposes added: ", "Denied purposes removed: ")
-
-    a, b = F.col("o_privacy"), F.col("n_privacy")
-    added, removed, both = _presence(a, b)
-    name = lambda side: enum_name(side["method"], fixed.PRIVACY_METHOD)
-    add(added, "Privacy", "rule", as_is("None"), name(b), "ADDED", tight, _say("Privacy method ", name(b), " applied."))
-    add(removed, "Privacy", "rule", name(a), as_is("None"), "REMOVED", loose,
-        _say("Privacy method ", name(a), " removed. Data is now raw/unmasked."))
-    up = b["method"] > a["method"]
-    verdict = F.when(up, F.lit("Privacy method upgraded (stronger protection). ")).otherwise(
-        F.lit("Privacy method downgraded (weaker protection). ")
+    rows = [
+        _flip(both, "AI Rules", f"ai_rules.{field}", tight, f"concat('{label} changed from ', {{old}}, ' to ', {{new}}, '.')")
+        for field, label, tight in flags
+    ]
+    old, new = "o_ai_rules.attribution_text", "n_ai_rules.attribution_text"
+    text = "'Attribution text content updated.'"
+    return [*rows, (f"{both} AND {old} <> {new}", "AI Rules", "attribution_text", old, new, "MODIFIED", _NEUTRAL, text)]
+
+
+def _purpose_changes() -> list[_Change]:
+    added, removed, both = _presence("purpose")
+    lost = "'Purpose limitation removed. Data can be used for any purpose.'"
+    return [
+        (added, "Purpose", "rule", "'Open'", "'Restricted'", "ADDED", _TIGHT, "'Purpose limitation rules applied.'"),
+        (removed, "Purpose", "rule", "'Restricted'", "'Open'", "REMOVED", _LOOSE, lost),
+        *_set_change(both, "Purpose", "purpose.allowed_purposes", True, "Allowed purposes expanded", "Allowed purposes reduced"),
+        *_set_change(both, "Purpose", "purpose.denied_purposes", False, "Denied purposes added", "Denied purposes removed"),
+    ]
+
+
+def _privacy_changes() -> list[_Change]:
+    added, removed, both = _presence("privacy")
+    arms = " ".join(f"WHEN {v} THEN '{k}'" for k, v in fixed.PRIVACY_METHOD.items())
+    name = lambda side: f"CASE {side}_privacy.method {arms} END"
+    stronger = "n_privacy.method > o_privacy.method"
+    verdict = (
+        f"CASE WHEN {stronger} THEN 'Privacy method upgraded (stronger protection). ' "
+        "ELSE 'Privacy method downgraded (weaker protection). ' END"
     )
-    add(both & (a["method"] != b["method"]), "Privacy", "method", name(a), name(b), "MODIFIED", _impact(up),
-        _say(verdict, name(a), " -> ", name(b), "."))
-    param = lambda side, key: F.try_element_at(side["parameters"], F.lit(key))
-    for key, lower_is_tight in [("epsilon", True), ("k", False)]:
-        x, y = param(a, key).try_cast("double"), param(b, key).try_cast("double")
-        tighter = (y < x) if lower_is_tight else (y > x)
-        add(both & x.isNotNull() & y.isNotNull() & (x != y), "Privacy", f"parameters.{key}", x, y, "MODIFIED",
-            _impact(tighter), _say(f"Privacy parameter {key} changed from ", x.cast("string"), " to ", y.cast("string"), "."))
-    text = lambda side: F.to_json(F.array_sort(F.map_entries(side["parameters"])))
-    plain = param(a, "epsilon").isNull() & param(a, "k").isNull()
-    add(both & (text(a) != text(b)) & plain, "Privacy", "parameters",
-        F.to_json(F.map_from_entries(F.array_sort(F.map_entries(a["parameters"])))),
-        F.to_json(F.map_from_entries(F.array_sort(F.map_entries(b["parameters"])))),
-        "MODIFIED", F.lit("NEUTRAL"), as_is("Privacy configuration parameters updated."))
-
-    rows = F.array(*[F.when(F.coalesce(c, F.lit(False)), body) for c, body in candidates])
-    return joined.select(
-        *keys, F.col("o_count").alias("old_obligations"), F.col("n_count").alias("new_obligations"),
-        F.inline(F.filter(rows, lambda r: r.isNotNull())),
+    rows = [
+        (added, "Privacy", "rule", "'None'", name("n"), "ADDED", _TIGHT, f"concat('Privacy method ', {name('n')}, ' applied.')"),
+        (
+            removed, "Privacy", "rule", name("o"), "'None'", "REMOVED", _LOOSE,
+            f"concat('Privacy method ', {name('o')}, ' removed. Data is now raw/unmasked.')",
+        ),
+        (
+            f"{both} AND o_privacy.method <> n_privacy.method", "Privacy", "method", name("o"), name("n"), "MODIFIED",
+            _impact(stronger), f"concat({verdict}, {name('o')}, ' -> ', {name('n')}, '.')",
+        ),
+    ]
+    setting = lambda side, key: f"try_element_at({side}_privacy.parameters, '{key}')"
+    for key, tighter in (("epsilon", "<"), ("k", ">")):
+        old, new = (f"try_cast({setting(side, key)} AS double)" for side in "on")
+        text = f"concat('Privacy parameter {key} changed from ', {old}, ' to ', {new}, '.')"
+        rows.append(
+            (f"{both} AND {old} <> {new}", "Privacy", f"parameters.{key}", old, new, "MODIFIED", _impact(f"{new} {tighter} {old}"), text)
+        )
+    whole = lambda side: f"to_json(map_from_entries(array_sort(map_entries({side}_privacy.parameters))))"
+    plain = f"{setting('o', 'epsilon')} IS NULL AND {setting('o', 'k')} IS NULL"
+    other = f"{both} AND {whole('o')} <> {whole('n')} AND {plain}"
+    text = "'Privacy configuration parameters updated.'"
+    return [*rows, (other, "Privacy", "parameters", whole("o"), whole("n"), "MODIFIED", _NEUTRAL, text)]
+
+
+def diff_policies(old: DataFrame, new: DataFrame, strict: bool = False) -> DataFrame:
+    """One row per material change between two policy snapshots.
+
+    A resource that is in one snapshot only has an empty policy in the other. Removing geofencing
+    gives a row only with ``strict``.
+    """
+    keys = ["project_id", "resource_urn"]
+    domains = ["retention", "geofencing", "ai_rules", "purpose", "privacy"]
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        return df.selectExpr(*keys, *[f"{d} AS {mark}_{d}" for d in domains], f"size(contributing_obligation_ids) AS {mark}_count")
+
+    changes = [
+        *_retention_changes(), *_geofencing_changes(strict), *_ai_changes(), *_purpose_changes(), *_privacy_changes(),
+    ]
+    rows = ", ".join(
+        f"CASE WHEN {condition} THEN named_struct('position', {i}, 'category', '{category}', 'field', '{field}', "
+        f"'old_value', cast({before} AS string), 'new_value', cast({after} AS string), 'change_type', '{kind}', "
+        f"'impact', {impact}, 'description', {text}) END"
+        for i, (condition, category, field, before, after, kind, impact, text) in enumerate(changes)
+    )
+    joined = side(old, "o").join(side(new, "n"), keys, "full_outer")
+    return joined.selectExpr(
+        *keys, "coalesce(o_count, 0) AS old_obligations", "coalesce(n_count, 0) AS new_obligations",
+        f"inline(array_compact(array({rows})))",
     )
 
 
@@ -263,6 +277,10 @@ def risk_delta(changes: DataFrame) -> DataFrame:
     )
 
 
+def _say(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
 # Report wording.
 _REPORT_TITLE = "### 📋 Policy Diff Report for `"
 _NO_CHANGE = "✅ **No Material Changes** detected for `"
