@@ -132,29 +132,33 @@ _SCALAR_TYPE_RULES = [
 ]
 
 
-def normalize_type(name: Column, depth: int = 3) -> Column:
-    """Spark SQL type name for a warehouse type name; ARRAY and MAP are followed ``depth`` levels down."""
-    raw = F.trim(F.coalesce(name, F.lit("")))
-    upper = F.upper(raw)
-    result = F.when(upper == "", F.lit("STRING"))
+def _type_sql(name: str, depth: int) -> str:
+    raw = f"trim(coalesce({name}, ''))"
+    arms = ["WHEN u = '' THEN 'STRING'"]
     for parts, spark_name in _SCALAR_TYPE_RULES:
-        value: Column = F.lit(spark_name)
+        value = f"'{spark_name}'"
         if spark_name == "DECIMAL":
-            value = F.concat(value, F.regexp_extract(upper, r"(\([\d,\s]+\))", 1))
+            value = r"concat('DECIMAL', regexp_extract(u, r'(\([\d,\s]+\))', 1))"
         elif spark_name == "TIMESTAMP":
-            value = F.when(upper.rlike("NTZ|WITHOUT"), F.lit("TIMESTAMP_NTZ")).otherwise(value)
-        result = result.when(upper.rlike("|".join(parts)), value)
+            value = "CASE WHEN u RLIKE 'NTZ|WITHOUT' THEN 'TIMESTAMP_NTZ' ELSE 'TIMESTAMP' END"
+        arms.append(f"WHEN u RLIKE '{'|'.join(parts)}' THEN {value}")
     if depth > 0:
-        inner = F.regexp_extract(raw, r"<(.+)>$", 1)
-        element = F.concat(F.lit("ARRAY<"), normalize_type(inner, depth - 1), F.lit(">"))
-        key = normalize_type(F.substring_index(inner, ",", 1), depth - 1)
-        value = normalize_type(F.regexp_extract(inner, r"^[^,]*,(.*)$", 1), depth - 1)
-        pair = F.concat(F.lit("MAP<"), key, F.lit(","), value, F.lit(">"))
-        result = result.when(
-            upper.startswith("ARRAY"), F.when(inner != "", element).otherwise(F.lit("ARRAY<STRING>"))
-        ).when(upper.startswith("MAP"), F.when(inner.contains(","), pair).otherwise(F.lit("MAP<STRING,STRING>")))
-    return (
-        result.when(upper.startswith("STRUCT"), upper)
-        .when(upper.rlike("VARIANT|JSON"), F.lit("STRING"))
-        .otherwise(upper)
-    )
+        inner = f"regexp_extract({raw}, '<(.+)>$', 1)"
+        element = _type_sql(inner, depth - 1)
+        key = _type_sql(f"substring_index({inner}, ',', 1)", depth - 1)
+        value = _type_sql(f"regexp_extract({inner}, '^[^,]*,(.*)$', 1)", depth - 1)
+        arms += [
+            f"WHEN startswith(u, 'ARRAY') THEN CASE WHEN {inner} = '' THEN 'ARRAY<STRING>' ELSE concat('ARRAY<', {element}, '>') END",
+            f"WHEN startswith(u, 'MAP') THEN CASE WHEN contains({inner}, ',') THEN concat('MAP<', {key}, ',', {value}, '>') "
+            "ELSE 'MAP<STRING,STRING>' END",
+        ]
+    arms += ["WHEN startswith(u, 'STRUCT') THEN u", "WHEN u RLIKE 'VARIANT|JSON' THEN 'STRING'"]
+    return f"transform(array(upper({raw})), u -> CASE {' '.join(arms)} ELSE u END)[0]"
+
+
+def normalize_type(name: str, depth: int = 2) -> Column:
+    """Spark SQL type name for a warehouse type name, given as a column name or SQL text.
+
+    ARRAY and MAP are followed ``depth`` levels down.
+    """
+    return F.expr(_type_sql(name, depth))

@@ -125,7 +125,11 @@ def match_obligations(
         glob_keys = F.transform("include_rx", lambda rx: F.concat(F.lit(_GLOB), rx))
         selectors = selectors.withColumn("keys", F.when(F.size("keys") == 0, glob_keys).otherwise(F.col("keys")))
     spread_keys = F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda i: F.concat(F.lit(_SPREAD), i.cast("string")))
-    keyed = selectors.withColumn("key", F.explode(F.when(F.size("keys") > 0, F.col("keys")).otherwise(spread_keys)))
+    # Written out, so that the join below knows the true size of this side: when it is small the
+    # resources are streamed past it and not shuffled.
+    keyed = materialize(
+        selectors.withColumn("key", F.explode(F.when(F.size("keys") > 0, F.col("keys")).otherwise(spread_keys)))
+    )
 
     urn, segments = F.col("urn"), F.split("urn", ":")
     ends = F.sequence(F.lit(1), F.greatest(F.size(segments) - 1, F.lit(1)))

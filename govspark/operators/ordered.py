@@ -25,7 +25,7 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
 def ordered_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows split by range on (keys, order), with the range number in ``_range``.
 
-    Checkpointed: every later use sees the same split, also after an executor is lost.
+    Written out: every later use sees the same split, also after an executor is lost.
     """
     return materialize(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
 

@@ -74,7 +74,7 @@ _TYPE_OUT = case_of(f"p_partkey % {len(_TYPES)}", *quoted(*_TYPES.values()))
 @query("x6_type_names", f"SELECT p_partkey, {_TYPE_IN} AS type_name, {_TYPE_OUT} AS spark_type FROM part")
 def x6_type_names(t: Tables) -> DataFrame:
     rows = t.base("part").selectExpr("p_partkey", f"{_TYPE_IN} AS type_name")
-    return rows.withColumn("spark_type", G.normalize_type(F.col("type_name")))
+    return rows.withColumn("spark_type", G.normalize_type("type_name"))
 
 
 @query("x7_content_hash", "SELECT event_id, 'gov:v1:' || substr(sha256(props), 1, 8) AS marker FROM (SELECT event_id, replace(props, ' ', '') AS props FROM events)")
