@@ -1,4 +1,4 @@
 """Imports every module with queries, so that the registry is complete."""
 
-from govspark.llm import additive, chat, line_labels, mixing, sharding, urls  # noqa: F401
+from govspark.llm import additive, chat, line_labels, mixing, pieces, sharding, simhash, urls  # noqa: F401
 from govspark.llm.registry import ORACLES, QUERIES  # noqa: F401
