@@ -64,6 +64,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def renewed(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, for a side that meets its own relatives."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def collision_free(columns: list[str], *wanted: str) -> list[str]:
     """Names for helper columns that none of ``columns`` has (case aside)."""
     taken, names = {c.lower() for c in columns}, []
