@@ -50,9 +50,11 @@ def kd_shards(docs: DataFrame, dimensions: tuple[str, ...], shards: int | None =
     )
     rows = work.write(rows, "rows")
     span = rows.agg(F.sum("size").alias("bytes"), *[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).first()
-    leaves = shards or max(1, math.ceil((span["bytes"] or 0) / target_bytes))
+    if span["bytes"] is None:
+        return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    leaves = shards or max(1, math.ceil(span["bytes"] / target_bytes))
     scaled = [
-        (F.lit(0) if not (span[f"max_{n}"] or 0) > span[f"min_{n}"] else F.floor((F.col(n) - span[f"min_{n}"]) / (span[f"max_{n}"] - span[f"min_{n}"]) * 65535)).cast("long")
+        (F.lit(0) if span[f"max_{n}"] == span[f"min_{n}"] else F.floor((F.col(n) - span[f"min_{n}"]) / (span[f"max_{n}"] - span[f"min_{n}"]) * 65535)).cast("long")
         for n in names
     ]
     rows = rows.withColumns(dict(zip(names, scaled, strict=True)))
