@@ -167,30 +167,33 @@ def windows(found: DataFrame) -> DataFrame:
     return found.select("doc", "start", "words").mapInArrow(roll, "hash long, doc long, start long")
 
 
+_RUN = ["start", "size", "first_doc", "first_start"]
+
+
+def _flat(lists: pa.ListArray, fields: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The fields of all structs of a list column one after another, and where each row's begin."""
+    flat, ends = lists.flatten(), np.asarray(lists.offsets)
+    return [np.asarray(flat.field(c)) for c in fields], ends - ends[0]
+
+
 def runs(grouped: DataFrame) -> DataFrame:
     """doc, runs: neighbouring windows whose first places are neighbours too, as (start, size, first_doc, first_start)."""
 
     def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ["start", "size", "first_doc", "first_start"]
         for part in parts:
-            docs, rows = part["doc"].to_pylist(), []
-            lists = part["hits"]
-            flat, ends = lists.flatten(), np.asarray(lists.offsets)
-            start, first_doc, first_start = (np.asarray(flat.field(c)) for c in ("start", "first_doc", "first_start"))
-            base = ends[0]
-            for a, b in zip(ends[:-1] - base, ends[1:] - base, strict=True):
-                order = np.lexsort((first_start[a:b], first_doc[a:b], start[a:b]))
-                s, d, f = start[a:b][order], first_doc[a:b][order], first_start[a:b][order]
-                new = np.ones(len(s), np.bool_)
-                new[1:] = (np.diff(s) != 1) | (np.diff(d) != 0) | (np.diff(f) != 1)
-                at = np.nonzero(new)[0]
-                size = np.diff(np.append(at, len(s)))
-                rows.append([dict(zip(fields, r, strict=True)) for r in zip(s[at].tolist(), size.tolist(), d[at].tolist(), f[at].tolist(), strict=True)])
-            kind = pa.list_(pa.struct([(c, pa.int64()) for c in fields]))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(rows, kind)], ["doc", "runs"])
+            (start, first_doc, first_start), ends = _flat(part["hits"], ["start", "first_doc", "first_start"])
+            row = np.repeat(np.arange(part.num_rows), np.diff(ends))
+            order = np.lexsort((first_start, first_doc, start, row))
+            r, s, d, f = row[order], start[order], first_doc[order], first_start[order]
+            new = np.ones(len(s), np.bool_)
+            new[1:] = (np.diff(r) != 0) | (np.diff(s) != 1) | (np.diff(d) != 0) | (np.diff(f) != 1)
+            at = np.nonzero(new)[0]
+            size = np.diff(np.append(at, len(s)))
+            flat = pa.StructArray.from_arrays([pa.array(x) for x in (s[at], size, d[at], f[at])], _RUN)
+            offsets = np.searchsorted(r[at], np.arange(part.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([part["doc"], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["doc", "runs"])
 
-    kind = "array<struct<start: long, size: long, first_doc: long, first_start: long>>"
-    return grouped.mapInArrow(merge, f"doc long, runs {kind}")
+    return grouped.mapInArrow(merge, f"doc long, runs array<struct<{', '.join(c + ': long' for c in _RUN)}>>")
 
 
 def pieces(found: DataFrame, shards: int) -> DataFrame:
@@ -198,22 +201,25 @@ def pieces(found: DataFrame, shards: int) -> DataFrame:
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            out = []
-            for doc, mark, at, raw, hits in zip(*(part[c].to_pylist() for c in ("doc", "text_hash", "start", "words", "runs")), strict=True):
+            out: list[tuple] = []
+            (start, size, first_doc, first_start), ends = _flat(part["runs"], _RUN)
+            regions_ = zip(*(part[c].to_pylist() for c in ("doc", "text_hash", "start", "words")), strict=True)
+            for k, (doc, mark, at, raw) in enumerate(regions_):
                 words = raw.split()
-                last, open_ = at + len(words) - WINDOW, None
-                for r in [*hits, None]:
-                    own = r is not None and r["first_doc"] == doc and r["first_start"] == r["start"]
-                    shard = r and r["first_doc"] % shards
-                    if r is not None and not at <= r["start"] <= last:
-                        continue
-                    if open_ and (r is None or open_[:2] != [own, shard] or r["start"] > open_[3]):
-                        stretch = words[open_[2] - at : open_[3] - at + WINDOW - 1]
-                        out.append((open_[0], open_[1], doc, mark, open_[2], b" ".join(stretch)))
-                        open_ = None
-                    if r is not None:
-                        end = min(r["start"] + r["size"], last + 1)
-                        open_ = [own, shard, r["start"], end] if open_ is None else [*open_[:3], max(open_[3], end)]
+                last = at + len(words) - WINDOW
+                lo, hi = ends[k] + np.searchsorted(start[ends[k] : ends[k + 1]], (at, last + 1))
+                if lo == hi:
+                    continue
+                s, d = start[lo:hi], first_doc[lo:hi]
+                end = np.minimum(s + size[lo:hi], last + 1)
+                own = (d == doc) & (first_start[lo:hi] == s)
+                shard = d % shards
+                new = np.ones(len(s), np.bool_)
+                new[1:] = (own[1:] != own[:-1]) | (shard[1:] != shard[:-1]) | (s[1:] > end[:-1])
+                b = np.nonzero(new)[0]
+                ends_at = np.maximum.reduceat(end, b)
+                for is_own, to, a, z in zip(own[b].tolist(), shard[b].tolist(), s[b].tolist(), ends_at.tolist(), strict=True):
+                    out.append((is_own, to, doc, mark, a, b" ".join(words[a - at : z - at + WINDOW - 1])))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["reference", "shard", "doc", "text_hash", "start", "words"]
@@ -309,15 +315,17 @@ def judge(reference: pd.DataFrame, stream: pd.DataFrame) -> pd.DataFrame:
 def repeated_stretches(docs: DataFrame, work: Scratch) -> DataFrame:
     """doc, text_hash, gone: array of (start, size) to remove from each text of ``docs`` (doc, text_hash, text) that has any."""
     anchor = work.write(anchors(docs.select("doc", "text")), "anchors")
-    shared = anchor.groupBy("anchor").count().where("count > 1").select("anchor").hint("shuffle_hash")
-    spans = anchor.join(shared, "anchor").groupBy("doc").agg(F.collect_list("span").alias("spans"))
+    # The counts are a table of their own, so that both sides of the join are dealt out for it and a hot anchor can be split.
+    shared = work.write(anchor.groupBy("anchor").count().where("count > 1").select("anchor"), "shared")
+    spans = anchor.join(shared.hint("shuffle_hash"), "anchor").groupBy("doc").agg(F.collect_list("span").alias("spans"))
     spans = work.write(spans, "spans")
-    work.drop("anchors")
+    work.drop("anchors", "shared")
     region = work.write(regions(docs.join(spans.hint("shuffle_hash"), "doc")), "regions")
     work.drop("spans")
     every = windows(region)
     place = F.min(F.struct(F.col("doc").alias("first_doc"), F.col("start").alias("first_start")))
-    first = every.groupBy("hash").agg(place.alias("f"), F.count("*").alias("n")).where("n > 1").select("hash", "f.*").hint("shuffle_hash")
+    first = every.groupBy("hash").agg(place.alias("f"), F.count("*").alias("n")).where("n > 1").select("hash", "f.*")
+    first = work.write(first, "first").hint("shuffle_hash")
     hits = every.join(first, "hash").groupBy("doc").agg(F.collect_list(F.struct("start", "first_doc", "first_start")).alias("hits"))
     run = work.write(runs(hits), "runs")
     own = F.aggregate(
@@ -325,7 +333,7 @@ def repeated_stretches(docs: DataFrame, work: Scratch) -> DataFrame:
     )
     total = run.agg(F.sum(own).alias("n")).first()["n"] or 0
     piece = work.write(pieces(region.join(run.hint("shuffle_hash"), "doc"), 1 + total // SHARD_WINDOWS), "pieces")
-    work.drop("regions", "runs")
+    work.drop("regions", "runs", "first")
     reference, stream = piece.where("reference").drop("reference"), piece.where("NOT reference").drop("reference")
     tasks = stream.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("words")) / (6 * TASK_WORDS)).cast("int").alias("tasks"))
     reference = reference.join(tasks, "shard").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
