@@ -132,8 +132,7 @@ _SCALAR_TYPE_RULES = [
 ]
 
 
-def _type_sql(name: str, depth: int) -> str:
-    raw = f"trim(coalesce({name}, ''))"
+def _scalar_arms() -> str:
     arms = ["WHEN u = '' THEN 'STRING'"]
     for parts, spark_name in _SCALAR_TYPE_RULES:
         value = f"'{spark_name}'"
@@ -142,23 +141,35 @@ def _type_sql(name: str, depth: int) -> str:
         elif spark_name == "TIMESTAMP":
             value = "CASE WHEN u RLIKE 'NTZ|WITHOUT' THEN 'TIMESTAMP_NTZ' ELSE 'TIMESTAMP' END"
         arms.append(f"WHEN u RLIKE '{'|'.join(parts)}' THEN {value}")
-    if depth > 0:
-        inner = f"regexp_extract({raw}, '<(.+)>$', 1)"
-        element = _type_sql(inner, depth - 1)
-        key = _type_sql(f"substring_index({inner}, ',', 1)", depth - 1)
-        value = _type_sql(f"regexp_extract({inner}, '^[^,]*,(.*)$', 1)", depth - 1)
-        arms += [
-            f"WHEN startswith(u, 'ARRAY') THEN CASE WHEN {inner} = '' THEN 'ARRAY<STRING>' ELSE concat('ARRAY<', {element}, '>') END",
-            f"WHEN startswith(u, 'MAP') THEN CASE WHEN contains({inner}, ',') THEN concat('MAP<', {key}, ',', {value}, '>') "
-            "ELSE 'MAP<STRING,STRING>' END",
-        ]
-    arms += ["WHEN startswith(u, 'STRUCT') THEN u", "WHEN u RLIKE 'VARIANT|JSON' THEN 'STRING'"]
-    return f"transform(array(upper({raw})), u -> CASE {' '.join(arms)} ELSE u END)[0]"
-
-
-def normalize_type(name: str, depth: int = 2) -> Column:
-    """Spark SQL type name for a warehouse type name, given as a column name or SQL text.
-
-    ARRAY and MAP are followed ``depth`` levels down.
-    """
-    return F.expr(_type_sql(name, depth))
+    return " ".join(arms)
+
+
+_SCALARS = "|".join(part for parts, _ in _SCALAR_TYPE_RULES for part in parts)
+
+
+def _type_sql(name: str, maps: bool = True) -> str:
+    """Peels one ARRAY or MAP after the other off the name, as many as it has; what surrounds the rest is kept in ``pre`` and ``post``."""
+    raw = f"trim(coalesce({name}, ''))"
+    inner = "regexp_extract(s.rest, '<(.+)>$', 1)"
+    state = lambda pre, rest, post: f"named_struct('pre', {pre}, 'rest', trim({rest}), 'post', {post})"
+    known = f"upper(s.rest) = '' OR upper(s.rest) RLIKE '{_SCALARS}'"
+    arms = [
+        f"WHEN {known} THEN s",
+        f"WHEN upper(s.rest) LIKE 'ARRAY%' THEN {state("concat(s.pre, 'ARRAY<')", inner, "concat('>', s.post)")}",
+    ]
+    if maps:
+        key = _type_sql(f"substring_index({inner}, ',', 1)", maps=False)
+        value = f"regexp_extract({inner}, '^[^,]*,(.*)$', 1)"
+        opened = state(f"concat(s.pre, 'MAP<', {key}, ',')", value, "concat('>', s.post)")
+        arms.append(f"WHEN upper(s.rest) LIKE 'MAP%' AND contains({inner}, ',') THEN {opened}")
+    arms.append(f"WHEN upper(s.rest) LIKE 'MAP%' THEN {state("concat(s.pre, 'MAP<STRING,')", "'STRING'", "concat('>', s.post)")}")
+    levels = f"sequence(0, length({raw}) - length(replace({raw}, '<', '')))"
+    peeled = f"aggregate({levels}, {state("''", raw, "''")}, (s, i) -> CASE {' '.join(arms)} ELSE s END)"
+    rest = f"CASE {_scalar_arms()} WHEN startswith(u, 'STRUCT') THEN u WHEN u RLIKE 'VARIANT|JSON' THEN 'STRING' ELSE u END"
+    last = f"transform(array(upper(p.rest)), u -> {rest})[0]"
+    return f"transform(array({peeled}), p -> concat(p.pre, {last}, p.post))[0]"
+
+
+def normalize_type(name: str) -> Column:
+    """Spark SQL type name for a warehouse type name, given as a column name or SQL text; ARRAY and MAP are followed to any depth."""
+    return F.expr(_type_sql(name))

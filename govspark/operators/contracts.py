@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from govspark import fixed_values as fixed
 from govspark.functions import uuid5_dns
-from govspark.operators.ordered import MAX_GROUP_ROWS, largest_group, ordered_ranges, running
+from govspark.operators.ordered import ordered_ranges, running
 from govspark.session import materialize
 
 _STRINGS = "array<string>"
@@ -40,9 +40,7 @@ def clean_elements(elements: DataFrame) -> DataFrame:
 
 # --- chunks ------------------------------------------------------------------
 
-def chunk_elements(
-    elements: DataFrame, max_tokens: int = 800, html: str | None = None, max_group_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
+def chunk_elements(elements: DataFrame, max_tokens: int = 800, html: str | None = None) -> DataFrame:
     """Section-aware chunks of (doc_id, pos, kind, text, page).
 
     A Title closes the section before it and names the next one (`Preamble` before the first). A Table
@@ -67,10 +65,9 @@ def chunk_elements(
         # A title or a table ends the text before it, and the text after it starts afresh.
         sums={"cut": F.when(title | table, 1).otherwise(0)},
         lasts={"section": F.col("title")},
-        max_group_rows=max_group_rows,
     ).select("doc_id", "pos", "cut", F.coalesce("section", F.lit("Preamble")).alias("section"), "kind", "tokens")
     packed = pack_greedily(
-        numbered.filter(~title & ~table & (F.col("tokens") > 0)), ["doc_id", "cut"], "pos", "tokens", max_tokens, max_group_rows
+        numbered.filter(~title & ~table & (F.col("tokens") > 0)), ["doc_id", "cut"], "pos", "tokens", max_tokens
     ).select("doc_id", "pos", "cut", "section", "chunk_no")
     alone = numbered.filter(table).select("doc_id", "pos", "cut", "section", F.lit(-1).cast("bigint").alias("chunk_no"))
     content = rows.filter(~title).select("doc_id", "pos", "text", "page")
@@ -93,19 +90,14 @@ def chunk_elements(
     )
 
 
-def pack_greedily(
-    df: DataFrame, keys: list[str], order: str, size: str, limit: int, max_group_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
+def pack_greedily(df: DataFrame, keys: list[str], order: str, size: str, limit: int) -> DataFrame:
     """Add ``chunk_no``: consecutive rows of a key share one while their sizes sum to at most ``limit``.
 
     Greedy packing depends on all rows before it, but only through the size of the open chunk, a number
-    up to ``limit``. When some key has more than ``max_group_rows`` rows, rows are range-partitioned, each
-    range is summarised by what it does to every possible open size, the summaries of ranges are chained,
-    and then each range is numbered on its own. A key may be as long as the table.
+    up to ``limit``. Rows are range-partitioned, each range of a key that crosses a border is summarised by what it does to
+    every possible open size, the summaries are chained, and then each range is numbered on its own. A key may be
+    as long as the table.
     """
-    if largest_group(df, keys) <= max_group_rows:
-        whole = df.select("*", *[F.lit(0).alias(c) for c in ("_range", "_open", "_done")])
-        return _number_chunks(whole.repartition(*keys), df, keys, order, size, limit)
     ranged = ordered_ranges(df, keys, [order])
     cells = [*keys, "_range"]
     spans = ranged.groupBy(*keys).agg(F.countDistinct("_range").alias("n")).filter(F.col("n") > 1).select(*keys)

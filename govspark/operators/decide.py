@@ -159,13 +159,16 @@ def evaluate_requests(
     inherited values are put into the context. ``dedupe`` evaluates equal requests once.
     """
     if dedupe:
-        identity = ["project_id", "resource_urn", "action", "actor_id", "_context"]
-        keyed = requests.withColumn("_context", F.to_json(F.array_sort(F.map_entries("context"))))
-        once = keyed.groupBy(*identity).agg(F.min("request_id").alias("request_id"), F.any_value("context").alias("context"))
+        # One key for all that a decision depends on, nulls included.
+        identity = ["project_id", "resource_urn", "action", "actor_id"]
+        content = F.struct(*identity, F.array_sort(F.map_entries("context")).alias("context"))
+        keyed = requests.withColumn("_key", F.sha2(F.to_json(content, {"ignoreNullFields": "false"}), 256))
+        once = keyed.groupBy(F.col("_key").alias("request_id")).agg(*[F.first(c).alias(c) for c in (*identity, "context")])
         decided = evaluate_requests(once, policies, as_of, profile, lineage)
         outcome = [c for c in decided.columns if c not in ("request_id", "project_id", "resource_urn")]
-        linked = once.select("request_id", *identity).join(decided.select("request_id", *outcome), "request_id").drop("request_id")
-        matched = keyed.select("request_id", *identity).join(linked, identity)
+        matched = keyed.select("request_id", "project_id", "resource_urn", "_key").join(
+            decided.select(F.col("request_id").alias("_key"), *outcome), "_key"
+        )
         return matched.select("request_id", "project_id", "resource_urn", *outcome)
 
     joined = _with_policy(requests, policies)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from govspark import fixed_values as fixed
 from govspark.functions import canonical_json
 from govspark.functions.time import iso_utc
-from govspark.operators.ordered import MAX_GROUP_ROWS, running
+from govspark.operators.ordered import running
 
 HASHED_FIELDS = [
     "id", "timestamp", "actor", "resource_urn", "action", "decision", "evaluation_trace", "request_context",
@@ -111,17 +111,17 @@ def seal(
     min_entries: int = fixed.SEAL_MIN_ENTRIES,
     max_age_s: int = fixed.SEAL_MAX_AGE_S,
     capacity: int = fixed.BLOCK_CAPACITY,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Seal unsealed entries (project_id, id, timestamp, entry_hash) into blocks of ``capacity``.
 
     Returns (blocks, links of log id to block index). A block is sealed when it has ``min_entries`` or
     its oldest entry is ``max_age_s`` old. ``last_blocks`` holds the newest (project_id,
     sequence_index, merkle_root); the chain goes on from there. Entries without a 64-character hash
-    count in ``log_count`` but not in the tree; a block without any hash is not sealed.
+    count in ``log_count`` but not in the tree. A block without any hash is left open and takes no number:
+    the blocks after it are sealed and the chain has no gap.
     """
     lean = unsealed.select("project_id", "timestamp", "id", "entry_hash")
-    numbered = running(lean, ["project_id"], ["timestamp", "id"], number="_n", max_group_rows=max_group_rows)
+    numbered = running(lean, ["project_id"], ["timestamp", "id"], number="_n")
     numbered = numbered.withColumn("_block", F.floor(F.col("_n") / capacity))
     # A block never holds more than `capacity` entries, so its leaves fit in one group.
     grouped = numbered.groupBy("project_id", "_block").agg(
@@ -135,12 +135,14 @@ def seal(
     newest = last_blocks.groupBy("project_id").agg(
         F.max("sequence_index").alias("last_index"), F.max_by("merkle_root", "sequence_index").alias("last_root")
     )
+    # One row per block, that is per `capacity` entries.
+    in_order = Window.partitionBy("project_id").orderBy("_block")
     sealed = (
         grouped.filter(due & (F.size("leaves") > 0))
         .join(newest, "project_id", "left")
         .select(
             "project_id",
-            (F.coalesce(F.col("last_index") + 1, F.lit(0)) + F.col("_block")).alias("sequence_index"),
+            (F.coalesce(F.col("last_index") + 1, F.lit(0)) + F.row_number().over(in_order) - 1).alias("sequence_index"),
             "_block",
             F.coalesce("last_root", F.lit(fixed.GENESIS_HASH)).alias("chain_start"),
             merkle_root(F.col("leaves")).alias("merkle_root"),

@@ -1,9 +1,8 @@
 """Running values over ordered groups of any length.
 
 A window partitioned by a key sorts a whole key in one task, which fails when one project or one
-document holds a large share of the rows. So the largest group is measured first. When it fits a
-task, a plain window does. Otherwise rows are range-partitioned on (key, order), each range computes
-its own running values, and a small table of per-range totals carries them over.
+document holds a large share of the rows. So rows are always range-partitioned on (key, order), each
+range computes its own running values, and a small table of per-range totals carries them over.
 """
 
 from __future__ import annotations
@@ -14,14 +13,6 @@ from pyspark.sql import functions as F
 from govspark.session import materialize
 
 
-MAX_GROUP_ROWS = 1_000_000
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the most frequent key; counts are combined before the shuffle and one number comes back."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def ordered_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows split by range on (keys, order), with the range number in ``_range``.
 
@@ -37,7 +28,6 @@ def running(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     number: str | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add running sums, last non-null values and a zero-based row number per key.
 
@@ -47,14 +37,6 @@ def running(
     sums, lasts = dict(sums or {}), dict(lasts or {})
     if number is not None:
         sums[number] = F.lit(1)
-    if largest_group(df, keys) <= max_group_rows:
-        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        one = {n: F.sum(c).over(upto) for n, c in sums.items()}
-        if number is not None:
-            one[number] = one[number] - 1
-        one.update({n: F.last(c, ignorenulls=True).over(upto) for n, c in lasts.items()})
-        return df.select("*", *[c.alias(n) for n, c in one.items()])
-
     ranged = ordered_ranges(df.select("*", *[c.alias(f"_v_{n}") for n, c in {**sums, **lasts}.items()]), keys, order)
     cells = [*keys, "_range"]
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 from pyspark.sql import types as T
 
 from govspark import fixed_values as fixed
@@ -257,5 +258,10 @@ def retention_sweep(
         return df.filter(gone), df.filter(~gone)
     if is_indefinite or duration_s is None:
         return df.filter(F.lit(False)), df
-    cutoff = F.lit(as_of - timedelta(seconds=duration_s)).cast(df.schema[ts_col].dataType)
+    limit = as_of - timedelta(seconds=duration_s)
+    kind = df.schema[ts_col].dataType
+    if isinstance(kind, DateType):
+        # A date is its midnight: it lies before the limit up to and including the limit's own day, unless that is midnight.
+        limit = limit.date() + timedelta(days=limit.time() != time.min)
+    cutoff = F.lit(limit).cast(kind)
     return df.filter(F.col(ts_col) < cutoff), df.filter(F.col(ts_col).isNull() | (F.col(ts_col) >= cutoff))

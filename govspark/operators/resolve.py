@@ -131,7 +131,7 @@ def resolve_privacy(rules: str, on_conflict: str = "flag") -> str:
     Differential privacy keeps the least epsilon and delta, anonymization the greatest k and l, other
     methods the union of their settings. Two values for one setting are a conflict: with
     ``on_conflict='flag'`` the setting keeps its first value and ``conflict`` is true, with ``'error'``
-    the job fails.
+    the job fails. A conflict counts although a stronger method comes later.
     """
     noise, grouping = fixed.PRIVACY_METHOD["DIFFERENTIAL_PRIVACY"], fixed.PRIVACY_METHOD["ANONYMIZATION"]
     none = "cast(array() AS array<struct<key:string,value:string>>)"
@@ -157,8 +157,16 @@ def resolve_privacy(rules: str, on_conflict: str = "flag") -> str:
         f"array_sort(CASE WHEN size(peers) = 1 THEN {first} WHEN best = {noise} THEN {noisy} "
         f"WHEN best = {grouping} THEN {grouped} ELSE {united} END)"
     )
+    # Rules are met in order: one weaker than the strongest so far is ignored, an equal one must agree with its like.
+    mine, theirs = f"{rules}[i].privacy", "p.privacy"
+    differs = (
+        f"exists(map_keys({theirs}.parameters), n -> array_contains(map_keys({mine}.parameters), n) "
+        f"AND NOT (try_element_at({mine}.parameters, n) <=> try_element_at({theirs}.parameters, n)))"
+    )
     conflict = (
-        f"size(peers) > 1 AND best NOT IN ({noise}, {grouping}) AND exists(names, n -> size(array_distinct({values})) > 1)"
+        f"exists(sequence(0, size({rules}) - 1), i -> {mine}.method NOT IN ({noise}, {grouping}) "
+        f"AND {mine}.method = array_max(transform(slice({rules}, 1, i + 1), r -> r.privacy.method)) "
+        f"AND exists(slice({rules}, 1, i), p -> {theirs}.method = {mine}.method AND coalesce({differs}, false)))"
     )
     parameters = "map_from_entries(merged)"
     if on_conflict == "error":

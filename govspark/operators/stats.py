@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govspark.functions import json_text, urn_last
@@ -31,8 +31,9 @@ def list_audit(
         rows = rows.filter(F.col("actor_id") == actor)
     if urn is not None:
         rows = rows.filter(F.col("resource_urn") == urn)
-    newest = rows.orderBy(F.col("timestamp").desc(), F.col("id")).limit(limit)
-    return newest if decision == "ALL" else newest.filter(F.col("decision") == decision)
+    if decision != "ALL":
+        rows = rows.filter(F.col("decision") == decision)
+    return rows.orderBy(F.col("timestamp").desc(), F.col("id")).limit(limit)
 
 
 def search_obligations(
@@ -50,8 +51,8 @@ def search_obligations(
 
 
 def page(df: DataFrame, number: int, size: int, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows of one page, one row with total and pages). Size is at most 100, the first page is 1."""
-    size, number = min(size, 100), max(number, 1)
+    """(rows of one page, one row with total and pages). The first page is 1."""
+    number = max(number, 1)
     rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
     total = df.agg(F.count("*").alias("total"))
     return rows, total.withColumn("pages", F.ceil(F.col("total") / size))
@@ -80,21 +81,24 @@ def high_risk(raw: DataFrame, limit: int = 50, attributes: str = "attributes") -
 def kpis(
     audit: DataFrame, obligations: DataFrame, resources: DataFrame, as_of: datetime, hours: float = 24
 ) -> DataFrame:
-    """Requests, denials, enforcement rate, active obligations and resources, per project."""
+    """Requests, denials, enforcement rate, active obligations and resources, per project.
+
+    An obligation without a project applies to every project and counts for each.
+    """
     recent = audit.filter(F.col("timestamp") >= _since(as_of, hours))
     traffic = recent.groupBy("project_id").agg(
         F.count("*").alias("total_requests"), F.count_if(F.col("decision") == "DENY").alias("denials")
     )
     owned = resources.groupBy("project_id").agg(F.count("*").alias("resources"))
-    active = (
-        obligations.filter("is_active").groupBy("project_id").agg(F.count("*").alias("active_obligations"))
-    )
+    in_force = obligations.filter("is_active")
+    active = in_force.filter("project_id IS NOT NULL").groupBy("project_id").agg(F.count("*").alias("active_obligations"))
+    everywhere = in_force.agg(F.count_if(F.col("project_id").isNull()).alias("everywhere"))  # one row
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     joined = owned.join(active, "project_id", "full_outer").join(traffic, "project_id", "full_outer")
     allowed = F.col("total_requests") - F.col("denials")
     return joined.select(
         "project_id", zero("total_requests"), zero("denials"), zero("active_obligations"), zero("resources")
-    ).withColumn(
+    ).crossJoin(F.broadcast(everywhere)).withColumn("active_obligations", F.col("active_obligations") + F.col("everywhere")).drop("everywhere").withColumn(
         "enforcement_rate",
         F.when(F.col("total_requests") == 0, F.lit(100.0)).otherwise(F.round(allowed / F.col("total_requests") * 100, 1)),
     )
@@ -151,5 +155,6 @@ def job_board(jobs: DataFrame, limit: int = 50) -> tuple[DataFrame, DataFrame]:
 
 def reason_share(reasons: DataFrame) -> DataFrame:
     """Add the share of all denials, in percent, to a small (reason, denials) table."""
-    total = F.sum("denials").over(Window.partitionBy())
-    return reasons.withColumn("share", F.round(F.col("denials") / total * 100, 1))
+    total = reasons.agg(F.sum("denials").alias("_total"))  # one row
+    shared = reasons.crossJoin(F.broadcast(total))
+    return shared.withColumn("share", F.round(F.col("denials") / F.col("_total") * 100, 1)).drop("_total")

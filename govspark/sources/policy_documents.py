@@ -9,16 +9,19 @@ from govspark import fixed_values as fixed
 from govspark.functions import enum_name
 
 _STRINGS = "array<string>"
+# A resource is known by its urn inside its project.
+_KEY = ["project_id", "resource_urn"]
 
 
 def write_bundle(policies: DataFrame, path: str, project_name: str = "unknown", build: dict[str, str] | None = None) -> None:
-    """One JSON document per resource, keyed by urn, with nulls omitted; build metadata beside it.
+    """One JSON document per project and resource, with nulls omitted; build metadata beside it.
 
-    Of several policies for one urn the one with the highest ``seq`` is kept (any one, without ``seq``).
+    Of several policies for one resource of a project the one with the highest ``seq`` is kept; among equals, and without
+    ``seq``, the one whose JSON text is greatest.
     """
     body = F.struct(*[c for c in policies.columns if c != "seq"])
-    order = F.col("seq") if "seq" in policies.columns else F.lit(0)
-    chosen = policies.groupBy("resource_urn").agg(F.max_by(F.to_json(body), order).alias("value"))
+    order = F.struct(F.col("seq") if "seq" in policies.columns else F.lit(0), F.to_json(body))
+    chosen = policies.groupBy(*_KEY).agg(F.max_by(F.to_json(body), order).alias("value"))
     chosen.select("value").write.mode("overwrite").text(f"{path}/policies")
     meta = {"schema_version": "1.0", "project_name": project_name, **(build or {})}
     columns = [F.lit(value).alias(key) for key, value in sorted(meta.items())]
@@ -26,7 +29,7 @@ def write_bundle(policies: DataFrame, path: str, project_name: str = "unknown",
 
 
 def opa_documents(policies: DataFrame) -> DataFrame:
-    """(resource_urn, document) with sorted lists; a domain without a rule is left out."""
+    """(project_id, resource_urn, document) with sorted lists; a domain without a rule is left out."""
 
     def section(name: str, *fields: Column) -> Column:
         reason = F.col(f"{name}.reason.winning_source_id").alias("reason_code")
@@ -64,7 +67,7 @@ def opa_documents(policies: DataFrame) -> DataFrame:
             field("privacy.parameters"),
         ),
     )
-    return policies.select("resource_urn", F.to_json(document).alias("document"))
+    return policies.select(*_KEY, F.to_json(document).alias("document"))
 
 
 def _texts(*values: str) -> Column:
@@ -96,8 +99,8 @@ def _explode_statements(policies: DataFrame, candidates: list[tuple[Column, Colu
     """One row per statement whose condition holds, in list order."""
     options = [F.when(F.coalesce(condition, F.lit(False)), body) for condition, body in candidates]
     kept = F.filter(F.array(*options), lambda s: s.isNotNull())
-    return policies.select("resource_urn", "resource_arn", F.posexplode(kept).alias("position", "s")).select(
-        "resource_urn", "resource_arn", "position", "s.*"
+    return policies.select(*_KEY, "resource_arn", F.posexplode(kept).alias("position", "s")).select(
+        *_KEY, "resource_arn", "position", "s.*"
     )
 
 
@@ -192,7 +195,7 @@ def s3_statements(policies: DataFrame, prefix: str = "Gov", role_tag: str = "Gov
 
 
 def statement_documents(policies: DataFrame, statements: DataFrame) -> DataFrame:
-    """(resource_urn, document): the statements of each policy as one JSON document, empty list included."""
+    """(project_id, resource_urn, document): the statements of each policy as one JSON document, empty list included."""
 
     def one_or_many(values: Column) -> Column:
         return F.when(F.size(values) == 1, F.to_json(values).substr(F.lit(2), F.length(F.to_json(values)) - 2)).otherwise(
@@ -215,16 +218,15 @@ def statement_documents(policies: DataFrame, statements: DataFrame) -> DataFrame
         F.concat(F.lit('"Condition":'), condition),
     ]
     text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-    grouped = statements.groupBy("resource_urn").agg(
+    grouped = statements.groupBy(*_KEY).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("position", text.alias("text")))), lambda s: s["text"]
         ).alias("texts")
     )
     body = F.concat_ws(",", F.coalesce("texts", F.array().cast(_STRINGS)))
     document = F.concat(F.lit(f'{{"Version":"{fixed.POLICY_DOCUMENT_VERSION}","Statement":['), body, F.lit("]}"))
-    return policies.select("resource_urn").join(grouped, "resource_urn", "left").select(
-        "resource_urn", document.alias("document")
-    )
+    # Each statement is gathered once, however many rows a policy has.
+    return policies.select(*_KEY).distinct().join(grouped, _KEY, "left").select(*_KEY, document.alias("document"))
 
 
 _DOCUMENT = (

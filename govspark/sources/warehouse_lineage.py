@@ -33,9 +33,9 @@ def extract_lineage(
     platform: str,
     workspace: str,
     lookback_hours: int = 24,
-    cap: int | None = 10_000,
+    cap: int | None = None,
 ) -> DataFrame:
-    """Rows inside the lookback as (run, event) rows, newest first and at most ``cap`` (None keeps all).
+    """Rows inside the lookback as (run, event) rows, all of them, or the newest ``cap`` if that is given.
 
     Rows without a time are skipped. The run id is a function of source, target, time and user.
     """

@@ -34,8 +34,7 @@ def read_messages(spark: SparkSession, source: str, max_files: int | None = None
 def ingest_batch(batch: DataFrame, batch_id: int, out: str) -> None:
     """Decode, hash and append the new entries of one micro-batch.
 
-    A message is delivered again with the same content, so its duplicates lie on the same day and only
-    the days of the batch are read back.
+    An id is stored once, whatever the day it is delivered again. Of the log, only its ids are read.
     """
     spark = batch.sparkSession
     parsed = parse_audit_stream(batch).persist()
@@ -47,8 +46,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str) -> None:
         if known is None:
             fresh = good.dropDuplicates(["id"])
         else:
-            days = [row.day for row in good.select("day").distinct().collect()]
-            fresh = append_audit(known.filter((F.col("batch_id") != batch_id) & F.col("day").isin(days)), good)
+            fresh = append_audit(known.filter(F.col("batch_id") != batch_id), good)
         overwrite_batch(entry_hash(canonicalize_audit(fresh)).withColumn("day", F.to_date("timestamp")), f"{out}/log", batch_id, ["day"])
     finally:
         parsed.unpersist()
@@ -72,8 +70,9 @@ def seal_batch(batch: DataFrame, batch_id: int, out: str, as_of: datetime, **lim
     """
     spark = batch.sparkSession
     entries = batch.select("project_id", "id", "timestamp", "entry_hash")
-    left_open = read_or_none(spark, f"{out}/open/batch_id={batch_id - 1}")
-    heads = read_or_none(spark, f"{out}/heads/batch_id={batch_id - 1}")
+    # Every batch writes both, so only the first may find nothing: a lost head would start its chain anew.
+    before = lambda name: spark.read.parquet(f"{out}/{name}/batch_id={batch_id - 1}") if batch_id else None
+    left_open, heads = before("open"), before("heads")
     if left_open is not None:
         entries = entries.unionByName(left_open.select(*entries.columns))
     if heads is None:

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None before its first batch."""
+    """The table at ``path``, or None before its first row; a table that is there but can't be read is an error."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def overwrite_batch(df: DataFrame, path: str, batch_id: int, partitions: list[str] | None = None) -> None:

@@ -1,6 +1,5 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from govspark.operators.contracts import chunk_elements, pack_greedily, vector_topk
@@ -17,22 +16,20 @@ def greedy(sizes, limit):
     return out
 
 
-@pytest.mark.parametrize("max_group_rows", [10**6, 5])
-def test_packing_equals_a_loop(spark, max_group_rows):
+def test_packing_equals_a_loop(spark):
     rng = random.Random(3)
     docs = {1: [rng.randint(1, 40) for _ in range(2000)], 2: [5, 200, 1, 1, 99], 3: [7], 4: [50, 50, 50, 1]}
     rows = [(doc, pos, size) for doc, sizes in docs.items() for pos, size in enumerate(sizes)]
     df = spark.createDataFrame(rows, "doc bigint, pos bigint, size bigint").repartition(3)
-    got = {(r.doc, r.pos): r.chunk_no for r in pack_greedily(df, ["doc"], "pos", "size", 100, max_group_rows).collect()}
+    got = {(r.doc, r.pos): r.chunk_no for r in pack_greedily(df, ["doc"], "pos", "size", 100).collect()}
     assert got == {(doc, i): c for doc, sizes in docs.items() for i, c in enumerate(greedy(sizes, 100))}
 
 
-@pytest.mark.parametrize("max_group_rows", [10**6, 5])
-def test_running_equals_a_loop(spark, max_group_rows):
+def test_running_equals_a_loop(spark):
     rng = random.Random(5)
     rows = [(k, i, rng.randint(0, 3), rng.choice([None, None, f"v{i}"])) for k, n in ((1, 700), (2, 3), (3, 50)) for i in range(n)]
     df = spark.createDataFrame(rows, "k bigint, i bigint, x bigint, v string").repartition(4)
-    out = running(df, ["k"], ["i"], {"total": F.col("x")}, {"latest": F.col("v")}, "n", max_group_rows)
+    out = running(df, ["k"], ["i"], {"total": F.col("x")}, {"latest": F.col("v")}, "n")
     got = {(r.k, r.i): (r.total, r.latest, r.n) for r in out.collect()}
     for key in (1, 2, 3):
         total, latest = 0, None

@@ -1,7 +1,6 @@
 import hashlib
 from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from govspark.operators.ledger import merkle_proof, merkle_root, seal, verify_proofs
@@ -37,15 +36,14 @@ def test_roots_and_proofs(spark):
     assert verify_proofs(forged, blocks).filter("valid").count() == 0
 
 
-@pytest.mark.parametrize("max_group_rows", [10_000, 10])
-def test_seal_chain(spark, max_group_rows):
-    """Both ways of numbering a project give the same chain; a young short rest stays open."""
+def test_seal_chain(spark):
+    """Blocks form a chain; a young short rest stays open."""
     rows = [("hot", f"h{i:04d}", NOW - timedelta(seconds=1000 - i // 3), digest(i)) for i in range(950)]
     rows += [("new", f"n{i}", NOW - timedelta(seconds=5), digest(i)) for i in range(20)]
     rows += [("old", f"x{i}", NOW - timedelta(seconds=400), digest(i)) for i in range(3)]
     log = spark.createDataFrame(rows, "project_id string, id string, timestamp timestamp, entry_hash string")
     heads = spark.createDataFrame([("old", 4, "e" * 64)], "project_id string, sequence_index bigint, merkle_root string")
-    blocks, links = seal(log, heads, NOW, capacity=300, max_group_rows=max_group_rows)
+    blocks, links = seal(log, heads, NOW, capacity=300)
     got = {(b.project_id, b.sequence_index): b for b in blocks.collect()}
     # The last 50 entries of the hot project are older than five minutes and go into a block of their own.
     assert sorted(got) == [("hot", 0), ("hot", 1), ("hot", 2), ("hot", 3), ("old", 5)]

@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 
 def test_every_statement_has_a_query():
-    from __spark_entry__ import oracle_sql, queries
+    from workload.all_queries import ORACLES, QUERIES
 
-    assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"e5_mask_noise", "g8_diff_report"}
+    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLES) == {"e5_mask_noise", "g8_diff_report"}

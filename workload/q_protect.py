@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from govspark.operators import protect as P
 from govspark.operators.match import resolve_groups
-from workload.q_policies import DEFAULT_GROUPS, group_mapping, joined
+from workload.q_policies import DEFAULT_GROUPS, GROUPS, group_mapping, joined
 from workload.registry import query
 from workload.tables import Tables, sweep_as_of
 from workload.views import SWEEP_AS_OF
@@ -127,8 +127,13 @@ def _table_policies(t: Tables) -> DataFrame:
     )
 
 
-_GROUPS = """CASE WHEN NOT has_purpose THEN 'admin,gov_platform_admin,metastore_admins' WHEN marketing THEN 'admin,campaign-managers,gov_platform_admin,growth-team,marketing-analysts,metastore_admins'
-  ELSE 'admin,auditors,finance-team,gov_platform_admin,metastore_admins' END"""
+def _group_text(purpose: str | None) -> str:
+    return ",".join(sorted({*DEFAULT_GROUPS, *GROUPS.get(purpose, [])}))
+
+
+_GROUPS = (
+    f"CASE WHEN NOT has_purpose THEN '{_group_text(None)}' WHEN marketing THEN '{_group_text('MARKETING')}' ELSE '{_group_text('FINANCE')}' END"
+)
 _KEYED = f"SELECT {_URN} AS urn, p.* FROM (SELECT DISTINCT catalog_, schema_, table_, pk FROM v_table_tags) JOIN ({_TABLE_POLICY}) p USING (pk)"
 _KEY = "CASE method WHEN 1 THEN 'HASH' WHEN 3 THEN 'NOISE_INT' ELSE 'FULL' END"
 

@@ -143,9 +143,9 @@ def _extract(t: Tables, cap: int | None) -> DataFrame:
     )
 
 
-@query("s6_lineage_extract", LINEAGE_SQL.format(limit=10_000))
+@query("s6_lineage_extract", LINEAGE_SQL.format(limit=100))
 def s6_lineage_extract(t: Tables) -> DataFrame:
-    return _extract(t, 10_000)
+    return _extract(t, 100)
 
 
 @query("s6_lineage_extract_all", LINEAGE_SQL.format(limit="ALL").replace(" LIMIT ALL", ""))
@@ -195,7 +195,7 @@ _FLAG = lambda c: f"CASE WHEN {c} THEN 'true' ELSE 'false' END"
 
 
 @query("s11_opa_documents", f"""WITH {ALL_DOMAINS}, ids AS (SELECT project_id, urn, string_agg(id, ',' ORDER BY ord) AS ids FROM hits GROUP BY ALL)
-SELECT r.urn AS resource_urn, '{{"resource_urn":"' || r.urn || '","meta":{{"contributing_obligations":' || {_LIST("coalesce(i.ids, '')")} || '}}'
+SELECT r.project_id, r.urn AS resource_urn, '{{"resource_urn":"' || r.urn || '","meta":{{"contributing_obligations":' || {_LIST("coalesce(i.ids, '')")} || '}}'
   || coalesce(',"retention":{{"max_seconds":' || t.duration_s || ',"is_indefinite":false,"reason_code":"' || t.source || '"}}', '')
   || coalesce(',"geofencing":{{"allowed_regions":' || {_LIST('g.allowed')} || ',"blocked_regions":' || {_LIST('g.denied')} || ',"is_global_ban":' || {_FLAG('g.is_global_ban')} || ',"reason_code":"' || g.source || '"}}', '')
   || coalesce(',"ai_rules":{{"training_allowed":' || {_FLAG('a.training')} || ',"fine_tuning_allowed":' || {_FLAG('a.tuning')} || ',"rag_allowed":' || {_FLAG('a.rag')}
@@ -210,17 +210,17 @@ def s11_opa_documents(t: Tables) -> DataFrame:
 
 
 def _with_arn(t: Tables) -> DataFrame:
-    arns = t.view("v_resources").selectExpr("urn AS resource_urn", f"{_ARN} AS resource_arn")
-    return policies(t).join(arns, "resource_urn")
+    arns = t.view("v_resources").selectExpr("project_id", "urn AS resource_urn", f"{_ARN} AS resource_arn")
+    return policies(t).join(arns, ["project_id", "resource_urn"])
 
 
-_POL = f"""pol AS (SELECT r.urn AS resource_urn, {_ARN} AS arn, g.is_global_ban AS ban, g.allowed AS g_allow, g.denied AS g_deny, a.training, u.allowed AS u_allow, u.denied AS u_deny, p.method
+_POL = f"""pol AS (SELECT r.project_id, r.urn AS resource_urn, {_ARN} AS arn, g.is_global_ban AS ban, g.allowed AS g_allow, g.denied AS g_deny, a.training, u.allowed AS u_allow, u.denied AS u_deny, p.method
   FROM v_resources r LEFT JOIN geofencing g USING (project_id, urn) LEFT JOIN purpose u USING (project_id, urn) LEFT JOIN ai a USING (project_id, urn) LEFT JOIN privacy p USING (project_id, urn))"""
 
 
 def _rows(rules: list[tuple[str, str, str, str, str, str]]) -> str:
     return " UNION ALL ".join(
-        f"SELECT resource_urn, '{sid}' AS sid, {actions} AS actions, {resources} AS resources, {key} AS condition_key, {values} AS condition_values FROM pol WHERE {where}"
+        f"SELECT project_id, resource_urn, '{sid}' AS sid, {actions} AS actions, {resources} AS resources, {key} AS condition_key, {values} AS condition_values FROM pol WHERE {where}"
         for sid, where, actions, resources, key, values in rules
     )
 
@@ -244,7 +244,7 @@ def s12_iam_statements(t: Tables) -> DataFrame:
 
 def _statement_rows(statements: DataFrame) -> DataFrame:
     return statements.select(
-        "resource_urn", "sid", joined("actions").alias("actions"), joined("resources").alias("resources"), "condition_key",
+        "project_id", "resource_urn", "sid", joined("actions").alias("actions"), joined("resources").alias("resources"), "condition_key",
         joined("condition_values").alias("condition_values"),
     )
 

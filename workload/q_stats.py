@@ -34,7 +34,7 @@ def p1_list_audit_by_actor(t: Tables) -> DataFrame:
     return _shown(stats.list_audit(t.audit_log(), "p1", limit=20, actor="user_1"))
 
 
-@query("p5_decision_filter", f"SELECT * FROM (SELECT {_LOG} FROM v_audit_log WHERE project_id = 'p2' ORDER BY timestamp_ DESC, id LIMIT 50) WHERE decision = 'DENY'")
+@query("p5_decision_filter", f"SELECT * FROM (SELECT {_LOG} FROM v_audit_log WHERE project_id = 'p2' AND decision = 'DENY' ORDER BY timestamp_ DESC, id LIMIT 50)")
 def p5_decision_filter(t: Tables) -> DataFrame:
     return _shown(stats.list_audit(t.audit_log(), "p2", decision="DENY"))
 
@@ -50,7 +50,7 @@ def p2_search_inactive(t: Tables) -> DataFrame:
     return stats.search_obligations(t.obligations(), "OB-S1", include_inactive=True).select("id", "title", "is_active")
 
 
-@query("p3_page", "SELECT project_id, urn, name FROM v_resources ORDER BY urn LIMIT 100 OFFSET 100")
+@query("p3_page", "SELECT project_id, urn, name FROM v_resources ORDER BY urn LIMIT 500 OFFSET 500")
 def p3_page(t: Tables) -> DataFrame:
     return stats.page(t.resources(), 2, 500, ["urn"])[0].select("project_id", "urn", "name")
 
@@ -70,12 +70,11 @@ def p4_high_risk(t: Tables) -> DataFrame:
 
 @query("g1a_kpis", f"""WITH a AS (SELECT project_id, count(*) AS total, count(*) FILTER (WHERE decision = 'DENY') AS denials FROM v_audit_log WHERE {_RECENT} GROUP BY ALL),
 r AS (SELECT project_id, count(*) AS resources FROM v_resources GROUP BY ALL), o AS (SELECT project_id, count(*) AS n FROM v_obligations WHERE is_active AND project_id IS NOT NULL GROUP BY ALL)
-SELECT project_id, coalesce(total, 0) AS total_requests, coalesce(denials, 0) AS denials, coalesce(n, 0) AS active_obligations, coalesce(resources, 0) AS resources,
+SELECT project_id, coalesce(total, 0) AS total_requests, coalesce(denials, 0) AS denials, coalesce(n, 0) + (SELECT count(*) FROM v_obligations WHERE is_active AND project_id IS NULL) AS active_obligations, coalesce(resources, 0) AS resources,
   CASE WHEN coalesce(total, 0) = 0 THEN 100.0 ELSE round(CAST((total - denials) * 1.0 / total * 100 AS DOUBLE), 1) END AS enforcement_rate
 FROM r FULL JOIN o USING (project_id) FULL JOIN a USING (project_id)""")
 def g1a_kpis(t: Tables) -> DataFrame:
-    obligations = t.obligations().filter("project_id IS NOT NULL")
-    return stats.kpis(t.audit_log(), obligations, t.resources(), as_of(), HOURS)
+    return stats.kpis(t.audit_log(), t.obligations(), t.resources(), as_of(), HOURS)
 
 
 @query("g1b_traffic", f"""SELECT project_id, date_trunc('hour', timestamp_) AS hour, count(*) FILTER (WHERE decision = 'ALLOW') AS allowed,

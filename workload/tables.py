@@ -50,13 +50,6 @@ class Tables:
             self._seen[name].createOrReplaceTempView(name)
         return self._seen[name]
 
-    def spread(self, df: DataFrame, base: str) -> DataFrame:
-        """Use all cores when the file of a table has fewer row groups than that."""
-        cores = self.spark.sparkContext.defaultParallelism
-        if ("parts", base) not in self._seen:
-            self._seen["parts", base] = self.base(base).rdd.getNumPartitions()
-        return df.repartition(cores) if self._seen["parts", base] < cores else df
-
     def view(self, name: str) -> DataFrame:
         for view in needed(name):
             if view not in self._seen:
@@ -77,7 +70,7 @@ class Tables:
         resources = self.view("v_resources").select(
             "project_id", "urn", "platform", "name", tags.alias("tags"), "sensitivity", "risk_level", "ai_training_allowed", "owner"
         )
-        return self.spread(resources, "part")
+        return resources
 
     def obligations(self, version: str = "v_obligations") -> DataFrame:
         d = lambda n: F.col("d") == n
@@ -133,7 +126,7 @@ class Tables:
             "id", "project_id", F.col("timestamp_").cast("timestamp").alias("timestamp"), "actor_id", "resource_urn", "action",
             "decision", F.when(F.col("event_id") % 5 != 4, trace).alias("reason_trace"), "request_context",
         )
-        return self.spread(log, "events")
+        return log
 
     def run_signals(self) -> DataFrame:
         signals = self.view("v_run_signals")
@@ -173,7 +166,7 @@ class Tables:
         )
 
     def elements(self) -> DataFrame:
-        return self.spread(self.view("v_elements"), "documents")
+        return self.view("v_elements")
 
     def constraints(self) -> DataFrame:
         return self.view("v_constraints")
