@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -26,7 +27,8 @@ from govspark.llm.registry import query
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-KEPT_WORDS, KEPT_LENGTH = 100_000, 64
+KEPT_WORDS, KEPT_LENGTH = 300_000, 64
+_NEVER = float("-inf")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 #: A score so low that bytes are used only where no piece fits, as in the model's own byte pieces.
 BYTE_SCORE = -1_000_000_000
@@ -50,7 +52,9 @@ class Pieces:
         if self.text:
             self.automaton.make_automaton()
         self.by_word = all(SPACE not in p.lstrip(SPACE) for p in self.text.values())
-        self._kept: dict[str, tuple[int, ...]] = {}
+        plain_bytes = lambda i: self.text[i].replace(SPACE, " ").encode("utf-8", "surrogatepass") if i in self.text else b""
+        self.raw = [bytes([self.of_byte[i]]) if i in self.of_byte else plain_bytes(i) for i in range(len(pieces))]
+        self._kept = _Kept(self.best)
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -64,24 +68,33 @@ class Pieces:
     def best(self, text: str) -> tuple[int, ...]:
         """Viterbi over one stretch, in which U+2581 stands for a space."""
         n = len(text)
-        # (score, minus the number of pieces) is what counts; from the left, each position is final once the next begins.
-        score, count, start, last = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
-        ends: dict[int, list] = {}
-        if self.text:
-            for end, found in self.automaton.iter(text):
-                ends.setdefault(end, []).append(found)
-        for end in range(n):
-            to, got = end + 1, None
-            for size, value, i in ends.get(end, ()):
-                at = to - size
-                new = (score[at] + value, -count[at] - 1, size)
-                if got is None or new > got:
-                    got, start[to], last[to] = new, at, i
-            width = len(text[end].encode("utf-8", "surrogatepass"))
-            new = (score[end] + BYTE_SCORE * width, -count[end] - width, 1)
-            if got is None or new > got:
-                got, start[to], last[to] = new, end, -1
-            score[to], count[to] = got[0], -got[1]
+        score, count, start, last = [_NEVER] * (n + 1), [0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        score[0] = 0.0
+
+        def by_bytes(to: int) -> None:
+            """A position is final once the next is reached; bytes may still be the best way to it."""
+            width = len(text[to - 1].encode("utf-8", "surrogatepass"))
+            new, pieces = score[to - 1] + BYTE_SCORE * width, count[to - 1] + width
+            if new > score[to] or (new == score[to] and pieces < count[to]):
+                score[to], count[to], start[to], last[to] = new, pieces, to - 1, -1
+
+        done = 0
+        for end, (size, value, i) in self.automaton.iter(text) if self.text else ():
+            while done < end:
+                done += 1
+                if score[done] <= score[done - 1] + BYTE_SCORE:
+                    by_bytes(done)
+            to = end + 1
+            at = to - size
+            new = score[at] + value
+            if new >= score[to]:
+                pieces = count[at] + 1
+                if new > score[to] or pieces < count[to] or (pieces == count[to] and at < start[to]):
+                    score[to], count[to], start[to], last[to] = new, pieces, at, i
+        while done < n:
+            done += 1
+            if score[done] <= score[done - 1] + BYTE_SCORE:
+                by_bytes(done)
         out, at = [], n
         while at:
             if last[at] < 0:
@@ -106,30 +119,32 @@ class Pieces:
     def _stretch(self, text: str) -> list[int]:
         if not self.by_word:
             return list(self.best(text))
-        kept, out = self._kept, []
-        for word in _WORDS(text):
-            ids = kept.get(word)
-            if ids is None:
-                ids = self.best(word)
-                if len(word) <= KEPT_LENGTH:
-                    if len(kept) >= KEPT_WORDS:
-                        kept.clear()
-                    kept[word] = ids
-            out += ids
-        return out
+        kept = self._kept
+        return list(chain.from_iterable([kept[word] for word in _WORDS(text)]))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; control and unknown pieces are empty."""
-        parts: list[bytes] = []
-        for i in ids:
-            if i in self.of_byte:
-                parts.append(bytes([self.of_byte[i]]))
-            elif i in self.text:
-                parts.append(self.text[i].replace(SPACE, " ").encode("utf-8", "surrogatepass"))
-        text = b"".join(parts).decode("utf-8", "surrogatepass" if parts else "strict")
+        raw = b"".join(map(self.raw.__getitem__, ids))
+        text = raw.decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
 
+class _Kept(dict):
+    """Encodings of the words met so far, forgotten when there are too many."""
+
+    def __init__(self, best):
+        super().__init__()
+        self._best = best
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self._best(word)
+        if len(word) <= KEPT_LENGTH:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
 _LOADED: dict[str, Pieces] = {}
 
@@ -158,7 +173,7 @@ def encode_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 same = [pieces.decode(ids) == t for ids, t in zip(rows, texts, strict=True)]
                 sizes = np.array([len(r) for r in rows], np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                flat = pa.array(np.fromiter((i for r in rows for i in r), np.int32, int(sizes.sum())))
+                flat = pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum())))
                 arrays = [part["doc_id"], pa.array(sizes), pa.ListArray.from_arrays(offsets, flat), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_pieces", "ids", "round_trip"])
 
