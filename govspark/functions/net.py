@@ -20,20 +20,42 @@ def is_eu_region(region: Column) -> Column:
     return F.coalesce(region.isin(*EU_REGIONS), F.lit(False))
 
 
-def _ipv4_number(address: Column) -> Column:
+def _bits(number: Column, base: int, width: int) -> Column:
+    return F.lpad(F.conv(number, base, 2), width, "0")
+
+
+def _ipv4_bits(address: Column) -> Column:
     valid = address.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
-    octets = F.transform(F.split(address, r"\."), lambda part: part.cast("bigint"))
-    number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda total, octet: total * 256 + octet)
-    return F.when(valid, number)
+    return F.when(valid, F.array_join(F.transform(F.split(address, r"\."), lambda part: _bits(part, 10, 8)), ""))
+
+
+def _ipv6_bits(address: Column) -> Column:
+    """128 binary digits; null unless the text is eight groups of hex digits, or fewer around one ``::``."""
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    halves = F.split(address, "::")
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    missing = F.lit(8) - F.size(left) - F.size(right)
+    filled = F.concat(left, F.array_repeat(F.lit("0"), missing), right)
+    valid = (
+        address.rlike(r"^[0-9A-Fa-f:]+$")
+        & ~address.rlike(r":::|::.*::|^:[^:]|[^:]:$")
+        & F.when(address.contains("::"), missing >= 1).otherwise(missing == 0)
+        & F.forall(filled, lambda g: F.length(g) <= 4)
+    )
+    return F.when(valid, F.array_join(F.transform(filled, lambda g: _bits(g.substr(1, 4), 16, 16)), ""))
+
+
+def _address_bits(address: Column) -> Column:
+    return F.when(address.contains(":"), _ipv6_bits(address)).otherwise(_ipv4_bits(address))
 
 
 def cidr_contains(cidr: Column, address: Column) -> Column:
-    """True when the IPv4 address lies in the block; a bare address is a /32."""
-    base = _ipv4_number(F.substring_index(cidr, "/", 1))
-    bits = F.when(cidr.contains("/"), F.substring_index(cidr, "/", -1).cast("int")).otherwise(F.lit(32))
-    # Addresses share a block exactly when they agree after dropping the host bits.
-    host = F.pow(F.lit(2.0), F.lit(32) - bits)
-    same = F.floor(base / host) == F.floor(_ipv4_number(address) / host)
+    """True when the IPv4 or IPv6 address lies in the block; a bare address is a block of one. Families don't mix."""
+    base, inner = _address_bits(F.substring_index(cidr, "/", 1)), _address_bits(address)
+    width = F.length(base)
+    shared = F.when(cidr.contains("/"), F.substring_index(cidr, "/", -1).try_cast("int")).otherwise(width)
+    # Addresses share a block exactly when their leading bits agree.
+    same = shared.between(0, width) & (F.length(inner) == width) & (base.substr(F.lit(1), shared) == inner.substr(F.lit(1), shared))
     return F.coalesce(same, F.lit(False))
 
 

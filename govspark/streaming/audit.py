@@ -62,6 +62,9 @@ def stream_ingest(
     return _start(writer, checkpoint, trigger)
 
 
+_SEALED = ["project_id", "id", "timestamp", "entry_hash"]
+
+
 def seal_batch(batch: DataFrame, batch_id: int, out: str, as_of: datetime, **limits: int) -> None:
     """Seal what is due among the entries left open so far and the new ones.
 
@@ -69,7 +72,7 @@ def seal_batch(batch: DataFrame, batch_id: int, out: str, as_of: datetime, **lim
     the new entries and not the length of the log.
     """
     spark = batch.sparkSession
-    entries = batch.select("project_id", "id", "timestamp", "entry_hash")
+    entries = batch.select(*_SEALED).filter(F.col("id").isNotNull())
     # Every batch writes both, so only the first may find nothing: a lost head would start its chain anew.
     before = lambda name: spark.read.parquet(f"{out}/{name}/batch_id={batch_id - 1}") if batch_id else None
     left_open, heads = before("open"), before("heads")
@@ -102,11 +105,16 @@ def stream_seal(
     trigger: dict | None = None,
     **limits: int,
 ) -> StreamingQuery:
-    """Seal blocks as entries arrive in the log directory. ``clock`` gives the time for the age rule."""
+    """Seal blocks as entries arrive in the log directory. ``clock`` gives the time for the age rule.
+
+    A beat of rows without an id makes batches while no file arrives, so that entries of an idle project are sealed by age.
+    """
     schema = spark.read.parquet(log).schema
-    stream = spark.readStream.schema(schema).parquet(log)
+    beat = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    beat = beat.select(*[F.lit(None).cast(schema[c].dataType).alias(c) for c in _SEALED])
+    stream = spark.readStream.schema(schema).parquet(log).select(*_SEALED).unionByName(beat)
     writer = stream.writeStream.foreachBatch(lambda batch, batch_id: seal_batch(batch, batch_id, out, clock(), **limits))
-    return _start(writer, checkpoint, trigger)
+    return _start(writer, checkpoint, trigger or {"processingTime": "10 seconds"})
 
 
 def traffic(events: DataFrame, delay: str = "1 hour") -> DataFrame:

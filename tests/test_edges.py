@@ -101,3 +101,18 @@ def test_a_damaged_table_is_not_an_empty_one(spark, tmp_path):
     (tmp_path / "bad" / "part-0.parquet").write_text("no parquet")
     with pytest.raises(Exception):  # noqa: B017
         read_or_none(spark, str(tmp_path / "bad"))
+
+
+def test_addresses_of_both_families(spark):
+    from govspark.functions.net import cidr_contains
+
+    cases = [
+        ("10.0.0.0/8", "10.255.0.1", True), ("10.0.0.0/8", "11.0.0.1", False), ("1.2.3.4", "1.2.3.4", True), ("0.0.0.0/0", "9.9.9.9", True),
+        ("1.2.3.4/33", "1.2.3.4", False), ("1.2.3.4/x", "1.2.3.4", False), ("2001:db8::/32", "2001:DB8:0:1::9", True),
+        ("2001:db8::/32", "2001:db9::1", False), ("::1", "0:0:0:0:0:0:0:1", True), ("::/0", "fe80::1", True), ("::/0", "1.2.3.4", False),
+        ("0.0.0.0/0", "::1", False), ("fe80::/10", "febf::", True), ("fe80::/10", "fec0::", False), ("::/0", "1::2::3", False),
+        ("::/0", "1:2:3:4:5:6:7", False), ("::/0", "12345::", False), ("::/0", ":1::", False), ("::/0", None, False), (None, "::1", False),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, cidr string, ip string, want boolean")
+    wrong = df.withColumn("got", cidr_contains(F.col("cidr"), F.col("ip"))).filter("got <> want").collect()
+    assert wrong == []

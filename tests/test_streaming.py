@@ -1,6 +1,7 @@
 """Streams give what the batch operators give on the same files, also after a restart."""
 
 import json
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -72,6 +73,17 @@ def test_ingest_restart_and_seal(spark, tmp_path, source):
     assert spark.read.parquet(f"{ledger}/open/batch_id={newest}").count() == 40
 
 
+def test_idle_project_is_sealed_by_age(spark, tmp_path, source):
+    out, ledger, ckpt = str(tmp_path / "out"), str(tmp_path / "ledger"), str(tmp_path / "c2")
+    finish(stream_ingest(spark, str(source), out, str(tmp_path / "c1"), ONCE))
+    limits = {"min_entries": 1000, "max_age_s": 10**6, "capacity": 1000}
+    finish(stream_seal(spark, f"{out}/log", ledger, ckpt, lambda: START + timedelta(hours=9), ONCE, **limits))
+    assert spark.read.parquet(f"{ledger}/blocks").count() == 0
+    time.sleep(2)
+    finish(stream_seal(spark, f"{out}/log", ledger, ckpt, lambda: START + timedelta(days=30), ONCE, **limits))
+    assert [(r.project_id, r.sequence_index) for r in spark.read.parquet(f"{ledger}/blocks").collect()] == [("a", 0)]
+
+
 def test_traffic_and_tail(spark, tmp_path, source):
     finish(stream_traffic(spark, str(source), str(tmp_path / "traffic"), str(tmp_path / "c1"), trigger=ONCE))
     got = {r.hour: (r.allowed, r.denied) for r in spark.read.parquet(str(tmp_path / "traffic")).collect()}

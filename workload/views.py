@@ -209,8 +209,7 @@ def v_lineage_events(d: Dialect) -> str:
     SELECT 'p' || (l_orderkey % 3) AS project_id, 'run-' || l_orderkey AS external_run_id,
            'urn:part:' || l_partkey AS source_urn, 'urn:order:' || l_orderkey AS target_urn FROM lineitem
     UNION ALL
-    SELECT 'p' || (l_orderkey % 3), 'run-' || l_orderkey, 'urn:supplier:' || l_suppkey, 'urn:part:' || l_partkey
-    FROM lineitem WHERE l_linenumber = 1
+    SELECT 'p' || (l_orderkey % 3), 'run-' || l_orderkey, 'urn:supplier:' || l_suppkey, 'urn:part:' || l_partkey FROM lineitem
     UNION ALL
     SELECT 'p' || (o_orderkey % 3), 'run-' || o_orderkey, 'urn:order:' || o_orderkey, 'urn:model:customer:' || o_custkey FROM orders
     UNION ALL
@@ -285,7 +284,7 @@ def v_table_tags(d: Dialect) -> str:
 def v_elements(d: Dialect) -> str:
     return f"""
     SELECT doc_id, pos, CASE WHEN pos % 6 = 0 THEN 'Title' WHEN pos % 11 = 10 THEN 'Table' WHEN pos % 13 = 12 THEN 'Header' ELSE 'NarrativeText' END AS kind,
-      CASE WHEN pos % 6 = 0 THEN CASE WHEN doc_id % 9 = 4 THEN 'Definitions ' || substr(line, 1, 20) ELSE substr(line, 1, 40) END ELSE line END AS text,
+      CASE WHEN pos % 6 = 0 AND doc_id % 9 = 4 THEN 'Definitions ' || line ELSE line END AS text,
       {d.int_div('pos', 4)} + 1 AS page
     FROM ({d.lines('documents', 'doc_id', 'text')}) x"""
 
@@ -297,6 +296,8 @@ def v_constraints(d: Dialect) -> str:
         *quoted("Personal Data of EEA users", "payment records", "Patient files", "usage logs", "Confidential material",
                 "Source code (all branches), builds and", "graphics assets", "European staff", "Personal Data of EEA users "),
     )
+    # Sixty characters from anywhere in the text.
+    quote = "substr(text, CAST(x.doc_id * 7919 % greatest(length(text) - 60, 1) + 1 AS INT), 60)"
     rows = []
     for i in range(2):
         rows.append(f"""
@@ -306,14 +307,14 @@ def v_constraints(d: Dialect) -> str:
           CASE WHEN coalesce(quality, 0) = 1 AND x.doc_id % 6 = 0 THEN 'REG-' || (x.doc_id % 2) || '::Art. ' || (x.doc_id % 3) END AS mapped_regulation_id,
           CASE WHEN (x.doc_id + {i}) % 3 = 0 THEN CAST((x.doc_id % 3) * 86400 AS BIGINT) END AS retention_s,
           CASE WHEN (x.doc_id + {i}) % 3 = 0 THEN '{{"duration":' || (x.doc_id % 3) || '}}' ELSE '{{"level":' || (x.doc_id % 2) || '}}' END AS rule_json,
-          CASE WHEN x.doc_id % 2 = 1 THEN '"' || substr(text, 11, 60) || '"' ELSE reverse(substr(text, 11, 60)) END AS quote, text
+          CASE WHEN x.doc_id % 2 = 1 THEN '"' || {quote} || '"' ELSE reverse({quote}) END AS quote, text
         FROM documents x LEFT JOIN labels l ON x.doc_id = l.doc_id""")
     return " UNION ALL ".join(rows)
 
 
 def v_passages(d: Dialect) -> str:
-    """Chunk-like rows: one per line, some short, some with quoted terms, with a section name."""
-    six, text = d.int_div("pos", 6), "CASE WHEN pos % 3 = 0 THEN substr(line, 1, 15) ELSE line END"
+    """Chunk-like rows: one per whole line, some with quoted terms, with a section name."""
+    six, text = d.int_div("pos", 6), "line"
     return f"""
     SELECT doc_id, pos AS start_pos, doc_id || '-' || pos AS chunk_id, {d.int_div('pos', 4)} + 1 AS page,
       CASE WHEN doc_id % 9 = 4 AND {six} = 1 THEN '1. Definitions' ELSE 'Part ' || {six} END AS section,
