@@ -43,6 +43,11 @@ def _is_selective(prefix: Column) -> Column:
     return F.length(prefix) - F.length(F.replace(prefix, F.lit(":"), F.lit(""))) >= 2
 
 
+def _any_of(globs: Column) -> Column:
+    """One regex that hits where any of the globs does; without globs it is no test at all."""
+    return F.array_join(F.transform(globs, lambda p: F.concat(F.lit("(?:"), glob_regex(p), F.lit(")"))), "|")
+
+
 def _selectors(obligations: DataFrame) -> DataFrame:
     """Lean selector rows with ready-made regexes and the pairs or prefixes that can serve as keys.
 
@@ -63,7 +68,8 @@ def _selectors(obligations: DataFrame) -> DataFrame:
         F.col("project_id").alias("scope"),
         "ord",
         F.transform(include, lambda p: glob_regex(p)).alias("include_rx"),
-        F.transform(exclude, lambda p: glob_regex(p)).alias("exclude_rx"),
+        _any_of(exclude).alias("exclude_any"),
+        _any_of(include).alias("include_any"),
         tags.alias("tags"),
         F.coalesce(keys, F.array().cast(_STRINGS)).alias("keys"),
         (F.size(pairs) > 1).alias("choose"),
@@ -112,12 +118,15 @@ def match_obligations(
 
     An obligation without a project applies to all projects. ``ord`` must be unique.
     """
-    no_tags = F.from_json(F.lit("{}"), "map<string,string>")
-    lean = resources.select("project_id", "urn", F.coalesce("tags", no_tags).alias("r_tags"))
     if "is_active" in obligations.columns:
         obligations = obligations.filter(F.coalesce("is_active", F.lit(True)))
     # Regexes are built once per obligation and reused by the steps below.
     selectors = materialize(_selectors(obligations))
+    no_tags = F.from_json(F.lit("{}"), "map<string,string>")
+    # The urn takes a new name on purpose. Catalyst numbers lambda variables from 0 when it compares expressions, and
+    # the first columns of a session have these numbers too: a lambda that names such a column loses it from its
+    # references, and the test is pushed to the side of the join that lacks the column.
+    lean = resources.select("project_id", F.col("urn").alias("r_urn"), F.coalesce("tags", no_tags).alias("r_tags"))
     if not selectors.filter("choose").isEmpty():
         selectors = selectors.filter("NOT choose").unionByName(_rarest(lean, selectors))
     globs = _scan_globs(selectors, max_scan_globs)
@@ -131,28 +140,27 @@ def match_obligations(
         selectors.withColumn("key", F.explode(F.when(F.size("keys") > 0, F.col("keys")).otherwise(spread_keys)))
     )
 
-    urn, segments = F.col("urn"), F.split("urn", ":")
+    urn, segments = F.col("r_urn"), F.split("r_urn", ":")
     ends = F.sequence(F.lit(1), F.greatest(F.size(segments) - 1, F.lit(1)))
     prefixes = F.transform(
         ends, lambda n: F.concat(F.lit(_PREFIX), F.array_join(F.slice(segments, F.lit(1), n), ":"), F.lit(":"))
     )
-    mine = F.concat(F.lit(_SPREAD), F.pmod(F.xxhash64("urn"), F.lit(spread)).cast("string"))
+    mine = F.concat(F.lit(_SPREAD), F.pmod(F.xxhash64("r_urn"), F.lit(spread)).cast("string"))
     hits = [F.when(urn.rlike(rx), F.lit(_GLOB + rx)) for rx in globs]
     owned_keys = F.array_compact(
         F.concat(F.transform(F.map_entries("r_tags"), _pair), prefixes, F.array(F.concat(F.lit(_PREFIX), urn), mine, *hits))
     )
     owned = lean.withColumn("key", F.explode(F.array_distinct(owned_keys)))
 
-    hit = lambda rx: F.rlike(urn, rx)
     # A selector with several prefixes may meet a resource more than once; its first key counts.
     first_key = (F.size("keys") < 2) | (F.get(F.filter("keys", lambda k: _owns(urn, k)), F.lit(0)) == F.col("key"))
     return owned.join(keyed, "key").filter(
         (F.col("scope").isNull() | (F.col("scope") == F.col("project_id")))
         & first_key
-        & ~F.exists("exclude_rx", hit)
+        & ((F.col("exclude_any") == "") | ~F.rlike(urn, F.col("exclude_any")))
         & _tag_ok(F.col("r_tags"), F.col("tags"))
-        & (F.col("key").startswith(_GLOB) | (F.size("include_rx") == 0) | F.exists("include_rx", hit))
-    ).select("project_id", "urn", "ord")
+        & (F.col("key").startswith(_GLOB) | (F.col("include_any") == "") | F.rlike(urn, F.col("include_any")))
+    ).select("project_id", F.col("r_urn").alias("urn"), "ord")
 
 
 def resolve_groups(policies: DataFrame, mapping: DataFrame, defaults: list[str]) -> DataFrame:
