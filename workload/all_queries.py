@@ -11,5 +11,6 @@ from workload import (  # noqa: F401
     q_protect,
     q_sources,
     q_stats,
+    q_streaming,
 )
 from workload.registry import ORACLES, QUERIES  # noqa: F401
