@@ -123,6 +123,14 @@ def test_links_in_crowded_blocks(spark, monkeypatch):
         assert [root.get(v, v) for v in values] == want
 
 
+@pytest.mark.parametrize("values", [[0, 3, 15, 63], *[[7 << i for i in range(n)] for n in (4, 8, 50)]])
+def test_rising_chains_are_one_component(spark, monkeypatch, values):
+    """Neighbours are two bits apart, all others more."""
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: docs.select("doc_id", F.col("text").cast("long").alias("fingerprint")))
+    docs = spark.createDataFrame([(i, str(v)) for i, v in enumerate(values)], DOCS)
+    assert [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).orderBy("doc_id").collect()] == [(i, 0) for i in range(len(values))]
+
+
 # --- classifier ----------------------------------------------------------------
 
 
