@@ -142,8 +142,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows with a null id stay only where no row of their component has one, and then all of them; rows that repeat a
     kept id stay with it, so nothing but a smaller id ever removes a document.
     """
+    return keep_least(docs, near_duplicates(docs.select("doc_id", "text")))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is the component_id of its component in ``found``."""
     (keep,) = collision_free(docs.columns, "kept_id")
-    found = near_duplicates(docs.select("doc_id", "text"))
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep)).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept[keep]), "left_semi")
 
