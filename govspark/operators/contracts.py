@@ -295,15 +295,20 @@ def _squeezed(text: Column) -> Column:
     return F.regexp_replace(no_single, r"^[.,;:]+|[.,;:]+$", "")
 
 
-def verify_quotes(constraints: DataFrame, chunks: DataFrame, min_chars: int = 10, min_tokens: int = 20) -> DataFrame:
+def long_chunks(chunks: DataFrame, min_tokens: int = 20) -> DataFrame:
+    """The chunks that are asked for constraints: those of ``min_tokens`` tokens or more (P6)."""
+    return chunks.filter(F.col("token_count") >= min_tokens)
+
+
+def verify_quotes(constraints: DataFrame, chunks: DataFrame, min_chars: int = 10) -> DataFrame:
     """Add ``verified``: the quote, squeezed, is long enough and occurs in its chunk.
 
-    Chunks of fewer than ``min_tokens`` tokens are never asked for constraints, so theirs are dropped.
+    Every constraint gets true or false, false where its chunk_id is null or unknown; chunks of any length count.
     """
-    asked = chunks.filter(F.col("token_count") >= min_tokens).select("chunk_id", F.col("content").alias("_text"))
+    texts = chunks.select("chunk_id", F.col("content").alias("_text"))
     quote = _squeezed(F.col("quote"))
     holds = (F.length(quote) >= min_chars) & _squeezed(F.col("_text")).contains(quote)
-    return constraints.join(asked, "chunk_id").withColumn("verified", F.coalesce(holds, F.lit(False))).drop("_text")
+    return constraints.join(texts, "chunk_id", "left").withColumn("verified", F.coalesce(holds, F.lit(False))).drop("_text")
 
 
 def subject_tags(subject: Column) -> Column:

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from govspark.operators.contracts import chunk_elements, pack_greedily, vector_topk
+from govspark.operators.contracts import chunk_elements, pack_greedily, vector_topk, verify_quotes
 from govspark.operators.ordered import running
 
 
@@ -62,3 +62,11 @@ def test_topk_does_not_depend_on_blocks(spark):
     corpus = spark.createDataFrame([(i, vector()) for i in range(200)], "corpus_id bigint, vector array<float>")
     rows = lambda n: sorted((r.query_id, r.rank, r.corpus_id) for r in vector_topk(queries, corpus, 4, 0.1, block_rows=n).collect())
     assert rows(4096) == rows(16)
+
+
+def test_every_constraint_gets_a_verdict(spark):
+    long_text = "the supplier shall delete all personal data " * 5
+    chunks = spark.createDataFrame([(1, long_text, 35), (2, "Delete within thirty days.", 5)], "chunk_id bigint, content string, token_count int")
+    rows = [(0, 1, "delete all personal data"), (1, 1, "not in this text"), (2, 2, "within thirty days"), (3, None, "within thirty days"), (4, 9, "within thirty days"), (5, 1, None)]
+    got = verify_quotes(spark.createDataFrame(rows, "ord bigint, chunk_id bigint, quote string"), chunks)
+    assert {r.ord: r.verified for r in got.collect()} == {0: True, 1: False, 2: True, 3: False, 4: False, 5: False}

@@ -144,7 +144,9 @@ _CHECKED = f"""checked AS (SELECT c.*, length({_squeeze('quote')}) >= 10 AND con
 
 def _verified(t: Tables) -> DataFrame:
     docs = t.base("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), D.count_tokens(F.col("text")).alias("token_count"))
-    return D.verify_quotes(t.constraints().withColumn("chunk_id", F.col("doc_id")).drop("text"), docs)
+    # P6 as a step of its own, as in the SQL: only long documents are asked, so only theirs count as extracted.
+    extracted = t.constraints().withColumn("chunk_id", F.col("doc_id")).drop("text").join(D.long_chunks(docs).select("chunk_id"), "chunk_id", "left_semi")
+    return D.verify_quotes(extracted, docs)
 
 
 @query("d8_verified_quotes", f"WITH {_CHECKED} SELECT ord, doc_id, verified FROM checked")
