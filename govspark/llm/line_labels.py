@@ -6,7 +6,8 @@ of labelled documents: the lines of a good document count as content, those of a
 is coarse, and what both kinds share comes out as content, as good documents are far more. A document is kept when at
 least half of its words lie in content lines.
 
-Training reads at most ``TRAIN_DOCS`` labelled documents of at most ``TRAIN_LINES`` lines, taken by the hash of their id;
+Training reads at most ``TRAIN_DOCS`` labelled documents, taken by the hash of their id, and of each at most ``TRAIN_LINES``
+lines: a longer one gives a window of lines in a row, whose place the hash of its id chooses;
 decoding reads every line of every text, in one pass without a shuffle.
 """
 
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +110,12 @@ def train_field(sequences: list[np.ndarray], labels: list[int]) -> tuple[np.ndar
     return weights, move
 
 
+def training_window(doc_id: int, x: np.ndarray) -> np.ndarray:
+    """TRAIN_LINES lines in a row of a longer document, else all."""
+    start = xxhash.xxh64_intdigest(str(doc_id)) % max(1, len(x) - TRAIN_LINES + 1)
+    return x[start : start + TRAIN_LINES]
+
+
 def labelled_lines(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], list[int]]:
     """The bounded training sample: half good and half bad documents as far as there are, by the hash of their id."""
     marks = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -121,7 +129,7 @@ def labelled_lines(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray]
     def features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows = [(i, q, line_rows(t)[0]) for i, q, t in zip(*(part[c].to_pylist() for c in ("doc_id", "quality", "text")), strict=True)]
-            rows = [(i, q, x) for i, q, x in rows if 0 < len(x) <= TRAIN_LINES]
+            rows = [(i, q, training_window(i, x)) for i, q, x in rows if len(x)]
             arrays = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].ravel() for r in rows], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "quality", "x"])
 

@@ -207,3 +207,10 @@ def test_whole_text_equals_words():
 def test_line_labels_without_rows(edge_docs):
     empty = edge_docs.where(F.lit(False))
     assert line_labels.judge_lines(empty, *line_labels.train_field([], [])).collect() == []
+
+
+def test_long_labelled_documents_train_the_field(spark):
+    rows = [(i, "\n".join(f"line {k} of {i}" for k in range(n))) for i, n in enumerate([3, 100, 101, 250])]
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    x, y = line_labels.labelled_lines(spark.createDataFrame(rows, DOCS), labels)
+    assert y == [1, 1, 0, 0] and [len(s) for s in x] == [3, 100, 100, 100]
