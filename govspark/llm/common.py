@@ -78,3 +78,12 @@ def collision_free(columns: list[str], *wanted: str) -> list[str]:
         taken.add(name.lower())
         names.append(name)
     return names
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression: unsigned CRC-32 of a text whose code points are at most U+00FF, bit by bit of its UTF-8 bytes."""
+    code = "CAST(unicode(c) AS BIGINT)"
+    octets = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN {code} < 128 THEN [{code}] ELSE [192 + {code} // 64, 128 + {code} % 64] END))"
+    bits = f"flatten(list_transform({octets}, lambda b: [(b >> k) & 1 for k in range(8)]))"
+    step = "lambda x, b: xor(x >> 1, CASE WHEN xor(x & 1, b) = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), {step}), 4294967295)"
