@@ -1,6 +1,6 @@
 """Imports every module with queries, so that the registry is complete."""
 
-from govspark.llm import additive, chat, line_labels, mixing, packing, pieces, sharding, simhash, substrings, topk, urls, variants  # noqa: F401
+from govspark.llm import additive, chat, line_labels, mixing, packing, pieces, prefix_trie, sharding, simhash, substrings, topk, urls, variants  # noqa: F401
 from govspark.llm.registry import ORACLES, QUERIES  # noqa: F401
 
 
