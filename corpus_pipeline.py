@@ -9,7 +9,7 @@ from govspark.llm.additive import THRESHOLD, score, train, with_features
 from govspark.llm.common import Scratch, collision_free, table
 from govspark.llm.mixing import mix_sources
 from govspark.llm.pieces import encode_pieces
-from govspark.llm.similar import keep_first_similar
+from govspark.llm.simhash import keep_first
 from govspark.llm.substrings import remove_repeats
 
 
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose 5-word shingles are similar by 0.8 or more: the one with the smallest id."""
-    return keep_first_similar(docs)
+    """One document of each group of linked fingerprints (3-word shingles, at most 2 bits): the one with the smallest id."""
+    return keep_first(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
