@@ -44,15 +44,21 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
+def _text_mark(text: Column) -> Column:
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and fingerprint (long) of every whole text; a null text is an empty one."""
+    """doc_id, mark (a hash of the text) and fingerprint (long) of every whole text; a null text is an empty one."""
 
     def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             values = [fingerprint(t or "", width) for t in part["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(values, pa.int64())], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["mark"], pa.array(values, pa.int64())], ["doc_id", "mark", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(measure, "doc_id long, fingerprint long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", _text_mark(F.col("text")).alias("mark"))
+    return rows.mapInArrow(measure, "doc_id long, mark long, fingerprint long")
 
 
 def _masked(value: Column, blocks: tuple[int, ...]) -> Column:
@@ -120,7 +126,7 @@ def components(links: DataFrame, work: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, fingerprint (long), component_id for every row of ``docs`` (doc_id, text; other columns are left alone).
+    """doc_id, mark, fingerprint (long), component_id for every row of ``docs`` (doc_id, text; other columns are left alone).
 
     Equal fingerprints are linked; texts without words have fingerprint 0 and are linked like any other. Null ids take
     part; a component whose ids are all null has a null component_id. Repeated rows stay. An empty table gives no rows.
@@ -133,23 +139,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = work.write(rooted.join(named, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, prints["fingerprint"] == classes["fp"]).select("doc_id", "fingerprint", "component_id")
+    return prints.join(classes, prints["fingerprint"] == classes["fp"]).select(*prints.columns, "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component stays: the one with the smallest id. All columns as they were.
 
-    Rows with a null id stay only where no row of their component has one, and then all of them; rows that repeat a
-    kept id stay with it, so nothing but a smaller id ever removes a document.
+    Rows with a null id stay only where no row of their component has one, and then all of them. Equal rows of a kept id
+    stay with it; a row of the same id with another text is judged by its own component.
     """
-    return keep_least(docs, near_duplicates(docs.select("doc_id", "text")))
-
-
-def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the component_id of its component in ``found``."""
-    (keep,) = collision_free(docs.columns, "kept_id")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep)).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[keep]), "left_semi")
+    found = near_duplicates(docs.select("doc_id", "text"))
+    keep, mark = collision_free(docs.columns, "kept_id", "kept_mark")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep), F.col("mark").alias(mark)).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[keep]) & (_text_mark(docs["text"]) == kept[mark]), "left_semi")
 
 
 @query("op9_simhash_components")

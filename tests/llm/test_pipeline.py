@@ -40,6 +40,14 @@ def test_stages_on_edge_documents(spark, edge_docs, tables):
         assert stage(spark, empty, sf).collect() == []
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    """Row 5 is there as a copy of row 1 and with a text of its own; the copy goes."""
+    text, own = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (5, text), (5, own), (6, own), (5, own), (None, text), (7, None), (8, "")], "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, text), (5, own), (5, own), (7, "")]
+
+
 def test_modules_are_the_stages_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "passages", "mix", "piece_ids"]
     assert substrings.WINDOW == 20 and simhash.MAX_BITS == 2
