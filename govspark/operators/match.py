@@ -4,13 +4,18 @@ A selector applies to a resource when no exclude glob hits, every required tag i
 include glob hits (or none is given but tags are). Instead of testing all pairs, every selector gets
 equality keys that a matching resource must own, and one hash join gives the candidates to test:
 
-* a tag key    - one required ``key=value`` pair, the rarest one when there are several;
-* prefix keys  - the literal text of each include glob up to its last colon (or all of it, when it
+* a tag key   - one required ``key=value`` pair;
+* a prefix key - the literal text of an include glob up to its last colon (or all of it, when it
                  has no wildcard), against the prefixes of the urn;
-* glob keys    - for globs without such text, when their distinct number is small: each resource is
-                 tested against those few fixed patterns and owns the ones that hit;
-* a spread key - for the rest. The selector is repeated for a fixed number of spread numbers and each
-                 resource belongs to one of them, so no key collects all resources.
+* a gram key  - for a glob without such a prefix: ``GRAM`` characters in a row of its literal text,
+                 with marks for the urn's start and end, against the grams of the urn. Literal text
+                 shorter than that is a key as a whole;
+* the open key - what has no literal text at all meets every resource.
+
+Where a selector can choose (several pairs, several grams of a glob), one count over the resources
+names the key that the fewest own. A key that more than one in ``spread`` resources own is split: each
+resource belongs to one of ``spread`` parts and the selector is repeated for each part, so no key
+gathers all resources.
 """
 
 from __future__ import annotations
@@ -23,9 +28,10 @@ from govspark.session import materialize
 
 _WILDCARD = r"[*?\[]"
 _STRINGS = "array<string>"
-_TAG, _PREFIX, _GLOB, _SPREAD = "t:", "p:", "g:", "s:"
-# Up to this many distinct patterns are compiled into the scan of the resources.
-MAX_SCAN_GLOBS = 64
+_TAG, _PREFIX, _GRAM, _OPEN = "t:", "p:", "g:", "o:"
+GRAM = 3
+# Stand for the ends of a urn, so that a gram can say "starts with" and "ends with".
+_START, _END = "\u0002", "\u0003"
 
 
 def _pair(tag: Column) -> Column:
@@ -48,8 +54,37 @@ def _any_of(globs: Column) -> Column:
     return F.array_join(F.transform(globs, lambda p: F.concat(F.lit("(?:"), glob_regex(p), F.lit(")"))), "|")
 
 
-def _selectors(obligations: DataFrame) -> DataFrame:
-    """Lean selector rows with ready-made regexes and the pairs or prefixes that can serve as keys.
+def _grams(text: Column, size: int) -> Column:
+    """All runs of ``size`` characters of a text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - size + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.substr(text, i, F.lit(size)))
+
+
+def _marked(text: Column) -> Column:
+    return F.concat(F.lit(_START), text, F.lit(_END))
+
+
+def _glob_keys(pattern: Column, gram: int) -> Column:
+    """Keys of which every match of a glob owns all: its prefix alone, if that is selective, or grams of its literal text.
+
+    Text between a bracket and the last closing one is taken for no literal; that only loses keys.
+    """
+    pieces = F.filter(
+        F.split(_marked(pattern), r"(?s)\[.*\]|[*?]+"), lambda t: (t != "") & (t != _START) & (t != _END)
+    )
+    long = F.filter(pieces, lambda t: F.char_length(t) >= gram)
+    chosen = F.when(F.size(long) > 0, F.flatten(F.transform(long, lambda t: _grams(t, gram)))).otherwise(pieces)
+    grams = F.transform(F.array_distinct(chosen), lambda g: F.concat(F.lit(_GRAM), g))
+    prefix = _literal_prefix(pattern)
+    return (
+        F.when(_is_selective(prefix), F.array(F.concat(F.lit(_PREFIX), prefix)))
+        .when(F.size(grams) > 0, grams)
+        .otherwise(F.array(F.lit(_OPEN)))
+    )
+
+
+def _selectors(obligations: DataFrame, gram: int) -> DataFrame:
+    """Lean selector rows with ready-made regexes and their ``choices``: of each of these lists one key is enough.
 
     Selectors that can never match are dropped. A tag required to be '' also matches a missing tag, so
     it is no key.
@@ -58,50 +93,57 @@ def _selectors(obligations: DataFrame) -> DataFrame:
     include = F.coalesce(target["include_patterns"], F.array().cast(_STRINGS))
     exclude = F.coalesce(target["exclude_patterns"], F.array().cast(_STRINGS))
     tags = F.coalesce(F.map_entries(target["match_tags"]), F.array().cast("array<struct<key:string,value:string>>"))
-    prefixes = F.transform(include, lambda p: _literal_prefix(p))
     pairs = F.transform(F.filter(tags, lambda t: t["value"] != ""), _pair)
-    by_prefix = (F.size(include) > 0) & F.forall(prefixes, _is_selective)
-    keys = F.when(F.size(pairs) > 0, pairs).when(
-        by_prefix, F.array_distinct(F.transform(prefixes, lambda p: F.concat(F.lit(_PREFIX), p)))
+    choices = (
+        F.when(F.size(pairs) > 0, F.array(pairs))
+        .when(F.size(include) > 0, F.transform(include, lambda p: _glob_keys(p, gram)))
+        .otherwise(F.array(F.array(F.lit(_OPEN))))
     )
     return obligations.filter((F.size(include) > 0) | (F.size(tags) > 0)).select(
         F.col("project_id").alias("scope"),
         "ord",
-        F.transform(include, lambda p: glob_regex(p)).alias("include_rx"),
         _any_of(exclude).alias("exclude_any"),
         _any_of(include).alias("include_any"),
         tags.alias("tags"),
-        F.coalesce(keys, F.array().cast(_STRINGS)).alias("keys"),
-        (F.size(pairs) > 1).alias("choose"),
+        choices.alias("choices"),
     )
 
 
-def _rarest(resources: DataFrame, selectors: DataFrame) -> DataFrame:
-    """Selectors with several pairs, cut down to the pair that the fewest resources own."""
-    several = selectors.filter("choose")
-    wanted = several.select("ord", F.explode("keys").alias("key"))
-    owned = resources.select(F.explode(F.transform(F.map_entries("r_tags"), _pair)).alias("key"))
-    counts = owned.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
-    # A pair that no resource owns gets n = 0: its selector matches nothing and joins with nothing.
-    best = (
-        wanted.join(counts, "key", "left")
-        .groupBy("ord")
-        .agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("key").alias("k"))).alias("best"))
+def _keys_of(urn: Column, tags: Column, grams: list[int]) -> Column:
+    """Every key that a resource owns; ``grams`` are the lengths that any selector asks for."""
+    segments = F.split(urn, ":")
+    ends = F.sequence(F.lit(1), F.greatest(F.size(segments) - 1, F.lit(1)))
+    prefixes = F.transform(
+        ends, lambda n: F.concat(F.lit(_PREFIX), F.array_join(F.slice(segments, F.lit(1), n), ":"), F.lit(":"))
     )
-    return several.join(best, "ord").withColumn("keys", F.array("best")).drop("best")
+    whole = F.array(F.concat(F.lit(_PREFIX), urn), F.lit(_OPEN))
+    pieces = [F.transform(_grams(_marked(urn), n), lambda g: F.concat(F.lit(_GRAM), g)) for n in grams]
+    return F.array_distinct(F.array_compact(F.concat(F.transform(F.map_entries(tags), _pair), prefixes, whole, *pieces)))
 
 
 def _owns(urn: Column, key: Column) -> Column:
     text = F.substring(key, len(_PREFIX) + 1, 2**30)
     by_prefix = F.when(text.endswith(":"), urn.startswith(text)).otherwise(urn == text)
-    return F.when(key.startswith(_GLOB), F.rlike(urn, text)).otherwise(by_prefix)
+    return F.when(key.startswith(_GRAM), _marked(urn).contains(text)).when(key == _OPEN, F.lit(True)).otherwise(by_prefix)
 
 
-def _scan_globs(selectors: DataFrame, limit: int) -> list[str]:
-    """The distinct regexes of selectors without a key, or none when there are more than ``limit``."""
-    unkeyed = selectors.filter(F.size("keys") == 0).select(F.explode("include_rx").alias("rx")).distinct()
-    found = [row.rx for row in unkeyed.limit(limit + 1).collect()]
-    return sorted(found) if len(found) <= limit else []
+def _chosen_keys(selectors: DataFrame, owned: DataFrame, spread: int) -> tuple[DataFrame, list[str]]:
+    """(ord, keys) with the rarest key of each list of choices, and the keys owned by more than one in ``spread`` resources.
+
+    A resource owns a bounded number of keys, so at most ``spread`` times that many are so common.
+    """
+    choices = selectors.select("ord", F.posexplode("choices").alias("list", "of"))
+    wanted = choices.select("ord", "list", F.explode("of").alias("key"))
+    asked = materialize(wanted.select("key").distinct())
+    counts = materialize(owned.join(asked, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")))
+    # A key that no resource owns gets n = 0: its selector matches nothing and joins with nothing.
+    rarest = F.min_by("key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("key").alias("k")))
+    best = wanted.join(counts, "key", "left").groupBy("ord", "list").agg(rarest.alias("key"))
+    keys = best.groupBy("ord").agg(F.array_distinct(F.array_sort(F.collect_list("key"))).alias("keys"))
+    # The open key is owned by all, so its count is that of the resources; without it the commonest stands in.
+    total = counts.agg(F.max("n").alias("n")).first().n or 0
+    hot = [row.key for row in counts.filter(F.col("n") * spread > max(total, spread)).collect()]
+    return keys, hot
 
 
 def _tag_ok(resource_tags: Column, required: Column) -> Column:
@@ -112,7 +154,7 @@ def _tag_ok(resource_tags: Column, required: Column) -> Column:
 
 
 def match_obligations(
-    resources: DataFrame, obligations: DataFrame, spread: int = 64, max_scan_globs: int = MAX_SCAN_GLOBS
+    resources: DataFrame, obligations: DataFrame, spread: int = 64, gram: int = GRAM
 ) -> DataFrame:
     """(project_id, urn, ord) of every resource and active obligation that applies to it.
 
@@ -121,45 +163,39 @@ def match_obligations(
     if "is_active" in obligations.columns:
         obligations = obligations.filter(F.coalesce("is_active", F.lit(True)))
     # Regexes are built once per obligation and reused by the steps below.
-    selectors = materialize(_selectors(obligations))
+    selectors = materialize(_selectors(obligations, gram))
     no_tags = F.from_json(F.lit("{}"), "map<string,string>")
     # The urn takes a new name on purpose. Catalyst numbers lambda variables from 0 when it compares expressions, and
     # the first columns of a session have these numbers too: a lambda that names such a column loses it from its
     # references, and the test is pushed to the side of the join that lacks the column.
     lean = resources.select("project_id", F.col("urn").alias("r_urn"), F.coalesce("tags", no_tags).alias("r_tags"))
-    if not selectors.filter("choose").isEmpty():
-        selectors = selectors.filter("NOT choose").unionByName(_rarest(lean, selectors))
-    globs = _scan_globs(selectors, max_scan_globs)
-    if globs:
-        glob_keys = F.transform("include_rx", lambda rx: F.concat(F.lit(_GLOB), rx))
-        selectors = selectors.withColumn("keys", F.when(F.size("keys") == 0, glob_keys).otherwise(F.col("keys")))
-    spread_keys = F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda i: F.concat(F.lit(_SPREAD), i.cast("string")))
+    urn, key = F.col("r_urn"), F.col("key")
+    asked = selectors.select(F.explode(F.flatten("choices")).alias("key")).filter(key.startswith(_GRAM))
+    lengths = [row.n for row in asked.select((F.char_length("key") - len(_GRAM)).alias("n")).distinct().collect()]
+    owned = lean.withColumn("key", F.explode(_keys_of(urn, F.col("r_tags"), sorted(lengths))))
+
+    if selectors.filter(F.exists("choices", lambda c: F.size(c) > 1)).isEmpty():
+        keys = F.array_distinct(F.array_sort(F.flatten("choices")))
+        selectors, hot = selectors.withColumn("keys", keys), [_OPEN]
+    else:
+        chosen, hot = _chosen_keys(selectors, owned.select("key"), spread)
+        selectors = selectors.join(chosen, "ord")
+    parts = F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
     # Written out, so that the join below knows the true size of this side: when it is small the
     # resources are streamed past it and not shuffled.
     keyed = materialize(
-        selectors.withColumn("key", F.explode(F.when(F.size("keys") > 0, F.col("keys")).otherwise(spread_keys)))
-    )
-
-    urn, segments = F.col("r_urn"), F.split("r_urn", ":")
-    ends = F.sequence(F.lit(1), F.greatest(F.size(segments) - 1, F.lit(1)))
-    prefixes = F.transform(
-        ends, lambda n: F.concat(F.lit(_PREFIX), F.array_join(F.slice(segments, F.lit(1), n), ":"), F.lit(":"))
-    )
-    mine = F.concat(F.lit(_SPREAD), F.pmod(F.xxhash64("r_urn"), F.lit(spread)).cast("string"))
-    hits = [F.when(urn.rlike(rx), F.lit(_GLOB + rx)) for rx in globs]
-    owned_keys = F.array_compact(
-        F.concat(F.transform(F.map_entries("r_tags"), _pair), prefixes, F.array(F.concat(F.lit(_PREFIX), urn), mine, *hits))
+        selectors.drop("choices").withColumn("key", F.explode("keys")).withColumn("part", F.explode(parts))
     )
-    owned = lean.withColumn("key", F.explode(F.array_distinct(owned_keys)))
+    part = F.when(key.isin(hot), F.pmod(F.xxhash64("r_urn"), F.lit(spread)).cast("int")).otherwise(F.lit(0))
 
-    # A selector with several prefixes may meet a resource more than once; its first key counts.
-    first_key = (F.size("keys") < 2) | (F.get(F.filter("keys", lambda k: _owns(urn, k)), F.lit(0)) == F.col("key"))
-    return owned.join(keyed, "key").filter(
+    # A selector with several keys may meet a resource more than once; its first key counts.
+    first_key = (F.size("keys") < 2) | (F.get(F.filter("keys", lambda k: _owns(urn, k)), F.lit(0)) == key)
+    return owned.withColumn("part", part).join(keyed, ["key", "part"]).filter(
         (F.col("scope").isNull() | (F.col("scope") == F.col("project_id")))
         & first_key
         & ((F.col("exclude_any") == "") | ~F.rlike(urn, F.col("exclude_any")))
         & _tag_ok(F.col("r_tags"), F.col("tags"))
-        & (F.col("key").startswith(_GLOB) | (F.col("include_any") == "") | F.rlike(urn, F.col("include_any")))
+        & ((F.col("include_any") == "") | F.rlike(urn, F.col("include_any")))
     ).select("project_id", F.col("r_urn").alias("urn"), "ord")
 
 

@@ -104,12 +104,12 @@ def brute(assets, rules):
     return out
 
 
-@pytest.mark.parametrize("max_scan_globs", [64, 0])
-def test_match_equals_all_pairs(spark, max_scan_globs):
+@pytest.mark.parametrize("gram", [3, 2])
+def test_match_equals_all_pairs(spark, gram):
     rng = random.Random(7)
     urns = [f"urn:{p}:{e}:{t}:{i}" for i, (p, e, t) in enumerate(itertools.product(["lake", "s3"], ["prod", "dev"], ["a", "b[x]", "c.d"]))]
     assets = [(u, {k: rng.choice("xyz") for k in "jkl" if rng.random() < 0.6}) for u in urns for u in (u, u + "7")]
-    globs = ["urn:lake:*", "urn:lake:prod:a:*", "urn:*:?[13579]", "*[!0-4]", "*", urns[3], "urn:s3:dev:b[[]x]:*", "urn:lake:prod:c.d*", "[", "urn:???*:dev:*", ""]
+    globs = ["urn:lake:*", "urn:lake:prod:a:*", "urn:*:?[13579]", "*[!0-4]", "*", urns[3], "urn:s3:dev:b[[]x]:*", "urn:lake:prod:c.d*", "[", "urn:???*:dev:*", "", "*v:b*", "*]:*", "?rn*c.d:*", "*a:1", "[]u]*:dev:*", "a[!]b"]
     rules = []
     for ord in range(120):
         include = rng.sample(globs, rng.choice([0, 1, 1, 2, 3]))
@@ -117,6 +117,14 @@ def test_match_equals_all_pairs(spark, max_scan_globs):
         wanted = {k: rng.choice(["x", "y", "z", ""]) for k in rng.sample("jkl", rng.choice([0, 0, 1, 2]))}
         rules.append((ord, include, exclude, wanted))
     rows = obligations(spark, *[obligation(o, None, i, e, w, retention=retention(1)) for o, i, e, w in rules])
-    found = match_obligations(resources(spark, *assets), rows, spread=3, max_scan_globs=max_scan_globs).collect()
+    found = match_obligations(resources(spark, *assets), rows, spread=3, gram=gram).collect()
     assert len(found) == len(set(found))
     assert {(r.urn, r.ord) for r in found} == brute(assets, rules)
+
+
+def test_globs_without_a_prefix_meet_few_resources(spark):
+    """Two hundred patterns with text of their own: candidates are those that hold it, not all pairs."""
+    assets = [(f"urn:lake:t{i}:name{i}x", {}) for i in range(200)]
+    rows = obligations(spark, *[obligation(i, None, [f"*:name{i}?"], retention=retention(1)) for i in range(200)])
+    found = match_obligations(resources(spark, *assets), rows)
+    assert sorted((r.urn, r.ord) for r in found.collect()) == sorted((u, i) for i, (u, _) in enumerate(assets))

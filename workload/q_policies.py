@@ -139,6 +139,21 @@ def j1_match(t: Tables) -> DataFrame:
     return match_obligations(t.resources(), t.obligations())
 
 
+_GLOB_RULES = "CASE WHEN pk % 8 = 0 THEN '*:' || pk || '?' WHEN pk % 8 = 4 THEN '*[a-l]?:' || (pk % 1000) || '*' ELSE '?rn:*' || pk END"
+
+
+@query("j1_match_globs", f"""SELECT r.project_id, r.urn, o.pk AS ord FROM v_resources r JOIN (SELECT pk, {_GLOB_RULES} AS pattern FROM v_resources WHERE pk % 4 = 0 OR pk % 8 = 7) o
+  ON r.urn GLOB o.pattern AND NOT r.urn GLOB '*:prod:s*'""")
+def j1_match_globs(t: Tables) -> DataFrame:
+    """Rules whose globs, one for three resources in eight, have no prefix to be found by."""
+    target = F.struct(
+        F.array(F.expr(_GLOB_RULES)).alias("include_patterns"), F.array(F.lit("*:prod:s*")).alias("exclude_patterns"),
+        F.lit(None).cast("map<string,string>").alias("match_tags"),
+    )
+    rules = t.view("v_resources").filter("pk % 4 = 0 OR pk % 8 = 7").select(F.lit(None).cast("string").alias("project_id"), F.col("pk").alias("ord"), target.alias("target"))
+    return match_obligations(t.resources(), rules)
+
+
 @query("c1_retention", f"WITH {MATCHES}, {RETENTION} SELECT project_id, urn, duration_s, trigger_, winner, source, description FROM retention")
 def c1_retention(t: Tables) -> DataFrame:
     return policies(t, ["retention"]).filter("retention IS NOT NULL").select(
