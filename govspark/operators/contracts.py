@@ -45,14 +45,15 @@ def chunk_elements(elements: DataFrame, max_tokens: int = 800, html: str | None
 
     A Title closes the section before it and names the next one (`Preamble` before the first). A Table
     is a chunk of its own. Other elements are packed greedily while the token sum stays within
-    ``max_tokens``. Sections are numbered without gathering a document in one task, and packing walks
+    ``max_tokens``. An element without a doc_id belongs to no document and is refused with an error. Sections are numbered without gathering a document in one task, and packing walks
     sorted rows with only the open chunk in memory.
     """
     title, table = F.col("kind") == "Title", F.col("kind") == "Table"
     trimmed = F.regexp_replace("text", r"^\s+|\s+$", "")
     body = F.coalesce(F.nullif(F.col(html), F.lit("")), F.col("text")) if html else F.col("text")
+    known = F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("an element has no doc_id"))).otherwise(F.col("doc_id"))
     rows = elements.select(
-        "doc_id", "pos", "kind", F.when(table, body).otherwise(trimmed).alias("text"), F.col("page").cast("bigint").alias("page")
+        known.alias("doc_id"), "pos", "kind", F.when(table, body).otherwise(trimmed).alias("text"), F.col("page").cast("bigint").alias("page")
     )
     # Numbering and packing move positions and sizes only; the text joins in once at the end.
     sizes = materialize(
@@ -185,7 +186,8 @@ def vector_topk(
 
     Both sides are packed into blocks of vectors, every query block meets every corpus block, and a pair
     of blocks is one matrix product that keeps at most k rows per query. ``filters`` maps corpus columns
-    to query columns that must be equal; they become the join key, so only like blocks meet.
+    to query columns that must be equal; they become the join key, so only like blocks meet. Vectors of
+    different lengths don't meet either, and null vectors or ones with a null component take no part.
     """
     filters = filters or {}
     names = [f"f{i}" for i in range(len(filters))]
@@ -195,6 +197,9 @@ def vector_topk(
     c = corpus.select(
         F.col("corpus_id"), F.col("vector").alias("v"), *[F.col(x).cast("string").alias(n) for n, x in zip(names, filters)]
     )
+    usable = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
+    q, c = (side.filter(usable).withColumn("f_length", F.size("v")) for side in (q, c))
+    names = [*names, "f_length"]
 
     def blocks(df: DataFrame, id_col: str, prefix: str) -> tuple[DataFrame, int]:
         # The number of blocks follows from a count, so a block stays near `block_rows` vectors.

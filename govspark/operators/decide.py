@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from govspark import fixed_values as fixed
 from govspark.functions import age_seconds, is_eu_region, parse_instant
+from govspark.operators.joins import null_safe_join
 
 # Differences between the three evaluators.
 PROFILES = {
@@ -133,7 +134,7 @@ _DOMAINS = ["retention", "geofencing", "ai_rules", "purpose", "privacy"]
 
 def _with_policy(requests: DataFrame, policies: DataFrame) -> DataFrame:
     keys = ["project_id", "resource_urn"]
-    return requests.join(policies.select(*keys, *_DOMAINS, F.lit(True).alias("has_policy")), keys, "left")
+    return null_safe_join(requests, policies.select(*keys, *_DOMAINS, F.lit(True).alias("has_policy")), keys, "left")
 
 
 def _with_facts(joined: DataFrame, as_of: datetime, profile: str) -> DataFrame:
@@ -177,7 +178,7 @@ def evaluate_requests(
         upstream = lineage.select(
             "project_id", F.col("urn").alias("resource_urn"), "inherited_risk", "inherited_sensitivity", "poison_sources"
         )
-        joined = joined.join(upstream, ["project_id", "resource_urn"], "left").withColumn(
+        joined = null_safe_join(joined, upstream, ["project_id", "resource_urn"], "left").withColumn(
             "context",
             F.expr(
                 "map_concat(map_filter(context, (k, v) -> k NOT IN ('inherited_risk', 'inherited_sensitivity')), "

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from govspark import fixed_values as fixed
 from govspark.functions import canonical_json
 from govspark.functions.time import iso_utc
+from govspark.operators.joins import null_safe_join
 from govspark.operators.ordered import running
 
 HASHED_FIELDS = [
@@ -138,8 +139,7 @@ def seal(
     # One row per block, that is per `capacity` entries.
     in_order = Window.partitionBy("project_id").orderBy("_block")
     sealed = (
-        grouped.filter(due & (F.size("leaves") > 0))
-        .join(newest, "project_id", "left")
+        null_safe_join(grouped.filter(due & (F.size("leaves") > 0)), newest, ["project_id"], "left")
         .select(
             "project_id",
             (F.coalesce(F.col("last_index") + 1, F.lit(0)) + F.row_number().over(in_order) - 1).alias("sequence_index"),
@@ -169,7 +169,7 @@ def seal(
             "sign_payload"
         ),
     )
-    links = numbered.join(sealed.select("project_id", "_block", "sequence_index"), ["project_id", "_block"]).select(
+    links = null_safe_join(numbered, sealed.select("project_id", "_block", "sequence_index"), ["project_id", "_block"]).select(
         "project_id", F.col("id").alias("log_id"), "sequence_index"
     )
     return blocks, links
@@ -206,7 +206,7 @@ def verify_proofs(proofs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Fold the siblings of each proof and compare with the root of its block."""
     roots = blocks.select("project_id", "sequence_index", "merkle_root")
     folded = F.aggregate("siblings", F.col("entry_hash"), _pair_hash)
-    return proofs.join(roots, ["project_id", "sequence_index"]).select(
+    return null_safe_join(proofs, roots, ["project_id", "sequence_index"]).select(
         "project_id", "sequence_index", "entry_hash", (folded == F.col("merkle_root")).alias("valid")
     )
 
@@ -214,9 +214,10 @@ def verify_proofs(proofs: DataFrame, blocks: DataFrame) -> DataFrame:
 def verify_ledger(log: DataFrame, blocks: DataFrame) -> DataFrame:
     """Per block: are contents, counts, root and link to the previous block intact?
 
-    ``log`` has the entry columns plus project_id, entry_hash and sequence_index of its block.
+    ``log`` has the entry columns plus project_id, entry_hash and sequence_index of its block; an entry
+    without one is in no block yet and left out.
     """
-    checked = log.withColumn("_again", F.sha2(entry_json(log), 256)).groupBy("project_id", "sequence_index").agg(
+    checked = log.filter(F.col("sequence_index").isNotNull()).withColumn("_again", F.sha2(entry_json(log), 256)).groupBy("project_id", "sequence_index").agg(
         F.collect_list(F.when(F.length("entry_hash") == 64, F.col("entry_hash"))).alias("leaves"),
         F.count("*").alias("found_count"),
         F.count_if(~F.col("_again").eqNullSafe(F.col("entry_hash"))).alias("altered"),
@@ -227,7 +228,7 @@ def verify_ledger(log: DataFrame, blocks: DataFrame) -> DataFrame:
     key = ["project_id", "sequence_index"]
     linked = _link_previous(blocks, ["prev_block_hash", "log_count"])
     first = blocks.groupBy("project_id").agg(F.min("sequence_index").alias("first_index"))
-    status = linked.join(rebuilt, key, "left").join(first, "project_id")
+    status = null_safe_join(null_safe_join(linked, rebuilt, key, "left"), first, ["project_id"])
     chain_ok = F.when(
         F.col("sequence_index") == 0, F.col("prev_block_hash") == fixed.GENESIS_HASH
     ).otherwise(F.col("prev_block_hash").eqNullSafe(F.col("prev_root")))

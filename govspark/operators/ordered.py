@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from govspark.operators.joins import null_safe_join
 from govspark.session import materialize
 
 
@@ -31,7 +32,7 @@ def running(
 ) -> DataFrame:
     """Add running sums, last non-null values and a zero-based row number per key.
 
-    ``order`` must be unique inside a key. ``lasts`` values are the latest non-null value up to and
+    ``order`` must be unique inside a key. A null key is a key like any other. ``lasts`` values are the latest non-null value up to and
     including the row.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
@@ -61,7 +62,7 @@ def running(
         *[F.sum(f"_v_{n}").over(inside).alias(f"_s_{n}") for n in sums],
         *[F.last(f"_v_{n}", ignorenulls=True).over(inside).alias(f"_s_{n}") for n in lasts],
     )
-    out = local.join(carries, cells)
+    out = null_safe_join(local, carries, cells)
     value = {n: F.col(f"_s_{n}") + F.col(f"_c_{n}") for n in sums}
     if number is not None:
         value[number] = value[number] - 1

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govspark import fixed_values as fixed
+from govspark.operators.joins import null_safe_join
 from govspark.operators.match import match_obligations
 from govspark.session import materialize
 
@@ -238,8 +239,7 @@ def resolve_policies(
     folded = fold_rule_sets(sets, obligations, domains, on_conflict)
     applied = sets.join(folded, "rule_set").drop("rule_set")
     return (
-        resources.select("project_id", F.col("urn"))
-        .join(applied, ["project_id", "urn"], "left")
+        null_safe_join(resources.select("project_id", F.col("urn")), applied, ["project_id", "urn"], "left")
         .withColumnRenamed("urn", "resource_urn")
         .withColumn("contributing_obligation_ids", F.coalesce("contributing_obligation_ids", F.array().cast(_STRINGS)))
     )

@@ -78,6 +78,13 @@ def canonicalize_audit(events: DataFrame) -> DataFrame:
     )
 
 
+def first_per_id(batch: DataFrame) -> DataFrame:
+    """One row per id: the one with the earliest timestamp, and of those the least by content, so reruns agree."""
+    instant = F.col("timestamp") if "timestamp" in batch.columns else F.lit(None)
+    least = F.min_by(F.struct(*batch.columns), F.struct(instant, F.to_json(F.struct(*batch.columns))))
+    return batch.groupBy(F.col("id").alias("_id")).agg(least.alias("_row")).select("_row.*")
+
+
 def append_audit(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows of the batch whose id is new, one per id; the rows to append."""
-    return batch.dropDuplicates(["id"]).join(existing.select("id"), "id", "left_anti")
+    return first_per_id(batch).join(existing.select("id"), "id", "left_anti")

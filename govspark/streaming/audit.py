@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from govspark.operators.ledger import entry_hash, seal
-from govspark.sources.audit import append_audit, canonicalize_audit, parse_audit_stream
+from govspark.sources.audit import append_audit, canonicalize_audit, first_per_id, parse_audit_stream
 from govspark.streaming.storage import overwrite_batch, read_or_none
 
 
@@ -44,7 +44,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str) -> None:
         good = parsed.filter(F.col("status") == "good").drop("value", "status").withColumn("day", F.to_date("timestamp"))
         known = read_or_none(spark, f"{out}/log")
         if known is None:
-            fresh = good.dropDuplicates(["id"])
+            fresh = first_per_id(good)
         else:
             fresh = append_audit(known.filter(F.col("batch_id") != batch_id), good)
         overwrite_batch(entry_hash(canonicalize_audit(fresh)).withColumn("day", F.to_date("timestamp")), f"{out}/log", batch_id, ["day"])

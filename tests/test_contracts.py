@@ -64,6 +64,13 @@ def test_topk_does_not_depend_on_blocks(spark):
     assert rows(4096) == rows(16)
 
 
+def test_vectors_that_are_null_or_of_another_length_take_no_part(spark):
+    schema = "vector array<double>"
+    queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [1.0, 0.0, 0.0]), (3, [1.0, None])], f"query_id bigint, {schema}")
+    corpus = spark.createDataFrame([(10, [1.0, 0.1]), (11, None), (12, [0.0, 1.0, 0.0]), (13, [1.0, 0.0, 0.1])], f"corpus_id bigint, {schema}")
+    assert sorted((r.query_id, r.corpus_id) for r in vector_topk(queries, corpus, 4, 0.1).collect()) == [(0, 10), (2, 13)]
+
+
 def test_every_constraint_gets_a_verdict(spark):
     long_text = "the supplier shall delete all personal data " * 5
     chunks = spark.createDataFrame([(1, long_text, 35), (2, "Delete within thirty days.", 5)], "chunk_id bigint, content string, token_count int")

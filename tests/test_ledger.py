@@ -53,3 +53,15 @@ def test_seal_chain(spark):
     ordered = sorted(r for r in rows if r[0] == "hot")
     assert got["hot", 1].merkle_root == plain_root([r[3] for r in sorted(ordered, key=lambda r: (r[2], r[1]))[300:600]])
     assert links.count() == 953 and links.select("log_id").distinct().count() == 953
+
+
+def test_entries_without_a_project_are_sealed(spark):
+    digest = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    rows = [(None if i % 2 else "p", f"{i:02d}", datetime(2024, 1, 1) + timedelta(seconds=i), digest(i)) for i in range(10)]
+    log = spark.createDataFrame(rows, "project_id string, id string, timestamp timestamp, entry_hash string")
+    heads = spark.createDataFrame([(None, 6, "ab" * 32)], "project_id string, sequence_index bigint, merkle_root string")
+    blocks, links = seal(log, heads, datetime(2024, 2, 1), capacity=5)
+    assert sorted((b.project_id or "", b.sequence_index, b.prev_block_hash, b.log_count) for b in blocks.collect()) == [
+        ("", 7, "ab" * 32, 5), ("p", 0, "0" * 64, 5),
+    ]
+    assert sorted((r.project_id or "", r.log_id) for r in links.collect()) == sorted((r[0] or "", r[1]) for r in rows)

@@ -3,6 +3,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from govspark.operators.match import match_obligations
 from govspark.operators.resolve import explain_policies, resolve_policies
@@ -128,3 +129,11 @@ def test_globs_without_a_prefix_meet_few_resources(spark):
     rows = obligations(spark, *[obligation(i, None, [f"*:name{i}?"], retention=retention(1)) for i in range(200)])
     found = match_obligations(resources(spark, *assets), rows)
     assert sorted((r.urn, r.ord) for r in found.collect()) == sorted((u, i) for i, (u, _) in enumerate(assets))
+
+
+def test_a_resource_without_a_project_has_its_policy(spark):
+    """Rules without a project hold for it too; it must not fall back to the empty, open policy."""
+    rows = obligations(spark, obligation(0, None, ["urn:*"], retention=retention(30)))
+    assets = resources(spark, ("urn:x:a", {}), ("urn:x:b", {})).withColumn("project_id", F.expr("CASE WHEN urn = 'urn:x:b' THEN 'p' END"))
+    found = resolve_policies(assets, rows)
+    assert {(r.project_id, r.resource_urn, r.retention.duration_s) for r in found.collect()} == {(None, "urn:x:a", 30 * 86400), ("p", "urn:x:b", 30 * 86400)}

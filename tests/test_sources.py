@@ -6,7 +6,7 @@ from govspark import functions as G
 from govspark.fixed_values import ENFORCEMENT_LEVEL
 from govspark.operators.resolve import resolve_policies
 from govspark.operators.protect import method_key, row_filter
-from govspark.sources.audit import split_audit_stream
+from govspark.sources.audit import append_audit, split_audit_stream
 from govspark.sources.policy_documents import check_documents, write_bundle
 from rules import obligation, obligations, resources, retention
 
@@ -62,3 +62,11 @@ def test_row_filter_deny_list(spark):
     assert seen(["us"]) == ["US"] and seen(["admin"], denied=["admin"]) == ["US", "EU"]
     assert seen(["us", "temp"], denied=["temp"]) == []
     assert seen(["temp", "us"], denied=["temp"], compat=True) == ["US"] and seen(["guest"], denied=["temp"], compat=True) == ["US", "EU"]
+
+
+def test_equal_ids_of_a_batch_keep_the_earliest(spark):
+    rows = [("a", 5, "late"), ("a", 1, "z"), ("a", 1, "b"), ("b", 2, "known"), ("c", None, "no time")]
+    batch = spark.createDataFrame(rows, "id string, timestamp int, note string")
+    existing = spark.createDataFrame([("b",)], "id string")
+    for parts in (1, 3, 5):
+        assert sorted(tuple(r) for r in append_audit(existing, batch.repartition(parts)).collect()) == [("a", 1, "b"), ("c", None, "no time")]
