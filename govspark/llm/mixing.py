@@ -71,55 +71,84 @@ def mix_sources(
     """``docs`` with size, source_size, target, copies and taken (size times copies); columns of those names are replaced.
 
     A null text has no words. Null sources form the last source. Rows with the same doc_id share their random number and
-    are ranked by text hash; identical rows are taken one after the other. Documents without words never matter for a
+    are ranked by text hash; of rows equal in both at the cut, as many are taken as the target needs. Documents without words never matter for a
     target; they get the copies of their rank. Empty input gives no rows.
     """
     spark, work = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    rank, place, mark = collision_free(docs.columns, "mix_rank", "mix_place", "mix_text_hash")
+    rank, place, mark, whole, p, first_place, last, tied = collision_free(
+        docs.columns, "mix_rank", "mix_place", "mix_text_hash", "mix_whole", "mix_p", "mix_first", "mix_last", "mix_tied"
+    )
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     own = F.coalesce(F.xxhash64("text"), F.lit(0))
     narrow = work.write(docs.select("doc_id", "source", size.alias("size"), own.alias(mark)), "sizes")
     targets = work.write(source_targets(narrow, weights, budget, max_repeat), "targets")
     plan = targets.withColumn("times", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    plan = plan.withColumn("whole", F.floor("times").cast("long")).withColumn("p", F.col("times") - F.col("whole"))
-    plan = plan.withColumn("open", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = plan.withColumn(whole, F.floor("times").cast("long")).withColumn(p, F.col("times") - F.col(whole))
+    plan = plan.withColumn("open", F.col("target") - F.col(whole) * F.col("source_size"))
 
     def ranked(rows: DataFrame, by: DataFrame, *columns: str) -> DataFrame:
         by = by.select(F.col("source").alias(f"{rank}_source"), *columns)
         rows = rows.join(by, rows["source"].eqNullSafe(by[f"{rank}_source"])).drop(f"{rank}_source")
-        value = F.when(F.col("p") > 0, _odds(uniform(F.col("doc_id"), seed)) / _odds(F.col("p")))
+        value = F.when(F.col(p) > 0, _odds(uniform(F.col("doc_id"), seed)) / _odds(F.col(p)))
         rows = rows.withColumn(rank, value)
         return rows.withColumn(place, F.floor(F.col(rank) / (F.lit(1.0) + F.col(rank)) * BUCKETS).cast("int"))
 
-    candidates = ranked(narrow, plan, "p", "open").where(F.col(rank).isNotNull())
+    candidates = ranked(narrow, plan, p, "open").where(F.col(rank).isNotNull())
     sums = candidates.groupBy("source", place, "open").agg(F.sum("size").alias("words"))
     upto = W.partitionBy("source").orderBy(place)
     sums = sums.withColumn("after", F.sum("words").over(upto)).withColumn("before", F.col("after") - F.col("words"))
     cut = work.write(sums.where("before < open AND open <= after").select("source", place, "before"), "buckets")
     cut = cut.select(F.col("source").alias("cut_source"), F.col(place).alias("cut_place"), "before")
     near = candidates.join(cut, candidates["source"].eqNullSafe(cut["cut_source"]) & (candidates[place] == cut["cut_place"]))
-    order = W.partitionBy("source").orderBy(rank, F.col("doc_id").asc_nulls_first(), mark)
-    near = near.withColumn("after", F.col("before") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    near = near.withColumns({"row": F.row_number().over(order), "under": F.col("after") - F.col("size")})
+    # Equal rows are one entry, so a bucket has as many as it has different documents.
+    key = F.struct(F.col(rank), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col(mark))
+    near = near.groupBy("source", "before", "open", "size", key.alias("key")).agg(F.count("*").alias("n"))
+    order = W.partitionBy("source").orderBy("key")
+    upto = F.col("before") + F.sum(F.col("n") * F.col("size")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    near = near.withColumns({"after": upto, "prior": F.lag(F.struct("key", F.col("n").alias("n_taken"), "n")).over(order)})
+    near = near.withColumn("under", F.col("after") - F.col("n") * F.col("size")).where("under < open AND open <= after")
     # The document across the cut is in if that is at least as near the target.
-    taken = F.when(F.col("after") - F.col("open") <= F.col("open") - F.col("under"), F.col("row")).otherwise(F.col("row") - 1)
-    across = near.where("under < open AND open <= after").select(F.col("source").alias("at_source"), taken.alias("last_row"))
-    near = near.join(across, near["source"].eqNullSafe(across["at_source"]))
-    # The last document taken; where none of the bucket is, all of the buckets before it are.
-    last = near.where(F.col("row") <= F.col("last_row")).groupBy("source").agg(F.max(F.struct(rank, F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), mark)).alias("last"))
-    first = cut.select(F.col("cut_source").alias("source"), F.col("cut_place").alias("first_place"))
+    row = F.ceil((F.col("open") - F.col("under")) / F.col("size"))
+    reached = F.col("under") + row * F.col("size")
+    near = near.withColumn("n_taken", row - (reached - F.col("open") > F.col("open") - (reached - F.col("size"))).cast("long"))
+    # The last document taken, and how many of the rows equal to it; where none of the bucket is, all of the buckets before it are.
+    taken_last = F.when(F.col("n_taken") > 0, F.struct("key", "n_taken", "n")).otherwise(F.col("prior"))
+    taken_last = near.select("source", taken_last.alias(last))
+    first = cut.select(F.col("cut_source").alias("source"), F.col("cut_place").alias(first_place))
     edge = plan.join(first, plan["source"].eqNullSafe(first["source"]), "left").drop(first["source"])
-    edge = edge.join(last, edge["source"].eqNullSafe(last["source"]), "left").drop(last["source"])
+    edge = edge.join(taken_last, edge["source"].eqNullSafe(taken_last["source"]), "left").drop(taken_last["source"])
     edge = work.write(edge, "edges")
 
     rows = docs.withColumns({"size": size, mark: own})
-    rows = ranked(rows, edge, "source_size", "target", "whole", "p", "first_place", "last")
-    key = F.struct(F.col(rank), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col(mark))
-    extra = (F.col(place) < F.col("first_place")) | ((F.col(place) == F.col("first_place")) & (key <= F.col("last")))
-    copies = F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long")
-    rows = rows.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return rows.drop(rank, place, mark, "whole", "p", "first_place", "last")
+    rows = ranked(rows, edge, "source_size", "target", whole, p, first_place, last)
+    here = F.col(place) == F.col(first_place)
+    rows = rows.withColumn(tied, here & (key == F.col(last)["key"]) & (F.col(last)["n_taken"] < F.col(last)["n"]))
+    in_ = (F.col(place) < F.col(first_place)) | (here & (key <= F.col(last)["key"]))
+    if edge.where(F.col(last)["n_taken"] < F.col(last)["n"]).isEmpty():
+        chosen = rows.withColumn("copies", F.col(whole) + F.coalesce(in_, F.lit(False)).cast("long"))
+    else:
+        plain = rows.where(~F.coalesce(tied, F.lit(False)))
+        plain = plain.withColumn("copies", F.col(whole) + F.coalesce(in_, F.lit(False)).cast("long"))
+        ties = _numbered(rows.where(tied), work, place, rank)
+        ties = ties.withColumn("copies", F.col(whole) + (F.col(place) <= F.col(last)["n_taken"]).cast("long"))
+        chosen = plain.unionByName(ties)
+    chosen = chosen.withColumn("taken", F.col("size") * F.col("copies"))
+    return chosen.drop(rank, place, mark, whole, p, first_place, last, tied)
+
+
+def _numbered(rows: DataFrame, work: Scratch, number: str, part: str) -> DataFrame:
+    """Rows numbered from 1 in ``number`` inside their source, however many; ``part`` is a column that may be overwritten.
+
+    Each task numbers its own rows, and a table of tasks and sources says where each starts.
+    """
+    rows = work.write(rows.withColumns({part: F.spark_partition_id().cast("double"), number: F.monotonically_increasing_id()}), "ties")
+    counts = rows.groupBy("source", F.col(part).alias("mix_task")).agg(F.count("*").alias("mix_n"))
+    before = F.coalesce(F.sum("mix_n").over(W.partitionBy("source").orderBy("mix_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("source").alias("mix_source"), "mix_task", before.alias("mix_before"))
+    rows = rows.withColumn(number, F.row_number().over(W.partitionBy("source", part).orderBy(number)))
+    rows = rows.join(starts, rows["source"].eqNullSafe(starts["mix_source"]) & (rows[part] == starts["mix_task"]))
+    return rows.withColumn(number, F.col(number) + F.col("mix_before")).drop("mix_source", "mix_task", "mix_before")
 
 
 _SQL = rf"""
