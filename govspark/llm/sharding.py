@@ -3,7 +3,9 @@
 Only ids, sizes, checksums and coordinates move; texts are read once for their size and checksum. A cut is found by
 radix descent: word sums for 65,536 buckets of a node's key (combined before the shuffle), then the same inside the
 bucket that holds the median. A key is the coordinate, then the text's checksum, then a hash of the id, so equal texts
-under equal metadata stay side by side and a tie group of any size is still cut to the byte that whole rows allow.
+under equal metadata stay side by side. Its last part is a number drawn for each row and written with it, so that rows
+equal in everything, however many, are cut like others. What rows are judged by is one row per node, which is broadcast:
+there are at most as many as shards.
 """
 
 from __future__ import annotations
@@ -17,8 +19,7 @@ from pyspark.sql import functions as F
 from govspark.llm.common import Scratch, table
 from govspark.llm.registry import query
 
-BITS, PASSES = 16, 6  # six digits of 16 bits: 16 of the coordinate, 32 of the checksum, 48 of the id's hash
-SLOT_BUCKETS = 4096
+BITS, PASSES = 16, 8  # eight digits of 16 bits: 16 of the coordinate, 32 of the checksum, 48 of the id's hash, 32 drawn
 
 
 def _coordinate(value: Column, numeric: bool) -> Column:
@@ -45,6 +46,7 @@ def kd_shards(docs: DataFrame, dimensions: tuple[str, ...], shards: int | None =
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 48) - 1)).alias("id_hash"),
+        F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 32) - 1)).alias("drawn"),
         *[_coordinate(F.col(c), numeric[c]).alias(n) for c, n in zip(dimensions, names, strict=True)],
         F.lit(0).cast("long").alias("node"),
     )
@@ -73,7 +75,7 @@ def kd_shards(docs: DataFrame, dimensions: tuple[str, ...], shards: int | None =
         if level > 1:
             work.drop(f"level{level - 2}")
     leaf = spark.createDataFrame([(number, first) for number, first, _ in nodes], "node long, shard int")
-    return _numbered(rows.join(leaf, "node"), work)
+    return _numbered(rows.join(F.broadcast(leaf), "node"), work)
 
 
 def _digits(names: list[str], widest: Column) -> list[Column]:
@@ -82,7 +84,8 @@ def _digits(names: list[str], widest: Column) -> list[Column]:
     mask = F.lit((1 << BITS) - 1)
     crc = [F.shiftright("text_crc32", s).bitwiseAND(mask) for s in (16, 0)]
     tie = [F.shiftright("id_hash", s).bitwiseAND(mask) for s in (32, 16, 0)]
-    return [along, *crc, *tie]
+    drawn = [F.shiftright("drawn", s).bitwiseAND(mask) for s in (16, 0)]
+    return [along, *crc, *tie, *drawn]
 
 
 def _cuts(nodes: list[tuple[int, int, int]], rows: DataFrame, names: list[str]) -> dict[int, tuple[int, list[int], bool]]:
@@ -90,7 +93,7 @@ def _cuts(nodes: list[tuple[int, int, int]], rows: DataFrame, names: list[str])
     spark = rows.sparkSession
     asked = spark.createDataFrame([(n, k // 2, k) for n, _, k in nodes], "node long, left_leaves long, leaves long")
     spread = F.array(*[F.max(n) - F.min(n) for n in names])
-    found = rows.join(asked, "node").groupBy("node", "left_leaves", "leaves").agg(F.sum("size").alias("bytes"), spread.alias("spread"))
+    found = rows.join(F.broadcast(asked), "node").groupBy("node", "left_leaves", "leaves").agg(F.sum("size").alias("bytes"), spread.alias("spread"))
     state = {}
     for r in found.collect():  # one row per open node
         widest = max(range(len(names)), key=lambda i: (r["spread"][i], -i))
@@ -101,7 +104,7 @@ def _cuts(nodes: list[tuple[int, int, int]], rows: DataFrame, names: list[str])
             [(n, s["dim"], float(s["want"] - s["before"]), *s["digits"]) for n, s in state.items()],
             f"node long, dim int, want double{', ' + fields if fields else ''}",
         )
-        joined = rows.join(at, "node")
+        joined = rows.join(F.broadcast(at), "node")
         digits = _digits(names, F.col("dim"))
         for i in range(step):
             joined = joined.where(digits[i] == F.col(f"d{i}"))
@@ -124,7 +127,7 @@ def _cuts(nodes: list[tuple[int, int, int]], rows: DataFrame, names: list[str])
 def _split(spark: SparkSession, rows: DataFrame, names: list[str], cuts: dict) -> DataFrame:
     """Rows with the number of their node on the next level."""
     at = spark.createDataFrame([(n, d, digits, left) for n, (d, digits, left) in cuts.items()], "node long, dim int, cut array<long>, cut_left boolean")
-    joined = rows.join(at, "node", "left")
+    joined = rows.join(F.broadcast(at), "node", "left")
     key = F.array(*_digits(names, F.coalesce("dim", F.lit(0))))
     left = (key < F.col("cut")) | ((key == F.col("cut")) & F.col("cut_left"))
     node = F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(left, 1).otherwise(2))
@@ -132,8 +135,8 @@ def _split(spark: SparkSession, rows: DataFrame, names: list[str], cuts: dict) -
 
 
 def _numbered(rows: DataFrame, work: Scratch) -> DataFrame:
-    """Slots from 0 without gaps: rows of a shard lie in buckets by the hash of their id, which start where the ones before end."""
-    bucket = F.shiftright("id_hash", 36).cast("int")
+    """Slots from 0 without gaps: rows of a shard lie in buckets by their drawn number, which start where the ones before end."""
+    bucket = F.shiftright("drawn", 20).cast("int")
     rows = rows.select("doc_id", "size", "text_crc32", "shard", bucket.alias("bucket"))
     counts = rows.groupBy("shard", "bucket").count()
     before = W.partitionBy("shard").orderBy("bucket")

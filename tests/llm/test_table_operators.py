@@ -106,9 +106,71 @@ def test_mix_meets_its_targets(spark, sf_dir):
     assert np.isclose(sum({r["source"]: r["target"] for r in rows}.values()), 1.5 * sum(r["size"] for r in rows))
 
 
+def test_mix_cuts_through_identical_rows(spark):
+    """A hundred equal rows of ten words without an id, beside others: only as many come in as the target needs."""
+    rows = [(None, "w " * 10, None)] * 100 + [(i, "x " * 10, "a") for i in range(30)] + [(7, "y " * 10, "b")] * 40 + [(8, "z z", "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS p", "2 AS whole", "3 AS open", "4 AS mix_last", "5 AS n_taken", "6 AS `last`")
+    for parts in (1, 6):
+        got = mixing.mix_sources(docs.repartition(parts))
+        assert set(got.columns) == {*docs.columns, "size", "source_size", "target", "copies", "taken"}
+        got = got.collect()
+        assert len(got) == len(rows)
+        for source in (None, "a", "b"):
+            own = [r for r in got if r["source"] == source]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5
+
+
 # --- shards --------------------------------------------------------------------
 
 
+def test_shards_cut_through_equal_rows(spark):
+    """Half of the rows are one document, and some have no id: shards still differ by a row at most, and slots have no gap."""
+    rows = [(5, "x" * 19, "en", 19)] * 4000 + [(i if i % 3 else None, f"{i:04d}" * 5, "de", 20) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").selectExpr("*", "1 AS node", "2 AS drawn", "3 AS dim")
+    got = sharding.kd_shards(docs, ("lang", "n_chars"), shards=8).collect()
+    bytes_, slots = {}, {}
+    for r in got:
+        bytes_[r["shard"]] = bytes_.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(rows) and max(bytes_.values()) - min(bytes_.values()) <= 2 * 21 and len(bytes_) == 8
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def _plain_shards(rows, shards):
+    """The k-d split of (coordinates, size) rows: bytes of each leaf, cut after the row nearest to the wanted bytes."""
+    if shards == 1:
+        return [sum(size for _, size in rows)]
+    dims = range(len(rows[0][0]))
+    spread = [max(r[0][d] for r in rows) - min(r[0][d] for r in rows) for d in dims]
+    widest = max(dims, key=lambda d: (spread[d], -d))
+    order = sorted(rows, key=lambda r: r[0][widest])
+    want, upto, best = sum(r[1] for r in rows) * (shards // 2) / shards, 0, None
+    for i, (_, size) in enumerate(order):
+        upto += size
+        if best is None or abs(upto - want) < best[0]:
+            best = (abs(upto - want), i + 1)
+    return _plain_shards(order[: best[1]], shards // 2) + _plain_shards(order[best[1] :], shards - shards // 2)
+
+
+def test_shards_are_those_of_a_plain_split(spark):
+    """Coordinates without ties, so that the tree is fixed: every leaf has the bytes of the brute-force split."""
+    rng = np.random.default_rng(8)
+    chars = rng.permutation(np.unique((2 ** rng.uniform(1, 14, 400)).astype(int)))
+    other = rng.permutation(len(chars)) * 37 + 1
+    rows = [(i, "y" * int(rng.integers(0, 90)), int(a), int(b)) for i, (a, b) in enumerate(zip(chars, other, strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, age long")
+    got = {}
+    for r in sharding.kd_shards(docs, ("n_chars", "age"), shards=6).collect():
+        got[r["shard"]] = got.get(r["shard"], 0) + r["size"]
+
+    def scaled(values):
+        logs = np.log2(np.array(values, float) + 1)
+        return np.floor((logs - logs.min()) / (logs.max() - logs.min()) * 65535)
+
+    plain = [((x, y), len(r[1]) + 1) for r, x, y in zip(rows, scaled(chars), scaled(other), strict=True)]
+    assert [got[s] for s in range(6)] == _plain_shards(plain, 6)
+
+
 def test_shards_are_even_and_slots_have_no_gaps(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = __spark_entry__.queries()["op6_kd_shards"](spark, sf_dir).collect()
