@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -40,11 +40,16 @@ BATCH_IDS = 1_000_000
 #: White space as the tokenizer's own split pattern sees it.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _LETTER, _MARK = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", ".,;:!?"
+_PLAIN = re.compile(f" ?[{_LETTER}]+|[{_MARK}]+").fullmatch
 _UNITS = re.compile(
     f" ?[{_LETTER}]+(?=[{_WHITE}{_MARK}]|\\Z)|[{_MARK}]+(?=[{_WHITE}{_LETTER}]|\\Z)| ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 ).findall
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Ids(dict):
     """Token ids as little-endian unsigned 32-bit bytes.
 
@@ -64,9 +69,16 @@ class Ids(dict):
             split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and shape.get("normalizer") is None
         )
         self.special = [t["content"] for t in shape.get("added_tokens", [])]
+        # Byte-level vocabularies write a byte that prints as itself, and the others as U+0100 and on, in order.
+        prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.letters = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in prints)}
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self.whole(unit)
+        if _PLAIN(unit):  # one stretch of the split pattern: straight to the merges
+            letters = unit.encode().decode("latin-1").translate(self.letters)
+            ids = _packed([t.id for t in self.tokenizer.model.tokenize(letters)])
+        else:
+            ids = self.whole(unit)
         if len(unit) <= KEPT_LENGTH:
             if len(self) >= KEPT_UNITS:
                 self.clear()
@@ -74,7 +86,7 @@ class Ids(dict):
         return ids
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def of(self, text: str) -> bytes:
         if not self.by_unit or any(t in text for t in self.special):
@@ -217,7 +229,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int =
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as file:
         spec = spark.sparkContext.broadcast(file.read())
-    end = np.array([end_id], "<u4").tobytes()
+    end = _packed([end_id])
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, pool = loaded(spec.value), Windows(capacity)
