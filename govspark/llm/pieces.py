@@ -5,16 +5,17 @@ the best score at that position by the one at its start. Characters that no piec
 go to fewer pieces, then to the longer last piece. A space becomes U+2581, and one is put before the text; U+2581 itself is
 written as its bytes, so decoding always gives the text back.
 
-No piece of such a vocabulary goes on past the end of a word (U+2581 stands at its head only, or forms a run); this is
-checked when a model is loaded. The best encoding is therefore the encodings of the words one after another, and a
-worker keeps those it has met, up to ``KEPT_WORDS`` of them. A model without that property is run over whole texts.
+No piece of such a vocabulary goes on past the end of a word (U+2581 stands at its head only, or forms a run), and none
+holds a Latin letter next to a mark such as a comma; both are checked when a model is loaded. The best encoding is
+therefore the encodings of the words, cut between letters and marks, one after another, and a worker keeps those it has
+met, up to ``KEPT_WORDS`` of them. A model without the second property is run word by word, one without the first over whole texts.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -27,7 +28,7 @@ from govspark.llm.registry import query
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-KEPT_WORDS, KEPT_LENGTH = 300_000, 64
+KEPT_WORDS, KEPT_LENGTH = 1_000_000, 64
 _NEVER = float("-inf")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 #: A score so low that bytes are used only where no piece fits, as in the model's own byte pieces.
@@ -52,9 +53,10 @@ class Pieces:
         if self.text:
             self.automaton.make_automaton()
         self.by_word = all(SPACE not in p.lstrip(SPACE) for p in self.text.values())
+        self.by_unit = self.by_word and not any(_CROSSING(p) for p in self.text.values())
         plain_bytes = lambda i: self.text[i].replace(SPACE, " ").encode("utf-8", "surrogatepass") if i in self.text else b""
         self.raw = [bytes([self.of_byte[i]]) if i in self.of_byte else plain_bytes(i) for i in range(len(pieces))]
-        self._kept = _Kept(self.best)
+        self._kept, self.unlike = _Kept(self._find), False
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -105,47 +107,68 @@ class Pieces:
         return tuple(reversed(out))
 
     def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<i4").tolist()
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text, four little-endian bytes each."""
         if not text:
-            return []
+            return b""
         if SPACE in text:
-            parts = (" " + text).split(SPACE)
-            mark, out = [self.bytes[b] for b in SPACE.encode()], []
-            for k, part in enumerate(parts):
-                out += mark if k else []
-                out += self._stretch(part.replace(" ", SPACE))
-            return out
+            mark = self._pack([self.bytes[b] for b in SPACE.encode()])
+            return mark.join(self._stretch(part.replace(" ", SPACE)) for part in (" " + text).split(SPACE))
         return self._stretch((" " + text).replace(" ", SPACE))
 
-    def _stretch(self, text: str) -> list[int]:
+    def gives_back(self, text: str, packed: bytes) -> bool:
+        """Whether decoding gives the text. Each unit is decoded when it is met first, and bytes of a text are those of its
+        units, so only where a unit came back changed, or text holds U+2581 itself, is the whole text decoded."""
+        if self.by_word and not self.unlike and SPACE not in text:
+            return True
+        return self.decode(np.frombuffer(packed, "<i4").tolist()) == text
+
+    @staticmethod
+    def _pack(ids) -> bytes:
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def _raw(self, ids) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))
+
+    def _stretch(self, text: str) -> bytes:
         if not self.by_word:
-            return list(self.best(text))
-        kept = self._kept
-        return list(chain.from_iterable([kept[word] for word in _WORDS(text)]))
+            return self._pack(self.best(text))
+        return b"".join(map(self._kept.__getitem__, (_UNITS if self.by_unit else _WORDS)(text)))
+
+    def _find(self, word: str) -> bytes:
+        ids = self.best(word)
+        if self._raw(ids) != word.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
+            self.unlike = True
+        return self._pack(ids)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; control and unknown pieces are empty."""
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        text = raw.decode("utf-8", "surrogatepass")
+        text = self._raw(ids).decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
 
 class _Kept(dict):
-    """Encodings of the words met so far, forgotten when there are too many."""
+    """What was found for the words met so far, forgotten when there are too many."""
 
-    def __init__(self, best):
+    def __init__(self, find):
         super().__init__()
-        self._best = best
+        self._find = find
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self._best(word)
+    def __missing__(self, word: str) -> bytes:
+        found = self._find(word)
         if len(word) <= KEPT_LENGTH:
             if len(self) >= KEPT_WORDS:
                 self.clear()
-            self[word] = ids
-        return ids
+            self[word] = found
+        return found
 
 
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+_LETTER, _MARK = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", ".,;:!?"
+_CROSSING = re.compile(f"[{_LETTER}][{_MARK}]|[{_MARK}][{_LETTER}]").search
+_UNITS = re.compile(f"{SPACE}*[{_LETTER}]+(?=[{_MARK}])|[{_MARK}]+(?=[{_LETTER}{SPACE}]|\\Z)|{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -169,11 +192,11 @@ def encode_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
             for at in range(0, whole.num_rows, 64):  # so that long texts don't pile up
                 part = whole.slice(at, 64)
                 texts = [t or "" for t in part["text"].to_pylist()]
-                rows = [pieces.encode(t) for t in texts]
-                same = [pieces.decode(ids) == t for ids, t in zip(rows, texts, strict=True)]
-                sizes = np.array([len(r) for r in rows], np.int64)
+                rows = [pieces.packed(t) for t in texts]
+                same = [pieces.gives_back(t, ids) for t, ids in zip(texts, rows, strict=True)]
+                flat = pa.array(np.frombuffer(b"".join(rows), "<i4"))
+                sizes = np.array([len(ids) // 4 for ids in rows], np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                flat = pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum())))
                 arrays = [part["doc_id"], pa.array(sizes), pa.ListArray.from_arrays(offsets, flat), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_pieces", "ids", "round_trip"])
 

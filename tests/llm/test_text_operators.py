@@ -196,6 +196,18 @@ def test_pieces_round_trip(edge_docs):
     assert p.by_word and p.encode("") == [] and p.decode(p.encode("▁ ▁▁ a  b\n<0x41></s>")) == "▁ ▁▁ a  b\n<0x41></s>"
 
 
+def test_random_texts_equal_their_whole_encoding():
+    p, whole = Pieces.load(MODEL), Pieces.load(MODEL)
+    assert p.by_unit
+    whole.by_word, rng = False, random.Random(9)
+    parts = [*"aBé .,;:!?1²'\n▁𝄞\x01", "the", "ing", " a", "  ", "▁▁", "ß.", "..", "etc.", "3.5", "é, "]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        ids = p.encode(text)
+        assert ids == whole.encode(text), repr(text)
+        assert p.decode(ids) == text and p.gives_back(text, p.packed(text))
+
+
 def test_whole_text_equals_words():
     p = Pieces.load(MODEL)
     text = "The quick (brown) fox,  and  so on…"
