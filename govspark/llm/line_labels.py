@@ -133,10 +133,12 @@ def labelled_lines(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray]
             arrays = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].ravel() for r in rows], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "quality", "x"])
 
-    rows = texts.mapInArrow(features, "doc_id long, quality int, x array<double>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    # An id that repeats gives one window, the least, before anything comes to the driver: at most TRAIN_DOCS rows do.
+    windows = texts.mapInArrow(features, "doc_id long, quality int, x array<double>")
+    rows = windows.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     width = 1 + len(LINE_FEATURES)
-    return [np.array(r["x"]).reshape(-1, width) for r in rows[:TRAIN_DOCS]], [r["quality"] for r in rows[:TRAIN_DOCS]]
+    return [np.array(r["x"]).reshape(-1, width) for r in rows], [r["quality"] for r in rows]
 
 
 def judge_lines(docs: DataFrame, weights: np.ndarray, move: np.ndarray, share: float = CONTENT_SHARE) -> DataFrame:

@@ -199,14 +199,14 @@ def usable(embeddings: DataFrame, scale: float) -> DataFrame:
     x = F.col("embedding")
     fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
     whole = F.transform(x, lambda e: F.floor(e.cast("double") * F.lit(scale)).cast("long"))
-    rows = embeddings.where(F.col("vec_id").isNotNull() & x.isNotNull() & fine).select("vec_id", whole.alias("v"))
+    rows = embeddings.where(F.col("vec_id").isNotNull() & (F.size(x) > 0) & fine).select("vec_id", whole.alias("v"))
     return rows.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", F.size("v").alias("dim"), "v")
 
 
 def top_k(embeddings: DataFrame, queries, k: int = 5, scale: float = 256.0) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best inner products of every query row with all other rows.
 
-    ``embeddings`` has vec_id and embedding, ``queries`` is a condition on vec_id. Rows without an id, a vector, or with a null or
+    ``embeddings`` has vec_id and embedding, ``queries`` is a condition on vec_id. Rows without an id or a vector, with an empty vector, or with a null or
     non-finite component take no part. Rows that share an id count as one, with the least of their vectors. Vectors of
     different lengths are never compared. Scores are exact while they stay below 2^53. No queries or no rows: no result.
     """
@@ -269,7 +269,7 @@ def _searched(pairs: DataFrame, data: DataFrame, asked: DataFrame, k: int) -> Da
 _SQL = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 p AS (
   SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score

@@ -3,6 +3,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from govspark.llm import chat, mixing, sharding, topk, urls
@@ -222,3 +223,9 @@ def test_trees_cover_their_points_and_prune():
     topk.search(q, tree, best)
     want = np.sort(q.points @ x.T, 1)[:, ::-1][:, :5]
     assert np.allclose(want, [[-s for s, _ in row] for row in best.rows])
+
+
+def test_empty_vectors_take_no_part(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(60)] + [(100, []), (61, None), (62, []), (63, [None, 1.0]), (64, [float("nan"), 1.0])]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    assert {r["query_id"] for r in found} == {0, 50} and {r["vec_id"] for r in found} <= set(range(60)) and len(found) == 10

@@ -226,3 +226,9 @@ def test_long_labelled_documents_train_the_field(spark):
     labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
     x, y = line_labels.labelled_lines(spark.createDataFrame(rows, DOCS), labels)
     assert y == [1, 1, 0, 0] and [len(s) for s in x] == [3, 100, 100, 100]
+
+
+def test_a_repeated_labelled_id_trains_once(spark):
+    docs = spark.createDataFrame([(1, "good line\nand more")] * 3000 + [(1, "another text"), (2, "bad | bad")], DOCS)
+    x, y = line_labels.labelled_lines(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert y == [1, 0] and len(x) == 2
