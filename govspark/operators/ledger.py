@@ -13,11 +13,12 @@ from govspark.functions import canonical_json
 from govspark.functions.time import iso_utc
 from govspark.operators.joins import null_safe_join
 from govspark.operators.ordered import running
+from govspark.session import materialize
 
 HASHED_FIELDS = [
     "id", "timestamp", "actor", "resource_urn", "action", "decision", "evaluation_trace", "request_context",
 ]
-_STRINGS = "array<string>"
+_KEY = ["project_id", "sequence_index"]
 
 
 def entry_json(entries: DataFrame) -> Column:
@@ -82,13 +83,26 @@ def merkle_root(leaves: Column) -> Column:
     return F.when(F.size(leaves) > 0, F.get(root, F.lit(0)))
 
 
+def _is_leaf() -> Column:
+    return F.coalesce(F.length("entry_hash") == 64, F.lit(False))
+
+
+def leaf_sum() -> Column:
+    """Aggregate: the first 15 digits of all leaf hashes added up, whatever their order.
+
+    It can be added in parts, so a block whose entries were exchanged is known without gathering them.
+    """
+    digits = F.conv(F.substring("entry_hash", 1, 15), 16, 10).cast("decimal(28,0)")
+    return F.coalesce(F.sum(F.when(_is_leaf(), digits)), F.lit(0)).cast("string")
+
+
 def _link_previous(blocks: DataFrame, extra: list[str]) -> DataFrame:
     """Add the root of block (index - 1) of the same project as ``prev_root``.
 
     Each block is sent to its own index and to the next one and both meet in one aggregate, so a long
     chain is never sorted in one task.
     """
-    key = ["project_id", "sequence_index"]
+    key = _KEY
     here = F.struct(F.lit(0).alias("shift"), F.struct(*extra, "merkle_root").alias("own"), F.lit(None).cast("string").alias("prev"))
     ahead = F.struct(F.lit(1).alias("shift"), F.lit(None).alias("own"), F.col("merkle_root").alias("prev"))
     sent = blocks.select(*key, F.explode(F.array(here, ahead)).alias("m")).select(
@@ -115,19 +129,23 @@ def seal(
 ) -> tuple[DataFrame, DataFrame]:
     """Seal unsealed entries (project_id, id, timestamp, entry_hash) into blocks of ``capacity``.
 
-    Returns (blocks, links of log id to block index). A block is sealed when it has ``min_entries`` or
+    Returns (blocks, links of log id and hash to block index); proofs are built from the links. A block is sealed when it has ``min_entries`` or
     its oldest entry is ``max_age_s`` old. ``last_blocks`` holds the newest (project_id,
     sequence_index, merkle_root); the chain goes on from there. Entries without a 64-character hash
     count in ``log_count`` but not in the tree. A block without any hash is left open and takes no number:
     the blocks after it are sealed and the chain has no gap.
     """
     lean = unsealed.select("project_id", "timestamp", "id", "entry_hash")
+    # Splitting by range reads its input twice, for the bounds and for the rows; entries are hashed once.
+    lean = lean if unsealed.is_cached else materialize(lean)
     numbered = running(lean, ["project_id"], ["timestamp", "id"], number="_n")
     numbered = numbered.withColumn("_block", F.floor(F.col("_n") / capacity))
     # A block never holds more than `capacity` entries, so its leaves fit in one group.
     grouped = numbered.groupBy("project_id", "_block").agg(
-        F.collect_list(F.when(F.length("entry_hash") == 64, F.col("entry_hash"))).alias("leaves"),
+        F.collect_list(F.when(_is_leaf(), F.col("entry_hash"))).alias("leaves"),
         F.count("*").alias("log_count"),
+        F.count_if(_is_leaf()).alias("leaf_count"),
+        leaf_sum().alias("leaf_sum"),
         F.min("timestamp").alias("timestamp_start"),
         F.max("timestamp").alias("timestamp_end"),
     )
@@ -139,7 +157,7 @@ def seal(
     # One row per block, that is per `capacity` entries.
     in_order = Window.partitionBy("project_id").orderBy("_block")
     sealed = (
-        null_safe_join(grouped.filter(due & (F.size("leaves") > 0)), newest, ["project_id"], "left")
+        null_safe_join(grouped.filter(due & (F.col("leaf_count") > 0)), newest, ["project_id"], "left")
         .select(
             "project_id",
             (F.coalesce(F.col("last_index") + 1, F.lit(0)) + F.row_number().over(in_order) - 1).alias("sequence_index"),
@@ -149,11 +167,12 @@ def seal(
             "timestamp_start",
             "timestamp_end",
             "log_count",
-            F.size("leaves").cast("bigint").alias("leaf_count"),
+            "leaf_count",
+            "leaf_sum",
         )
     )
     chained = _link_previous(
-        sealed, ["_block", "chain_start", "timestamp_start", "timestamp_end", "log_count", "leaf_count"]
+        sealed, ["_block", "chain_start", "timestamp_start", "timestamp_end", "log_count", "leaf_count", "leaf_sum"]
     )
     prev = F.coalesce("prev_root", "chain_start")
     blocks = chained.select(
@@ -165,12 +184,13 @@ def seal(
         "timestamp_end",
         "log_count",
         "leaf_count",
+        "leaf_sum",
         F.concat_ws("|", F.col("sequence_index").cast("string"), prev, "merkle_root", F.col("log_count").cast("string")).alias(
             "sign_payload"
         ),
     )
     links = null_safe_join(numbered, sealed.select("project_id", "_block", "sequence_index"), ["project_id", "_block"]).select(
-        "project_id", F.col("id").alias("log_id"), "sequence_index"
+        "project_id", F.col("id").alias("log_id"), "sequence_index", "entry_hash"
     )
     return blocks, links
 
@@ -211,38 +231,56 @@ def verify_proofs(proofs: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
-def verify_ledger(log: DataFrame, blocks: DataFrame) -> DataFrame:
+def verify_ledger(log: DataFrame, blocks: DataFrame, capacity: int = fixed.BLOCK_CAPACITY) -> DataFrame:
     """Per block: are contents, counts, root and link to the previous block intact?
 
     ``log`` has the entry columns plus project_id, entry_hash and sequence_index of its block; an entry
-    without one is in no block yet and left out.
+    without one is in no block yet and left out. Entries are first counted and added up per block. Only a
+    block of at most ``capacity`` entries whose count, and ``leaf_sum`` where its header has one, agree is
+    gathered and its root built again; of any other the root counts as wrong. So entries pushed into one
+    block in any number never meet in one row. A block that has entries but no header is reported too:
+    nothing but its contents can be in order.
     """
-    checked = log.filter(F.col("sequence_index").isNotNull()).withColumn("_again", F.sha2(entry_json(log), 256)).groupBy("project_id", "sequence_index").agg(
-        F.collect_list(F.when(F.length("entry_hash") == 64, F.col("entry_hash"))).alias("leaves"),
-        F.count("*").alias("found_count"),
-        F.count_if(~F.col("_again").eqNullSafe(F.col("entry_hash"))).alias("altered"),
+    entries = materialize(
+        log.filter(F.col("sequence_index").isNotNull()).select(
+            *_KEY, "entry_hash", F.sha2(entry_json(log), 256).eqNullSafe(F.col("entry_hash")).alias("_same")
+        )
     )
-    rebuilt = checked.select(
-        "project_id", "sequence_index", "found_count", "altered", merkle_root(F.col("leaves")).alias("found_root")
+    found = entries.groupBy(*_KEY).agg(
+        F.count("*").alias("found_count"), F.count_if(~F.col("_same")).alias("altered"), leaf_sum().alias("found_sum")
     )
-    key = ["project_id", "sequence_index"]
-    linked = _link_previous(blocks, ["prev_block_hash", "log_count"])
+    has_sum = "leaf_sum" in blocks.columns
+    linked = _link_previous(blocks, ["prev_block_hash", "log_count", *(["leaf_sum"] if has_sum else [])])
     first = blocks.groupBy("project_id").agg(F.min("sequence_index").alias("first_index"))
-    status = null_safe_join(null_safe_join(linked, rebuilt, key, "left"), first, ["project_id"])
+    met = null_safe_join(linked, found, _KEY, "left")
+    count_ok = F.coalesce(F.col("found_count") == F.col("log_count"), F.lit(False))
+    same_sum = F.coalesce(F.col("found_sum") == F.col("leaf_sum"), F.col("leaf_sum").isNull()) if has_sum else F.lit(True)
+    whole = met.filter(count_ok & same_sum & (F.col("found_count") <= capacity)).select(*_KEY)
+    rebuilt = (
+        null_safe_join(entries, whole, _KEY, "left_semi")
+        .groupBy(*_KEY)
+        .agg(merkle_root(F.collect_list(F.when(_is_leaf(), F.col("entry_hash")))).alias("found_root"))
+    )
+    status = null_safe_join(null_safe_join(met, rebuilt, _KEY, "left"), first, ["project_id"])
     chain_ok = F.when(
         F.col("sequence_index") == 0, F.col("prev_block_hash") == fixed.GENESIS_HASH
     ).otherwise(F.col("prev_block_hash").eqNullSafe(F.col("prev_root")))
     gap = (F.col("sequence_index") > F.col("first_index")) & F.col("prev_root").isNull()
+    content_ok = F.coalesce("altered", F.lit(0)) == 0
     flags = status.select(
-        *key,
-        (F.coalesce("altered", F.lit(0)) == 0).alias("content_ok"),
-        F.coalesce(F.col("found_count") == F.col("log_count"), F.lit(False)).alias("count_ok"),
+        *_KEY,
+        content_ok.alias("content_ok"),
+        count_ok.alias("count_ok"),
         F.coalesce(F.col("found_root") == F.col("merkle_root"), F.lit(False)).alias("root_ok"),
-        chain_ok.alias("chain_ok"),
+        F.coalesce(chain_ok, F.lit(False)).alias("chain_ok"),
         (~gap & ~((F.col("sequence_index") == F.col("first_index")) & (F.col("first_index") > 0))).alias("index_ok"),
     )
+    never = [F.lit(False).alias(name) for name in ("count_ok", "root_ok", "chain_ok", "index_ok")]
+    headless = null_safe_join(found, blocks.select(*_KEY), _KEY, "left_anti").select(
+        *_KEY, content_ok.alias("content_ok"), *never
+    )
     intact = F.col("content_ok") & F.col("count_ok") & F.col("root_ok") & F.col("chain_ok") & F.col("index_ok")
-    return flags.withColumn("status", F.when(intact, F.lit("VERIFIED")).otherwise(F.lit("TAMPERED")))
+    return flags.unionByName(headless).withColumn("status", F.when(intact, F.lit("VERIFIED")).otherwise(F.lit("TAMPERED")))
 
 
 def dirty_projects(log: DataFrame) -> DataFrame:

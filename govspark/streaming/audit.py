@@ -83,7 +83,7 @@ def seal_batch(batch: DataFrame, batch_id: int, out: str, as_of: datetime, **lim
     entries = entries.persist()
     try:
         blocks, links = seal(entries, heads, as_of, **limits)
-        overwrite_batch(links, f"{out}/links", batch_id)
+        overwrite_batch(links.drop("entry_hash"), f"{out}/links", batch_id)
         overwrite_batch(blocks, f"{out}/blocks", batch_id)
         done = spark.read.parquet(f"{out}/links/batch_id={batch_id}").select(F.col("log_id").alias("id"))
         overwrite_batch(entries.join(done, "id", "left_anti").select(*entries.columns), f"{out}/open", batch_id)

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from govspark.operators.ledger import merkle_proof, merkle_root, seal, verify_proofs
+from govspark.operators.ledger import entry_hash, merkle_proof, merkle_root, seal, verify_ledger, verify_proofs
 
 NOW = datetime(2024, 2, 1)
 
@@ -65,3 +65,59 @@ def test_entries_without_a_project_are_sealed(spark):
         ("", 7, "ab" * 32, 5), ("p", 0, "0" * 64, 5),
     ]
     assert sorted((r.project_id or "", r.log_id) for r in links.collect()) == sorted((r[0] or "", r[1]) for r in rows)
+
+
+def ledger_of(spark, count=60, capacity=10):
+    rows = [("p" if i % 2 else None, f"{i:03d}", NOW - timedelta(days=1, seconds=-i), f"a{i}") for i in range(count)]
+    log = entry_hash(spark.createDataFrame(rows, "project_id string, id string, timestamp timestamp, action string"))
+    heads = spark.createDataFrame([], "project_id string, sequence_index bigint, merkle_root string")
+    blocks, links = seal(log, heads, NOW, min_entries=1, capacity=capacity)
+    placed = links.select(F.col("project_id").alias("_p"), F.col("log_id").alias("id"), "sequence_index")
+    return log.join(placed, "id").drop("_p"), blocks
+
+
+def verdicts(log, blocks, capacity=10):
+    return {(r.project_id, r.sequence_index): r for r in verify_ledger(log, blocks, capacity).collect()}
+
+
+def test_sound_ledger_is_verified(spark):
+    log, blocks = ledger_of(spark)
+    assert {r.status for r in verdicts(log, blocks).values()} == {"VERIFIED"}
+    # Headers of another origin may come without the sum.
+    got = verdicts(log.unionByName(log.limit(5).withColumn("sequence_index", F.lit(None).cast("bigint"))), blocks.drop("leaf_sum"))
+    assert len(got) == 6 and {r.status for r in got.values()} == {"VERIFIED"}
+
+
+def test_harmed_blocks_are_named(spark):
+    log, blocks = ledger_of(spark)
+    place = lambda p, i: F.col("project_id").eqNullSafe(p) & (F.col("sequence_index") == i)
+    # Another entry with a right hash of its own in place of one that was sealed.
+    other = entry_hash(log.drop("entry_hash").withColumn("action", F.lit("x")).select("id", "project_id", "timestamp", "action", "sequence_index"))
+    first = place("p", 0) & (F.col("id") == "001")
+    log = log.filter(~first).unionByName(other.filter(first).select(*log.columns))
+    # A stuffed block, one that outgrows the capacity with a matching count, and one without a header.
+    stuffed = log.filter(place(None, 1)).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("_n")
+    doubled = log.filter(place("p", 2))
+    got = verdicts(
+        log.unionByName(stuffed).unionByName(doubled),
+        blocks.filter(~place(None, 2)).withColumn("log_count", F.when(place("p", 2), F.lit(20)).otherwise(F.col("log_count"))),
+    )
+    flags = {k: (r.content_ok, r.count_ok, r.root_ok, r.chain_ok, r.index_ok, r.status) for k, r in got.items()}
+    assert flags == {
+        ("p", 0): (True, True, False, True, True, "TAMPERED"),
+        ("p", 1): (True, True, True, True, True, "VERIFIED"),
+        ("p", 2): (True, True, False, True, True, "TAMPERED"),
+        (None, 0): (True, True, True, True, True, "VERIFIED"),
+        (None, 1): (True, False, False, True, True, "TAMPERED"),
+        (None, 2): (True, False, False, False, False, "TAMPERED"),
+    }
+
+
+def test_exchanged_hashes_show_in_the_sum(spark):
+    """Hashes are replaced but counted right; with and without the sum the root is found to be wrong."""
+    log, blocks = ledger_of(spark, 20)
+    swapped = log.withColumn("entry_hash", F.sha2("entry_hash", 256))
+    for headers in (blocks, blocks.drop("leaf_sum")):
+        got = verdicts(swapped, headers)
+        assert [(r.content_ok, r.count_ok, r.root_ok) for r in got.values()] == [(False, True, False)] * 2
+    assert verdicts(log.limit(0), blocks.limit(0)) == {}

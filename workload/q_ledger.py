@@ -40,8 +40,8 @@ tree AS (
   FROM (SELECT *, coalesce(lead(h) OVER (PARTITION BY project_id, block, height ORDER BY i), h) AS sibling FROM tree WHERE n > 1) WHERE i % 2 = 0),
 roots AS (SELECT project_id, block, h AS root FROM tree WHERE n = 1),
 blocks AS (SELECT project_id, block AS sequence_index, coalesce(lag(root) OVER (PARTITION BY project_id ORDER BY block), '{GENESIS_HASH}') AS prev_block_hash, root AS merkle_root,
-  min_ts AS timestamp_start, max_ts AS timestamp_end, n AS log_count FROM roots JOIN
-  (SELECT project_id, block, min(timestamp_) AS min_ts, max(timestamp_) AS max_ts, count(*) AS n FROM numbered GROUP BY ALL) USING (project_id, block))"""
+  min_ts AS timestamp_start, max_ts AS timestamp_end, n AS log_count, leaf_sum FROM roots JOIN
+  (SELECT project_id, block, min(timestamp_) AS min_ts, max(timestamp_) AS max_ts, count(*) AS n, CAST(sum(CAST('0x' || substr(entry_hash, 1, 15) AS BIGINT)) AS VARCHAR) AS leaf_sum FROM numbered GROUP BY ALL) USING (project_id, block))"""
 
 
 def hashed(t: Tables) -> DataFrame:
@@ -55,16 +55,12 @@ def sealed(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return log, blocks, links
 
 
-def _linked(log: DataFrame, links: DataFrame) -> DataFrame:
-    return log.join(links.select("project_id", F.col("log_id").alias("id"), "sequence_index"), ["project_id", "id"])
-
-
 @query("h1_entry_hash", f"WITH {ENTRIES} SELECT id, project_id, entry_hash FROM entries")
 def h1_entry_hash(t: Tables) -> DataFrame:
     return hashed(t).select("id", "project_id", "entry_hash")
 
 
-@query("h2_seal_blocks", f"""WITH {ENTRIES}, {BLOCKS} SELECT project_id, sequence_index, prev_block_hash, merkle_root, timestamp_start, timestamp_end, log_count, log_count AS leaf_count,
+@query("h2_seal_blocks", f"""WITH {ENTRIES}, {BLOCKS} SELECT project_id, sequence_index, prev_block_hash, merkle_root, timestamp_start, timestamp_end, log_count, log_count AS leaf_count, leaf_sum,
   sequence_index || '|' || prev_block_hash || '|' || merkle_root || '|' || log_count AS sign_payload FROM blocks""")
 def h2_seal_blocks(t: Tables) -> DataFrame:
     return sealed(t)[1]
@@ -72,7 +68,7 @@ def h2_seal_blocks(t: Tables) -> DataFrame:
 
 @query("h2_seal_links", f"WITH {ENTRIES}, {BLOCKS} SELECT project_id, id AS log_id, block AS sequence_index FROM numbered")
 def h2_seal_links(t: Tables) -> DataFrame:
-    return sealed(t)[2]
+    return sealed(t)[2].drop("entry_hash")
 
 
 @query("h3_merkle_root", f"""WITH {ENTRIES}, numbered AS (SELECT 'all' AS project_id, event_id // 33 AS block, entry_hash FROM entries), {BLOCKS.split('block FROM entries),', 1)[1].split('blocks AS', 1)[0].rstrip().rstrip(',')}
@@ -89,30 +85,47 @@ SELECT p.project_id, p.block AS sequence_index, p.entry_hash, coalesce(string_ag
 FROM path p JOIN tree s ON s.project_id = p.project_id AND s.block = p.block AND s.height = p.height
   AND s.i = CASE WHEN xor(p.i, 1) < p.n THEN xor(p.i, 1) ELSE p.i END WHERE p.n > 1 GROUP BY ALL""")
 def h4_proofs(t: Tables) -> DataFrame:
-    log, _, links = sealed(t)
-    proofs = merkle_proof(_linked(log, links).select("project_id", "sequence_index", "entry_hash"))
-    return proofs.withColumn("siblings", F.array_join("siblings", ","))
+    return merkle_proof(sealed(t)[2]).withColumn("siblings", F.array_join("siblings", ","))
 
 
-@query("h5_verify_proofs", f"WITH {ENTRIES}, {BLOCKS} SELECT project_id, block AS sequence_index, TRUE AS valid, count(*) AS proofs FROM numbered GROUP BY ALL")
+@query("h5_verify_proofs", f"""WITH {ENTRIES}, {BLOCKS} SELECT project_id, block AS sequence_index, substr(entry_hash, 1, 1) NOT IN ('0', '1', '2', '3') AS valid, count(*) AS proofs
+FROM numbered GROUP BY ALL""")
 def h5_verify_proofs(t: Tables) -> DataFrame:
-    log, blocks, links = sealed(t)
-    proofs = merkle_proof(_linked(log, links).select("project_id", "sequence_index", "entry_hash"))
+    """Of about a quarter of the proofs the entry is another one than the one proved."""
+    _, blocks, links = sealed(t)
+    forged = F.substring("entry_hash", 1, 1).isin("0", "1", "2", "3")
+    proofs = merkle_proof(links).withColumn("entry_hash", F.when(forged, F.sha2("entry_hash", 256)).otherwise(F.col("entry_hash")))
     return verify_proofs(proofs, blocks).groupBy("project_id", "sequence_index", "valid").agg(F.count("*").alias("proofs"))
 
 
-@query("h6_verify_ledger", f"""WITH {ENTRIES}, {BLOCKS} SELECT project_id, sequence_index, sequence_index % 3 <> 1 AS content_ok, TRUE AS count_ok, TRUE AS root_ok,
-  sequence_index % 4 <> 2 AS chain_ok, TRUE AS index_ok, CASE WHEN sequence_index % 3 <> 1 AND sequence_index % 4 <> 2 THEN 'VERIFIED' ELSE 'TAMPERED' END AS status FROM blocks""")
+# What is done to a block after sealing: 0 contents altered, 1 link replaced, 2 count replaced, 3 every entry twice,
+# 4 root replaced, 5 header lost, 6 entries lost, 7 and 8 nothing.
+_DONE = "({index} * 3 + ascii(right(project_id, 1))) % 9"
+_HARM = _DONE.format(index="sequence_index")
+
+
+@query("h6_verify_ledger", f"""WITH {ENTRIES}, {BLOCKS}, harmed AS (SELECT project_id, sequence_index, {_HARM} AS x,
+  CASE WHEN sequence_index > 0 THEN {_DONE.format(index='(sequence_index - 1)')} ELSE -1 END AS px FROM blocks),
+flags AS (SELECT project_id, sequence_index, x <> 0 AS content_ok, x NOT IN (2, 3, 5, 6) AS count_ok, x NOT IN (2, 3, 4, 5, 6) AS root_ok,
+  x NOT IN (1, 5) AND px NOT IN (4, 5) AS chain_ok, x <> 5 AND px <> 5 AS index_ok FROM harmed)
+SELECT *, CASE WHEN content_ok AND count_ok AND root_ok AND chain_ok AND index_ok THEN 'VERIFIED' ELSE 'TAMPERED' END AS status FROM flags""")
 def h6_verify_ledger(t: Tables) -> DataFrame:
-    """Contents of every third block and links of every fourth are altered after sealing."""
     log, blocks, links = sealed(t)
-    altered = _linked(log, links).withColumn(
-        "action", F.when(F.col("sequence_index") % 3 == 1, F.concat("action", F.lit("!"))).otherwise(F.col("action"))
+    harm = F.expr(_HARM)
+    copies = F.when(harm == 3, F.lit(2)).when(harm == 6, F.lit(0)).otherwise(F.lit(1))
+    found = (
+        log.drop("entry_hash")
+        .join(links.withColumnRenamed("log_id", "id"), ["project_id", "id"])
+        .withColumn("action", F.when(harm == 0, F.concat("action", F.lit("!"))).otherwise(F.col("action")))
+        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
     )
-    broken = blocks.withColumn(
-        "prev_block_hash", F.when(F.col("sequence_index") % 4 == 2, F.lit("f" * 64)).otherwise(F.col("prev_block_hash"))
+    headers = (
+        blocks.filter(harm != 5)
+        .withColumn("prev_block_hash", F.when(harm == 1, F.lit("f" * 64)).otherwise(F.col("prev_block_hash")))
+        .withColumn("log_count", F.when(harm == 2, F.col("log_count") + 1).otherwise(F.col("log_count")))
+        .withColumn("merkle_root", F.when(harm == 4, F.lit("e" * 64)).otherwise(F.col("merkle_root")))
     )
-    return verify_ledger(altered, broken)
+    return verify_ledger(found, headers, CAPACITY)
 
 
 @query("h7_unsealed_projects", "SELECT DISTINCT project_id FROM v_audit_log WHERE event_id % 2 = 0")
