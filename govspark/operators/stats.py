@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -50,12 +51,88 @@ def search_obligations(
     return rows.orderBy("id")
 
 
-def page(df: DataFrame, number: int, size: int, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows of one page, one row with total and pages). The first page is 1."""
+# Rows that one task may sort for a page, and the number of ranges a larger view is counted in.
+PAGE_ROWS = 100_000
+PAGE_RANGES = 64
+
+
+def page(
+    df: DataFrame, number: int, size: int, order: list[str], max_sorted: int = PAGE_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """(rows of one page, one row with total and pages). The first page is 1.
+
+    ``order`` should be unique; null comes first. A page within the first ``max_sorted`` rows is taken from the top of
+    every task. For a deeper one the rows are counted per range of ``order``, again and again inside the ranges that
+    hold the page, until at most ``max_sorted`` rows are left beside it; only those are sorted. A page behind the last row is empty.
+    """
     number = max(number, 1)
-    rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
+    skip = (number - 1) * size
     total = df.agg(F.count("*").alias("total"))
-    return rows, total.withColumn("pages", F.ceil(F.col("total") / size))
+    rows = df
+    if skip + size > max_sorted:
+        rows, skip = _around(df, skip, size, order, max_sorted)
+    return rows.orderBy(*order).offset(skip).limit(size), total.withColumn("pages", F.ceil(F.col("total") / size))
+
+
+def page_after(df: DataFrame, after: Sequence | None, size: int, order: list[str]) -> DataFrame:
+    """The ``size`` rows that follow the row with ``after`` as its values of ``order``; None gives the first page."""
+    rows = df if after is None else df.filter(F.struct(*order) > _point(df, order, after))
+    return rows.orderBy(*order).limit(size)
+
+
+def _point(df: DataFrame, order: list[str], values: Sequence) -> Column:
+    return F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, values, strict=True)])
+
+
+def _between(df: DataFrame, order: list[str], low: Sequence | None, high: Sequence | None) -> DataFrame:
+    """Rows from ``low`` up to, not including, ``high``; the plain test on the first column reaches the scan."""
+    first, key = F.col(order[0]), F.struct(*order)
+    if low is not None:
+        df = df.filter(key >= _point(df, order, low))
+        df = df if low[0] is None else df.filter(first >= F.lit(low[0]))
+    if high is not None:
+        df = df.filter(key < _point(df, order, high))
+        df = df if high[0] is None else df.filter(first.isNull() | (first <= F.lit(high[0])))
+    return df
+
+
+def _range_number(df: DataFrame, order: list[str], bounds: list[Sequence], start: int = 0) -> Column:
+    """How many of the sorted bounds are at or below the row, by halving."""
+    if not bounds:
+        return F.lit(start)
+    middle = len(bounds) // 2
+    below = _range_number(df, order, bounds[:middle], start)
+    above = _range_number(df, order, bounds[middle + 1 :], start + middle + 1)
+    return F.when(F.struct(*order) < _point(df, order, bounds[middle]), below).otherwise(above)
+
+
+def _around(df: DataFrame, skip: int, size: int, order: list[str], max_sorted: int) -> tuple[DataFrame, int]:
+    """The rows of a few ranges that hold the page, and how many of them come before it.
+
+    Bounds come from a sample of about 20 keys a range. The sample decides how even the ranges are, not what the page holds.
+    """
+    low = high = None
+    held = df.count()
+    while held > max_sorted + size and skip < held:
+        inside = _between(df, order, low, high).select(*order)
+        wanted = 20 * PAGE_RANGES
+        sample = inside.sample(min(1.0, wanted / held), 7).distinct().orderBy(*order).collect()
+        step = max(len(sample) // PAGE_RANGES, 1)
+        bounds = sample[step::step]
+        counts = dict(inside.groupBy(_range_number(df, order, bounds).alias("range")).count().collect())
+        before, kept = 0, []
+        for place in range(len(bounds) + 1):
+            here = counts.get(place, 0)
+            if here and before < skip + size and before + here > skip:
+                kept.append((place, before, here))
+            before += here
+        left = sum(here for _, _, here in kept)
+        if not kept or left == held:
+            break  # rows with equal keys can't be told apart
+        low = bounds[kept[0][0] - 1] if kept[0][0] > 0 else low
+        high = bounds[kept[-1][0]] if kept[-1][0] < len(bounds) else high
+        skip, held = skip - kept[0][1], left
+    return _between(df, order, low, high), skip
 
 
 def high_risk(raw: DataFrame, limit: int = 50, attributes: str = "attributes") -> DataFrame:

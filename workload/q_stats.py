@@ -55,6 +55,17 @@ def p3_page(t: Tables) -> DataFrame:
     return stats.page(t.resources(), 2, 500, ["urn"])[0].select("project_id", "urn", "name")
 
 
+# A page far behind: ranges are counted until few rows are left to sort.
+@query("p3_deep_page", f"SELECT {_LOG} FROM v_audit_log ORDER BY timestamp_ NULLS FIRST, id LIMIT 100 OFFSET 7300")
+def p3_deep_page(t: Tables) -> DataFrame:
+    return _shown(stats.page(t.audit_log(), 74, 100, ["timestamp", "id"], max_sorted=500)[0])
+
+
+@query("p3_page_after", "SELECT project_id, urn, name FROM v_resources WHERE project_id > 'p1' OR (project_id = 'p1' AND urn > 'urn:m') ORDER BY project_id, urn LIMIT 200")
+def p3_page_after(t: Tables) -> DataFrame:
+    return stats.page_after(t.resources(), ("p1", "urn:m"), 200, ["project_id", "urn"]).select("project_id", "urn", "name")
+
+
 @query("p3_page_total", "SELECT count(*) AS total, CAST(ceil(count(*) / 30.0) AS BIGINT) AS pages FROM v_resources")
 def p3_page_total(t: Tables) -> DataFrame:
     return stats.page(t.resources(), 0, 30, ["urn"])[1]
