@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from govspark import fixed_values as fixed
 from govspark.functions import canonical_json_text
+from govspark.operators.joins import null_safe_join
+from govspark.operators.match import match_obligations
+from govspark.operators.resolve import fold_rule_sets
+from govspark.session import materialize
 
 _STRINGS = "array<string>"
 
@@ -241,18 +245,18 @@ def _privacy_changes() -> list[_Change]:
     return [*rows, (other, "Privacy", "parameters", whole("o"), whole("n"), "MODIFIED", _NEUTRAL, text)]
 
 
-def diff_policies(old: DataFrame, new: DataFrame, strict: bool = False) -> DataFrame:
-    """One row per material change between two policy snapshots.
+_DOMAINS = ["retention", "geofencing", "ai_rules", "purpose", "privacy"]
 
-    A resource that is in one snapshot only has an empty policy in the other. Removing geofencing
-    gives a row only with ``strict``.
-    """
-    keys = ["project_id", "resource_urn"]
-    domains = ["retention", "geofencing", "ai_rules", "purpose", "privacy"]
 
-    def side(df: DataFrame, mark: str) -> DataFrame:
-        return df.selectExpr(*keys, *[f"{d} AS {mark}_{d}" for d in domains], f"size(contributing_obligation_ids) AS {mark}_count")
+def _side(df: DataFrame, mark: str, keys: dict[str, str]) -> DataFrame:
+    """The columns of one version, marked ``o`` or ``n``; ``keys`` maps columns to their new names."""
+    return df.selectExpr(
+        *[f"{old} AS {new}" for old, new in keys.items()],
+        *[f"{d} AS {mark}_{d}" for d in _DOMAINS], f"size(contributing_obligation_ids) AS {mark}_count",
+    )
+
 
+def _change_rows(joined: DataFrame, keys: list[str], strict: bool) -> DataFrame:
     changes = [
         *_retention_changes(), *_geofencing_changes(strict), *_ai_changes(), *_purpose_changes(), *_privacy_changes(),
     ]
@@ -262,13 +266,75 @@ def diff_policies(old: DataFrame, new: DataFrame, strict: bool = False) -> DataF
         f"'impact', {impact}, 'description', {text}) END"
         for i, (condition, category, field, before, after, kind, impact, text) in enumerate(changes)
     )
-    joined = side(old, "o").join(side(new, "n"), keys, "full_outer")
     return joined.selectExpr(
         *keys, "coalesce(o_count, 0) AS old_obligations", "coalesce(n_count, 0) AS new_obligations",
         f"inline(array_compact(array({rows})))",
     )
 
 
+def diff_policies(old: DataFrame, new: DataFrame, strict: bool = False) -> DataFrame:
+    """One row per material change between two policy snapshots.
+
+    A resource that is in one snapshot only has an empty policy in the other. Removing geofencing
+    gives a row only with ``strict``.
+    """
+    keys = ["project_id", "resource_urn"]
+    one = _side(old, "o", {k: k for k in keys})
+    two = _side(new, "n", {k: f"_{k}" for k in keys})
+    met = one.project_id.eqNullSafe(two._project_id) & (one.resource_urn == two._resource_urn)
+    joined = one.join(two, met, "full_outer")
+    for k in keys:
+        joined = joined.withColumn(k, F.coalesce(k, f"_{k}"))
+    return _change_rows(joined, keys, strict)
+
+
+# Ordinals of the rules of two versions side by side: three times the rule's own, plus where it is found.
+_BOTH, _OLD, _NEW = 0, 1, 2
+
+
+def _merged_rules(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rules of both versions in one table; one that is the same in both is there once."""
+    columns = old.columns
+    body = F.to_json(F.struct(*sorted(columns))).alias("_body")
+    side = lambda df, place: df.select("ord", body, F.struct(*columns).alias("_rule"), F.lit(place).alias("_place"))
+    found = side(old, _OLD).unionByName(side(new, _NEW)).groupBy("ord", "_body").agg(
+        F.any_value("_rule").alias("_rule"), F.min("_place").alias("_first"), F.max("_place").alias("_last")
+    )
+    place = F.when(F.col("_first") != F.col("_last"), F.lit(_BOTH)).otherwise(F.col("_first"))
+    return found.select("_rule.*", place.alias("_place")).withColumn("ord", F.col("ord") * 3 + F.col("_place")).drop("_place")
+
+
+def diff_versions(
+    resources: DataFrame, old: DataFrame, new: DataFrame, strict: bool = False, on_conflict: str = "flag"
+) -> DataFrame:
+    """As ``diff_policies`` of the policies that two versions of the rules give the same resources.
+
+    Both versions are matched in one pass. A resource whose rules are the same in both is left at once; for the others
+    each pair of rule sets is folded and compared once, however many resources share it. ``old`` and ``new`` have the
+    same columns; ``ord`` is unique in each.
+    """
+    rules = materialize(_merged_rules(old, new))
+    place = F.col("ord") % 3
+    held = lambda other: F.array_sort(F.collect_list(F.when(place != other, F.col("ord"))))
+    sets = materialize(
+        match_obligations(resources, rules)
+        .groupBy("project_id", "urn")
+        .agg(held(_NEW).alias("old_set"), held(_OLD).alias("new_set"))
+        .filter(F.col("old_set") != F.col("new_set"))
+    )
+    pair = ["old_set", "new_set"]
+    pairs = sets.select(*pair).distinct()
+    each = pairs.select(F.explode(F.array(*pair)).alias("rule_set"))
+    folded = materialize(fold_rule_sets(each, rules, on_conflict=on_conflict))
+    # A set without any rule has no fold: that side is empty.
+    joined = pairs
+    for mark, name in (("o", "old_set"), ("n", "new_set")):
+        joined = joined.join(_side(folded, mark, {"rule_set": name}), name, "left")
+    changes = _change_rows(joined, pair, strict)
+    named = sets.withColumnRenamed("urn", "resource_urn").select("project_id", "resource_urn", *pair)
+    return named.join(changes, pair).drop(*pair)
+
+
 def risk_delta(changes: DataFrame) -> DataFrame:
     """Permissive changes minus restrictive ones, per resource."""
     score = F.when(F.col("impact") == "PERMISSIVE", 1).when(F.col("impact") == "RESTRICTIVE", -1).otherwise(0)
@@ -320,4 +386,5 @@ def diff_markdown(changes: DataFrame, resources: DataFrame | None = None) -> Dat
     if resources is None:
         return out
     quiet = _say(_NO_CHANGE, F.col("resource_urn"), "`.")
-    return resources.select(*keys).distinct().join(out, keys, "left").withColumn("report", F.coalesce("report", quiet))
+    named = resources.select(*keys).distinct()
+    return null_safe_join(named, out, keys, "left").withColumn("report", F.coalesce("report", quiet))

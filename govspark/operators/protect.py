@@ -58,8 +58,9 @@ def masked(value: Column, dtype: T.DataType, method: str, noise: Column | None =
 
 
 def repeatable_noise(key: Column, seed: int = 0) -> Column:
-    """A draw in [0, 1) that depends only on the key and seed, so a retried task gives the same rows."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2**30)) / F.lit(float(2**30))
+    """A draw in [0, 1) from the SHA-256 of seed and key alone: a retried task, or another engine, gives the same rows."""
+    digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256), 1, 7)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**7))
 
 
 def is_member(caller_groups: list[str], allowed_groups: list[str], admins: list[str] = fixed.ADMIN_GROUPS) -> bool:

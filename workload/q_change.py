@@ -99,58 +99,92 @@ def _suffixed(sql: str) -> str:
 
 _SIDE = """{side} AS (SELECT r.project_id, r.urn AS resource_urn, t.duration_s, g.urn IS NOT NULL AS has_geo, g.is_global_ban AS ban, g.allowed AS regions, a.urn IS NOT NULL AS has_ai,
   a.training, a.tuning, a.rag, a.attribution, a.credit, u.urn IS NOT NULL AS has_use, u.allowed AS uses, u.denied AS bad_uses, p.method, {name} AS method_name, p.p_epsilon, p.p_k,
-  concat_ws(',', p.p_algorithm, p.p_delta, p.p_epsilon, p.p_k) AS params
+  '{{' || concat_ws(',', '"algorithm":"' || p.p_algorithm || '"', '"delta":"' || p.p_delta || '"', '"epsilon":"' || p.p_epsilon || '"', '"k":"' || p.p_k || '"') || '}}' AS params
   FROM v_resources r LEFT JOIN retention{v} t USING (project_id, urn) LEFT JOIN geofencing{v} g USING (project_id, urn) LEFT JOIN purpose{v} u USING (project_id, urn)
   LEFT JOIN ai{v} a USING (project_id, urn) LEFT JOIN privacy{v} p USING (project_id, urn))"""
 _MINUS = lambda a, b: f"(SELECT string_agg(x, ', ' ORDER BY x) FROM (SELECT unnest(string_split({a}, ',')) AS x EXCEPT SELECT unnest(string_split({b}, ','))) WHERE x <> '')"
 
 
+def _clock(x: str) -> str:
+    days, rest = f"({x} // 86400)", f"({x} % 86400)"
+    named = f"CASE {days} WHEN 0 THEN '' WHEN 1 THEN '1 day, ' ELSE {days} || ' days, ' END"
+    return f"({named} || ({rest} // 3600) || ':' || lpad(CAST({rest} % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({rest} % 60 AS VARCHAR), 2, '0'))"
+
+
 def _change_rows() -> str:
-    tight, loose = "'RESTRICTIVE'", "'PERMISSIVE'"
+    """SQL of every kind of change: category, field, condition, old value, new value, type, impact, description."""
+    tight, loose, none = "'RESTRICTIVE'", "'PERMISSIVE'", "NULL"
     by = lambda c: f"CASE WHEN {c} THEN 'RESTRICTIVE' ELSE 'PERMISSIVE' END"
+    shown = lambda c: f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
+    number = lambda c: f"CAST({c} AS DOUBLE)"
+
+    def flag(name: str, label: str, field: str, tight_if: str):
+        old, new = shown(f"o.{field}"), shown(f"n.{field}")
+        return ("AI Rules", name, f"o.{field} <> n.{field}", old, new, "MODIFIED", by(tight_if), f"'{label} changed from ' || {old} || ' to ' || {new} || '.'")
+
+    def gain(category: str, field: str, column: str, flag_: str, up: str, down: str, gained: str, lost: str):
+        more, less = _MINUS(f"n.{column}", f"o.{column}"), _MINUS(f"o.{column}", f"n.{column}")
+        both = f"o.{flag_} AND n.{flag_}"
+        return [
+            (category, field, f"{both} AND {more} IS NOT NULL", none, more, "MODIFIED", up, f"'{gained}: ' || {more}"),
+            (category, field, f"{both} AND {less} IS NOT NULL", less, none, "MODIFIED", down, f"'{lost}: ' || {less}"),
+        ]
+
+    def setting(key: str, sign: str):
+        old, new = number(f"o.p_{key}"), number(f"n.p_{key}")
+        text = f"'Privacy parameter {key} changed from ' || {old} || ' to ' || {new} || '.'"
+        return ("Privacy", f"parameters.{key}", f"{old} <> {new}", old, new, "MODIFIED", by(f"{new} {sign} {old}"), text)
+
+    before, after = _clock("o.duration_s"), _clock("n.duration_s")
+    stronger = "CASE WHEN n.method > o.method THEN 'Privacy method upgraded (stronger protection). ' ELSE 'Privacy method downgraded (weaker protection). ' END"
     rows = [
-        ("Retention", "rule", "o.duration_s IS NOT NULL AND n.duration_s IS NULL", "REMOVED", loose),
-        ("Retention", "rule", "o.duration_s IS NULL AND n.duration_s IS NOT NULL", "ADDED", tight),
-        ("Retention", "duration", "o.duration_s <> n.duration_s", "MODIFIED", by("n.duration_s < o.duration_s")),
-        ("Geofencing", "rule", "NOT o.has_geo AND n.has_geo", "ADDED", tight),
-        ("Geofencing", "is_global_ban", "o.ban <> n.ban", "MODIFIED", by("n.ban")),
-        ("Geofencing", "allowed_regions", f"{_MINUS('n.regions', 'o.regions')} IS NOT NULL AND o.has_geo AND n.has_geo", "MODIFIED", loose),
-        ("Geofencing", "allowed_regions", f"{_MINUS('o.regions', 'n.regions')} IS NOT NULL AND o.has_geo AND n.has_geo", "MODIFIED", tight),
-        ("AI Rules", "training_allowed", "o.training <> n.training", "MODIFIED", by("NOT n.training")),
-        ("AI Rules", "fine_tuning_allowed", "o.tuning <> n.tuning", "MODIFIED", by("NOT n.tuning")),
-        ("AI Rules", "rag_allowed", "o.rag <> n.rag", "MODIFIED", by("NOT n.rag")),
-        ("AI Rules", "attribution_required", "o.attribution <> n.attribution", "MODIFIED", by("n.attribution")),
-        ("AI Rules", "attribution_text", "o.credit <> n.credit", "MODIFIED", "'NEUTRAL'"),
-        ("Purpose", "rule", "NOT o.has_use AND n.has_use", "ADDED", tight),
-        ("Purpose", "rule", "o.has_use AND NOT n.has_use", "REMOVED", loose),
-        ("Purpose", "allowed_purposes", f"o.has_use AND n.has_use AND {_MINUS('n.uses', 'o.uses')} IS NOT NULL", "MODIFIED", loose),
-        ("Purpose", "allowed_purposes", f"o.has_use AND n.has_use AND {_MINUS('o.uses', 'n.uses')} IS NOT NULL", "MODIFIED", tight),
-        ("Purpose", "denied_purposes", f"o.has_use AND n.has_use AND {_MINUS('n.bad_uses', 'o.bad_uses')} IS NOT NULL", "MODIFIED", tight),
-        ("Purpose", "denied_purposes", f"o.has_use AND n.has_use AND {_MINUS('o.bad_uses', 'n.bad_uses')} IS NOT NULL", "MODIFIED", loose),
-        ("Privacy", "rule", "o.method IS NULL AND n.method IS NOT NULL", "ADDED", tight),
-        ("Privacy", "rule", "o.method IS NOT NULL AND n.method IS NULL", "REMOVED", loose),
-        ("Privacy", "method", "o.method <> n.method", "MODIFIED", by("n.method > o.method")),
-        ("Privacy", "parameters.epsilon", "CAST(o.p_epsilon AS DOUBLE) <> CAST(n.p_epsilon AS DOUBLE)", "MODIFIED", by("CAST(n.p_epsilon AS DOUBLE) < CAST(o.p_epsilon AS DOUBLE)")),
-        ("Privacy", "parameters.k", "CAST(o.p_k AS DOUBLE) <> CAST(n.p_k AS DOUBLE)", "MODIFIED", by("CAST(n.p_k AS DOUBLE) > CAST(o.p_k AS DOUBLE)")),
-        ("Privacy", "parameters", "o.method IS NOT NULL AND n.method IS NOT NULL AND o.params <> n.params AND o.p_epsilon IS NULL AND o.p_k IS NULL", "MODIFIED", "'NEUTRAL'"),
+        ("Retention", "rule", "o.duration_s IS NOT NULL AND n.duration_s IS NULL", "'Defined'", "'None'", "REMOVED", loose, "'Retention rule removed. Data may be kept indefinitely.'"),
+        ("Retention", "rule", "o.duration_s IS NULL AND n.duration_s IS NOT NULL", "'None'", after, "ADDED", tight, f"'Retention rule added. Max duration: ' || {after} || '.'"),
+        ("Retention", "duration", "o.duration_s <> n.duration_s", before, after, "MODIFIED", by("n.duration_s < o.duration_s"), f"'Retention duration changed from ' || {before} || ' to ' || {after} || '.'"),
+        ("Geofencing", "rule", "NOT o.has_geo AND n.has_geo", "'None'", "'Defined'", "ADDED", tight, "'Geofencing rules applied.'"),
+        ("Geofencing", "is_global_ban", "o.ban <> n.ban", shown("o.ban"), shown("n.ban"), "MODIFIED", by("n.ban"), f"'Global Data Ban changed to ' || {shown('n.ban')} || '.'"),
+        *gain("Geofencing", "allowed_regions", "regions", "has_geo", loose, tight, "Allowed regions added", "Allowed regions removed"),
+        flag("training_allowed", "AI Training", "training", "NOT n.training"),
+        flag("fine_tuning_allowed", "AI Fine-Tuning", "tuning", "NOT n.tuning"),
+        flag("rag_allowed", "RAG Usage", "rag", "NOT n.rag"),
+        flag("attribution_required", "Attribution Requirement", "attribution", "n.attribution"),
+        ("AI Rules", "attribution_text", "o.credit <> n.credit", "o.credit", "n.credit", "MODIFIED", "'NEUTRAL'", "'Attribution text content updated.'"),
+        ("Purpose", "rule", "NOT o.has_use AND n.has_use", "'Open'", "'Restricted'", "ADDED", tight, "'Purpose limitation rules applied.'"),
+        ("Purpose", "rule", "o.has_use AND NOT n.has_use", "'Restricted'", "'Open'", "REMOVED", loose, "'Purpose limitation removed. Data can be used for any purpose.'"),
+        *gain("Purpose", "allowed_purposes", "uses", "has_use", loose, tight, "Allowed purposes expanded", "Allowed purposes reduced"),
+        *gain("Purpose", "denied_purposes", "bad_uses", "has_use", tight, loose, "Denied purposes added", "Denied purposes removed"),
+        ("Privacy", "rule", "o.method IS NULL AND n.method IS NOT NULL", "'None'", "n.method_name", "ADDED", tight, "'Privacy method ' || n.method_name || ' applied.'"),
+        ("Privacy", "rule", "o.method IS NOT NULL AND n.method IS NULL", "o.method_name", "'None'", "REMOVED", loose, "'Privacy method ' || o.method_name || ' removed. Data is now raw/unmasked.'"),
+        ("Privacy", "method", "o.method <> n.method", "o.method_name", "n.method_name", "MODIFIED", by("n.method > o.method"), f"{stronger} || o.method_name || ' -> ' || n.method_name || '.'"),
+        setting("epsilon", "<"),
+        setting("k", ">"),
+        ("Privacy", "parameters", "o.method IS NOT NULL AND n.method IS NOT NULL AND o.params <> n.params AND o.p_epsilon IS NULL AND o.p_k IS NULL", "o.params", "n.params", "MODIFIED", "'NEUTRAL'", "'Privacy configuration parameters updated.'"),
     ]
     return " UNION ALL ".join(
-        f"SELECT o.project_id, o.resource_urn, '{c}' AS category, '{f}' AS field, '{kind}' AS change_type, {impact} AS impact FROM o JOIN n USING (project_id, resource_urn) WHERE {where}"
-        for c, f, where, kind, impact in rows
+        f"SELECT o.project_id, o.resource_urn, {i} AS position, '{c}' AS category, '{f}' AS field, CAST({old} AS VARCHAR) AS old_value, CAST({new} AS VARCHAR) AS new_value, "
+        f"'{kind}' AS change_type, {impact} AS impact, {text} AS description FROM o JOIN n USING (project_id, resource_urn) WHERE {where}"
+        for i, (c, f, where, old, new, kind, impact, text) in enumerate(rows)
     )
 
 
 DIFF = f"""WITH {ALL_DOMAINS}, {_suffixed(ALL_DOMAINS)}, {_SIDE.format(side='o', v='', name=METHOD_NAME)}, {_SIDE.format(side='n', v='_v2', name=METHOD_NAME)},
 changes AS ({_change_rows()})"""
+_SHOWN = ["project_id", "resource_urn", "category", "field", "old_value", "new_value", "change_type", "impact", "description"]
 
 
 def _changes(t: Tables) -> DataFrame:
-    return change.diff_policies(policies(t), policies(t, version="v_obligations_v2"))
+    return change.diff_versions(t.resources(), t.obligations(), t.obligations("v_obligations_v2"))
 
 
-@query("g6_policy_diff", f"{DIFF} SELECT * FROM changes")
+@query("g6_policy_diff", f"{DIFF} SELECT {', '.join(_SHOWN)} FROM changes")
 def g6_policy_diff(t: Tables) -> DataFrame:
-    return _changes(t).select("project_id", "resource_urn", "category", "field", "change_type", "impact")
+    return _changes(t).select(*_SHOWN)
+
+
+@query("g6_snapshot_diff", f"{DIFF} SELECT {', '.join(_SHOWN)} FROM changes")
+def g6_snapshot_diff(t: Tables) -> DataFrame:
+    """The same changes from two finished snapshots, as they are read from bundles."""
+    return change.diff_policies(policies(t), policies(t, version="v_obligations_v2")).select(*_SHOWN)
 
 
 @query("g7_risk_delta", f"""{DIFF} SELECT project_id, resource_urn, sum(CASE impact WHEN 'PERMISSIVE' THEN 1 WHEN 'RESTRICTIVE' THEN -1 ELSE 0 END) AS risk_delta, count(*) AS changes FROM changes GROUP BY ALL""")
@@ -158,7 +192,17 @@ def g7_risk_delta(t: Tables) -> DataFrame:
     return change.risk_delta(_changes(t))
 
 
-@query("g8_diff_report")
-def g8_diff_report(t: Tables) -> DataFrame:
-    return change.diff_markdown(_changes(t))
+_ICON = "CASE impact " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in change._ICONS.items()) + " END"
+
 
+@query("g8_diff_report", f"""{DIFF},
+lines AS (SELECT project_id, resource_urn, sum(CASE impact WHEN 'PERMISSIVE' THEN 1 WHEN 'RESTRICTIVE' THEN -1 ELSE 0 END) AS score,
+  string_agg('| **' || category || '** | ' || {_ICON} || ' | `' || field || '` | ' || description || ' |', chr(10) ORDER BY position) AS body FROM changes GROUP BY ALL),
+was AS (SELECT project_id, urn AS resource_urn, count(*) AS n FROM hits GROUP BY ALL), became AS (SELECT project_id, urn AS resource_urn, count(*) AS n FROM hits_v2 GROUP BY ALL)
+SELECT r.project_id, r.urn AS resource_urn, CASE WHEN body IS NULL THEN '{change._NO_CHANGE}' || r.urn || '`.' ELSE
+  '{change._REPORT_TITLE}' || r.urn || '`' || chr(10) || CASE WHEN score > 0 THEN '{change._RISK_UP}' || CAST(score AS BIGINT) || ').' WHEN score < 0 THEN '{change._RISK_DOWN}' || CAST(score AS BIGINT) || ').'
+  ELSE '{change._RISK_LEVEL}' END || chr(10) || chr(10) || '{change._TABLE_HEAD}' || chr(10) || body || chr(10) || chr(10) || '**Contributing Obligations:** ' || coalesce(b.n, 0) || ' (Was: ' || coalesce(w.n, 0) || ')' END AS report
+FROM (SELECT project_id, urn, urn AS resource_urn FROM v_resources) r LEFT JOIN lines l USING (project_id, resource_urn) LEFT JOIN was w USING (project_id, resource_urn) LEFT JOIN became b USING (project_id, resource_urn)""")
+def g8_diff_report(t: Tables) -> DataFrame:
+    """A report for every resource, also of those without a change."""
+    return change.diff_markdown(_changes(t), t.resources().withColumnRenamed("urn", "resource_urn"))

@@ -56,7 +56,8 @@ def e4_mask_ssn(t: Tables) -> DataFrame:
     return _mask(t, {"ssn": "PARTIAL_SSN", "c_acctbal": "PARTIAL_SSN"})
 
 
-@query("e5_mask_noise")
+@query("e5_mask_noise", f"""SELECT c_custkey, c_name, email, ssn, c_acctbal + (CAST('0x' || substr(sha256('7:' || c_custkey), 1, 7) AS BIGINT) / 268435456.0::DOUBLE * 10 - 5) AS c_acctbal, c_mktsegment
+FROM ({_PEOPLE})""")
 def e5_mask_noise(t: Tables) -> DataFrame:
     people = _people(t)
     return P.mask_column(people, "c_acctbal", "NOISE_INT", [], [], noise=P.repeatable_noise(F.col("c_custkey"), seed=7))
