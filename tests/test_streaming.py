@@ -116,3 +116,15 @@ def test_runs(spark, tmp_path):
     rows = lambda df: sorted(tuple(r.asDict().items()) for r in df.select(*batch.columns).collect())
     got = rows(latest_runs(spark.read.parquet(out)))
     assert got == rows(batch) and dict(got[0])["triggered_by"] == "me" and dict(got[0])["success"] is True
+
+
+def test_files_per_batch_are_bounded(spark, tmp_path):
+    """Three files, two at a time, then a project whose folder appears later."""
+    src, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "c")
+    for n in range(3):
+        drop(src, "a", f"{n}.json", [event(i, "a") for i in range(10 * n, 10 * n + 10)])
+    finish(stream_ingest(spark, str(src), out, ckpt, ONCE, max_files=2))
+    drop(src, "b", "0.json", [event(i, "b") for i in range(10)])
+    finish(stream_ingest(spark, str(src), out, ckpt, ONCE, max_files=2))
+    log = spark.read.parquet(f"{out}/log").groupBy("batch_id").agg(F.collect_set("project_id").alias("p"), F.count("*").alias("n"))
+    assert sorted((r.batch_id, tuple(r.p), r.n) for r in log.collect()) == [(0, ("a",), 20), (1, ("a",), 10), (2, ("b",), 10)]

@@ -204,9 +204,8 @@ FROM v_resources r LEFT JOIN retention t USING (project_id, urn) LEFT JOIN geofe
 LEFT JOIN ai a USING (project_id, urn) LEFT JOIN privacy_text p USING (project_id, urn) LEFT JOIN ids i USING (project_id, urn)"""
 
 
-@query("c6_policies", C6)
-def c6_policies(t: Tables) -> DataFrame:
-    return policies(t).select(
+def shown_policies(effective: DataFrame) -> DataFrame:
+    return effective.select(
         "project_id", "resource_urn", "retention.duration_s", joined("geofencing.allowed_regions").alias("allowed_regions"),
         joined("geofencing.blocked_regions").alias("blocked_regions"), "geofencing.is_global_ban",
         joined("purpose.allowed_purposes").alias("allowed_purposes"), joined("purpose.denied_purposes").alias("denied_purposes"),
@@ -215,6 +214,11 @@ def c6_policies(t: Tables) -> DataFrame:
     )
 
 
+@query("c6_policies", C6)
+def c6_policies(t: Tables) -> DataFrame:
+    return shown_policies(policies(t))
+
+
 C7 = f"""WITH {ALL_DOMAINS}
 SELECT project_id, urn AS resource_urn, 'retention' AS domain, winner, source FROM retention UNION ALL
 SELECT project_id, urn, 'geofencing', winner, source FROM geofencing UNION ALL SELECT project_id, urn, 'purpose', winner, source FROM purpose UNION ALL

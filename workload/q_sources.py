@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govspark import fixed_values as fixed
 from govspark.functions import glob_match
+from govspark.session import ensure_checkpoint_dir
 from govspark.sources.audit import append_audit, canonicalize_audit, parse_audit_stream
 from govspark.sources.inventory import build_inventory, normalize_resources, scope_filter, upsert_resources
 from govspark.sources.obligations import normalize_obligations
@@ -16,9 +19,10 @@ from govspark.sources.policy_documents import (
     opa_documents,
     s3_statements,
     statement_documents,
+    write_bundle,
 )
 from govspark.sources.warehouse_lineage import extract_lineage
-from workload.q_policies import ALL_DOMAINS, joined, policies
+from workload.q_policies import ALL_DOMAINS, C6, joined, policies, shown_policies
 from workload.registry import query
 from workload.tables import Tables, as_of
 from workload.views import AS_OF, case_of, quoted
@@ -194,6 +198,16 @@ _LIST = lambda c: f"'[' || CASE WHEN {c} = '' THEN '' ELSE '\"' || replace({c},
 _FLAG = lambda c: f"CASE WHEN {c} THEN 'true' ELSE 'false' END"
 
 
+@query("s10_policy_bundle", C6)
+def s10_policy_bundle(t: Tables) -> DataFrame:
+    """The bundle is written and its documents are read back."""
+    ensure_checkpoint_dir(t.spark)
+    folder = f"{t.spark.sparkContext.getCheckpointDir()}/bundle-{uuid.uuid4().hex}"
+    built = policies(t)
+    write_bundle(built, folder, "all")
+    return shown_policies(t.spark.read.schema(built.schema).json(f"{folder}/policies"))
+
+
 @query("s11_opa_documents", f"""WITH {ALL_DOMAINS}, ids AS (SELECT project_id, urn, string_agg(id, ',' ORDER BY ord) AS ids FROM hits GROUP BY ALL)
 SELECT r.project_id, r.urn AS resource_urn, '{{"resource_urn":"' || r.urn || '","meta":{{"contributing_obligations":' || {_LIST("coalesce(i.ids, '')")} || '}}'
   || coalesce(',"retention":{{"max_seconds":' || t.duration_s || ',"is_indefinite":false,"reason_code":"' || t.source || '"}}', '')
