@@ -112,7 +112,41 @@ def test_addresses_of_both_families(spark):
         ("2001:db8::/32", "2001:db9::1", False), ("::1", "0:0:0:0:0:0:0:1", True), ("::/0", "fe80::1", True), ("::/0", "1.2.3.4", False),
         ("0.0.0.0/0", "::1", False), ("fe80::/10", "febf::", True), ("fe80::/10", "fec0::", False), ("::/0", "1::2::3", False),
         ("::/0", "1:2:3:4:5:6:7", False), ("::/0", "12345::", False), ("::/0", ":1::", False), ("::/0", None, False), (None, "::1", False),
+        ("64:ff9b::/96", "64:ff9b::10.1.2.3", True), ("64:ff9b::10.0.0.0/104", "64:ff9b::a01:203", True), ("::/0", "1:2:3:4:5:6:7:1.2.3.4", False),
+        ("1:2:3:4:5:6:0.0.0.0/112", "1:2:3:4:5:6:0.0.9.9", True), ("::/0", "::1.2.3", False), ("::/0", "::1.2.3.256", False), ("::/0", "::1.2.3.4:5", False),
+        ("10.0.0.0/8", "::ffff:10.9.9.9", True), ("::ffff:10.0.0.0/104", "10.9.9.9", True), ("::ffff:0:0/96", "8.8.8.8", True), ("::ffff:0:0/95", "8.8.8.8", False),
+        ("::/0", "::ffff:1.2.3.4", False), ("0.0.0.0/0", "::ffff:102:304", True), ("10.0.0.0/8", "10.01.2.3", False), ("010.0.0.0/8", "10.1.2.3", False),
     ]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, cidr string, ip string, want boolean")
     wrong = df.withColumn("got", cidr_contains(F.col("cidr"), F.col("ip"))).filter("got <> want").collect()
     assert wrong == []
+
+
+def test_graph_carries_tags_and_edge_ids(spark):
+    import hashlib
+    from datetime import datetime
+
+    from govspark.operators.lineage import lineage_graph
+
+    at = datetime(2024, 1, 30)
+    edges = spark.createDataFrame(
+        [("p", "r1", "urn:a", "urn:b"), (None, "r2", "urn:a", "urn:model:c")], "project_id string, external_run_id string, source_urn string, target_urn string"
+    )
+    runs = spark.createDataFrame(
+        [("p", "r1", "ETL", at, True, ""), (None, "r2", "ETL", at, True, "me")],
+        "project_id string, external_run_id string, run_type string, started_at timestamp, success boolean, triggered_by string",
+    )
+    held = spark.createDataFrame(
+        [("p", "urn:a", "lake", "A", {"env": "prod"}, 1, 1, True), (None, "urn:a", "lake", "N", None, 1, 1, False)],
+        "project_id string, urn string, platform string, name string, tags map<string,string>, sensitivity int, risk_level int, ai_training_allowed boolean",
+    )
+    nodes, shown = lineage_graph(edges, runs, held, datetime(2024, 2, 1))
+    got = {(r.project_id, r.id): (r.label, r.tags, r.is_ai_restricted) for r in nodes.collect()}
+    assert got == {
+        ("p", "urn:a"): ("A", {"env": "prod"}, False), ("p", "urn:b"): ("b", {}, False),
+        (None, "urn:a"): ("N", {}, True), (None, "urn:model:c"): ("c", {}, False),
+    }
+    ids = {r.run_id: r.id for r in shown.collect()}
+    assert ids["r1"] == hashlib.sha256(b"p|r1|urn:a|urn:b").hexdigest() and len(ids) == 2
+    bare, _ = lineage_graph(edges, runs, held.drop("tags"), datetime(2024, 2, 1))
+    assert {len(r.tags) for r in bare.collect()} == {0}

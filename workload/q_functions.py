@@ -137,6 +137,17 @@ def x13_cidr(t: Tables) -> DataFrame:
     return t.base("events").selectExpr("event_id", f"{_IP} AS ip").withColumn("inside", G.ip_in_cidrs(F.col("ip"), blocks))
 
 
+_IP6 = f"CASE event_id % 2 WHEN 0 THEN '::ffff:' ELSE '64:ff9b::' END || {_IP}"
+
+
+@query("x13_cidr_dotted", f"""SELECT event_id, {_IP6} AS ip, user_id * 7 % 300 < 256 AND ((event_id % 2 = 0 AND event_id % 3 = 0 AND user_id % 256 < 128)
+  OR (event_id % 2 = 0 AND event_id % 3 = 1 AND user_id % 256 = 7) OR (event_id % 2 = 1 AND event_id % 3 = 2 AND user_id % 256 < 64)) AS inside FROM events""")
+def x13_cidr_dotted(t: Tables) -> DataFrame:
+    """IPv6 addresses that end like IPv4 ones, half of them mapped IPv4 addresses."""
+    blocks = F.array(F.lit("10.0.0.0/9"), F.lit("::ffff:15.7.0.0/112"), F.lit("64:ff9b::20.0.0.0/106"))
+    return t.base("events").selectExpr("event_id", f"{_IP6} AS ip").withColumn("inside", G.ip_in_cidrs(F.col("ip"), blocks))
+
+
 _REGION = case_of("c_custkey % 6", *quoted("DE", "US", "fr", "HR", "GB"), "NULL")
 
 

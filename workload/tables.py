@@ -143,7 +143,7 @@ class Tables:
         return self.view("v_lineage_events").select("project_id", "external_run_id", "source_urn", "target_urn")
 
     def lineage_resources(self) -> DataFrame:
-        return self.view("v_lineage_resources")
+        return self.view("v_lineage_resources").withColumn("tags", present_map({"brand": F.col("tag_brand")})).drop("tag_brand")
 
     def inventory(self) -> DataFrame:
         from govspark.sources.inventory import build_inventory

@@ -235,10 +235,11 @@ def v_run_signals(d: Dialect) -> str:
 def v_lineage_resources(d: Dialect) -> str:
     rows = [
         f"SELECT 'p{p}' AS project_id, 'urn:part:' || p_partkey AS urn, 'warehouse' AS platform, p_name AS name, "
-        "CAST(p_size % 5 AS INT) AS sensitivity, CAST(p_partkey % 4 AS INT) AS risk_level, p_partkey % 170 <> 0 AS ai_training_allowed FROM part"
+        "CAST(p_size % 5 AS INT) AS sensitivity, CAST(p_partkey % 4 AS INT) AS risk_level, p_partkey % 170 <> 0 AS ai_training_allowed, "
+        "CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS tag_brand FROM part"
         for p in range(3)
     ] + [
-        f"SELECT 'p{p}', 'urn:supplier:' || s_suppkey, 'vendor', '', CAST(s_suppkey % 3 AS INT), CAST(s_suppkey % 5 AS INT), s_suppkey % 40 <> 0 FROM supplier"
+        f"SELECT 'p{p}', 'urn:supplier:' || s_suppkey, 'vendor', '', CAST(s_suppkey % 3 AS INT), CAST(s_suppkey % 5 AS INT), s_suppkey % 40 <> 0, CAST(NULL AS VARCHAR(9)) FROM supplier"
         for p in range(3)
     ]
     return " UNION ALL ".join(rows)
