@@ -10,7 +10,8 @@ Which texts can matter to which automaton is found first, by hashes, so that no
 2. Regions. Windows whose anchor occurs more than once, merged to stretches; their words are stored.
 3. First windows. The hash of each window of a region; the first (doc_id, start) of those that occur more than once. This
    is where each repeated window belongs. Counting and first places are combined before rows move.
-4. Automata. Windows that are first make up the reference, cut into shards by the document they lie in. A shard's
+4. Automata. Windows that are first make up the reference, cut into shards by the document and the block of 4,096 starts they
+   lie in, so that a long document is spread over many. A shard's
    automaton is built over the words themselves, in reading order, so that its states know where their words occur
    first. The stretches that repeat windows of that shard stream through it; wherever at least 20 words match and the
    first place is an earlier one, those words go. Shards asked for by many stretches are sent to as many tasks as those
@@ -22,38 +23,92 @@ Hashes only choose what is compared; words are compared in step 4. (A window is
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govspark.llm.common import Scratch, collision_free, renewed, table
 from govspark.llm.registry import query
 
-WINDOW, GRAM = 20, 6
+WINDOW, GRAM, BLOCK = 20, 6, 4096
 SHARD_WINDOWS, TASK_WORDS = 50_000, 400_000
 _MULTIPLIER, _MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_KNOWN = 200_000
+_PIECE = 1 << 18
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_DRAWN = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 64, 256, np.uint64)
 _LEAST = -(1 << 63)
 
 
-class _Hashes(dict):
-    """Hashes of the words met so far, forgotten when there are too many."""
+def _positions(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all rows one after another, where each word begins and ends in them, and the first word of each row.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KNOWN:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
+    The last list has one entry more, the number of words. A null has no words.
+    """
+    texts = texts.cast(pa.large_binary())
+    if texts.null_count:
+        texts = texts.fill_null(b"")
+    rows, data = texts.buffers()[1:]
+    if not len(texts) or data is None:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), none, none, np.zeros(len(texts) + 1, np.int64)
+    rows = np.frombuffer(rows, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[rows[0] : rows[-1]]
+    rows = rows - rows[0]
+    inner = rows[(rows > 0) & (rows < len(raw))]
+    inside = np.ones(len(raw) + 2, np.bool_)
+    inside[0] = inside[-1] = False
+    np.logical_not(_SPACE[raw], out=inside[1:-1])
+    begins, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    begins[inner] = inside[1 + inner]
+    ends[inner - 1] = inside[inner]
+    begin, end = np.nonzero(begins)[0], np.nonzero(ends)[0] + 1
+    return raw, begin, end, np.searchsorted(begin, rows)
+
+
+@functools.cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the multiplier and of its inverse, modulo 2^64."""
+    up, down = np.full(size, _MULTIPLIER), np.full(size, np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of all rows, and the first word of each row (with the number of words at the end).
+
+    A word's hash is the sum of a drawn number for each byte times a power for its place, so differences of running sums give
+    the hashes of all words at once. A piece of a few hundred kilobytes (or one word, if longer) is worked on at a time.
+    """
+    raw, begin, end, starts = _positions(texts)
+    out = np.empty(len(begin), np.uint64)
+    at = 0
+    while at < len(begin):
+        base = begin[at]
+        to = max(at + 1, int(np.searchsorted(end, base + _PIECE, side="right")))
+        size = int(end[to - 1] - base)
+        up, down = _powers(max(_PIECE, 1 << size.bit_length()))
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_DRAWN[raw[base : base + size]] * up[:size], out=sums[1:])
+        b = begin[at:to] - base
+        out[at:to] = (sums[end[at:to] - base] - sums[b]) * down[b]
+        at = to
+    out ^= out >> np.uint64(32)
+    out *= _MIXER
+    out ^= out >> np.uint64(29)
+    return out, starts
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def _slices(parts: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
 
 
 def _rolled(h: np.ndarray, width: int) -> np.ndarray:
@@ -69,15 +124,9 @@ def _rolled(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _hashed(rows: list[list[bytes]], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all rows one after another, and where each row starts (with the end of the last)."""
-    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-    return np.array([hashes[w] for r in rows for w in r], np.uint64), starts
-
-
 def _in_one_row(starts: np.ndarray, windows: int) -> np.ndarray:
     """Row of each window that doesn't reach into the next row, else -1."""
-    row = np.searchsorted(starts, np.arange(windows), side="right") - 1
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[:windows]
     return np.where(np.arange(windows) + WINDOW <= starts[row + 1], row, -1)
 
 
@@ -96,27 +145,24 @@ def anchors(docs: DataFrame) -> DataFrame:
     """anchor, doc, span of each run of windows with the same anchor; span is 16 times the first start plus the others' number."""
 
     def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for whole in parts:
-            for at in range(0, whole.num_rows, 256):
-                part = whole.slice(at, 256)
-                h, starts = _hashed([_words(t) for t in part["text"].to_pylist()], hashes)
-                if len(h) < WINDOW:
-                    continue
-                g = _rolled(h, GRAM)
-                least = _least(g, WINDOW - GRAM + 1)
-                row = _in_one_row(starts, len(least))
-                new = np.ones(len(least) + 1, np.bool_)
-                new[1:-1] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
-                first = np.nonzero(new)[0]
-                size, first = np.diff(first), first[:-1]
-                fine = row[first] >= 0
-                size, first = size[fine], first[fine]
-                doc = np.asarray(part["doc"])[row[first]]
-                span = (first - starts[row[first]]) * 16 + size - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g[least[first]].view(np.int64)), pa.array(doc), pa.array(span.astype(np.int64))], ["anchor", "doc", "span"]
-                )
+        for part in _slices(parts):
+            h, starts = _hashed(part["text"])
+            if len(h) < WINDOW:
+                continue
+            g = _rolled(h, GRAM)
+            least = _least(g, WINDOW - GRAM + 1)
+            row = _in_one_row(starts, len(least))
+            new = np.ones(len(least) + 1, np.bool_)
+            new[1:-1] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+            first = np.nonzero(new)[0]
+            size, first = np.diff(first), first[:-1]
+            fine = row[first] >= 0
+            size, first = size[fine], first[fine]
+            doc = np.asarray(part["doc"])[row[first]]
+            span = (first - starts[row[first]]) * 16 + size - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(g[least[first]].view(np.int64)), pa.array(doc), pa.array(span.astype(np.int64))], ["anchor", "doc", "span"]
+            )
 
     return docs.mapInArrow(find, "anchor long, doc long, span long")
 
@@ -125,23 +171,23 @@ def regions(docs: DataFrame) -> DataFrame:
     """doc, text_hash, start, words of the stretches that ``spans`` cover."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            out = []
-            for doc, mark, text, spans in zip(*(part[c].to_pylist() for c in ("doc", "text_hash", "text", "spans")), strict=True):
-                words = _words(text)
-                n = len(words) - WINDOW + 1
-                if n < 1:
-                    continue
-                spans = np.array(spans, np.int64)
-                lo, size = np.minimum(spans >> 4, n), (spans & 15) + 1
-                step = np.zeros(n + 1, np.int64)
-                np.add.at(step, lo, 1)
-                np.add.at(step, np.minimum(lo + size, n), -1)
-                inside = np.concatenate([[0], np.cumsum(step[:-1]) > 0, [0]])
-                for a, b in zip(np.nonzero(np.diff(inside) == 1)[0], np.nonzero(np.diff(inside) == -1)[0], strict=True):
-                    out.append((doc, mark, int(a), b" ".join(words[a : b + WINDOW - 1])))
-            doc, mark, start, words = zip(*out, strict=True) if out else ((), (), (), ())
-            arrays = [pa.array(doc, pa.int64()), pa.array(mark, pa.int64()), pa.array(start, pa.int64()), pa.array(words, pa.binary())]
+        for part in _slices(parts):
+            raw, begin, end, starts = _positions(part["text"])
+            count = np.maximum(np.diff(starts) - WINDOW + 1, 0)
+            spans, ends = _list(part["spans"])
+            row = np.repeat(np.arange(part.num_rows), np.diff(ends))
+            lo = np.minimum(spans >> 4, count[row])
+            hi = np.minimum(lo + (spans & 15) + 1, count[row])
+            size = len(begin) + 1
+            step = np.bincount(starts[row] + lo, minlength=size) - np.bincount(starts[row] + hi, minlength=size)
+            # The windows that reach into the next row are never inside, so no stretch does.
+            inside = np.concatenate([[0], np.cumsum(step) > 0, [0]])
+            a, b = np.nonzero(np.diff(inside) == 1)[0], np.nonzero(np.diff(inside) == -1)[0]
+            row = np.searchsorted(starts, a, side="right") - 1
+            data = raw.tobytes()
+            words = [data[x:y] for x, y in zip(begin[a].tolist(), end[b + WINDOW - 2].tolist(), strict=True)]
+            doc, mark = (pa.array(np.asarray(part[c])[row], pa.int64()) for c in ("doc", "text_hash"))
+            arrays = [doc, mark, pa.array(a - starts[row], pa.int64()), pa.array(words, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "text_hash", "start", "words"])
 
     return docs.mapInArrow(cut, "doc long, text_hash long, start long, words binary")
@@ -151,18 +197,15 @@ def windows(found: DataFrame) -> DataFrame:
     """hash, doc, start of every window of the regions."""
 
     def roll(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for whole in parts:
-            for at in range(0, whole.num_rows, 256):
-                part = whole.slice(at, 256)
-                h, starts = _hashed([w.split() for w in part["words"].to_pylist()], hashes)
-                rolled = _rolled(h, WINDOW)
-                row = _in_one_row(starts, len(rolled))
-                fine = np.nonzero(row >= 0)[0]
-                row = row[fine]
-                start = np.asarray(part["start"])[row] + fine - starts[row]
-                arrays = [pa.array(rolled[fine].view(np.int64)), pa.array(np.asarray(part["doc"])[row]), pa.array(start)]
-                yield pa.RecordBatch.from_arrays(arrays, ["hash", "doc", "start"])
+        for part in _slices(parts):
+            h, starts = _hashed(part["words"])
+            rolled = _rolled(h, WINDOW)
+            row = _in_one_row(starts, len(rolled))
+            fine = np.nonzero(row >= 0)[0]
+            row = row[fine]
+            start = np.asarray(part["start"])[row] + fine - starts[row]
+            arrays = [pa.array(rolled[fine].view(np.int64)), pa.array(np.asarray(part["doc"])[row]), pa.array(start)]
+            yield pa.RecordBatch.from_arrays(arrays, ["hash", "doc", "start"])
 
     return found.select("doc", "start", "words").mapInArrow(roll, "hash long, doc long, start long")
 
@@ -170,6 +213,12 @@ def windows(found: DataFrame) -> DataFrame:
 _RUN = ["start", "size", "first_doc", "first_start"]
 
 
+def _list(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all rows one after another, and where each row's begin."""
+    ends = np.asarray(lists.offsets)
+    return np.asarray(lists.flatten()), ends - ends[0]
+
+
 def _flat(lists: pa.ListArray, fields: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """The fields of all structs of a list column one after another, and where each row's begin."""
     flat, ends = lists.flatten(), np.asarray(lists.offsets)
@@ -177,7 +226,7 @@ def _flat(lists: pa.ListArray, fields: list[str]) -> tuple[list[np.ndarray], np.
 
 
 def runs(grouped: DataFrame) -> DataFrame:
-    """doc, runs: neighbouring windows whose first places are neighbours too, as (start, size, first_doc, first_start)."""
+    """doc, runs: neighbouring windows whose first places are neighbours in one block too, as (start, size, first_doc, first_start)."""
 
     def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -186,7 +235,7 @@ def runs(grouped: DataFrame) -> DataFrame:
             order = np.lexsort((first_start, first_doc, start, row))
             r, s, d, f = row[order], start[order], first_doc[order], first_start[order]
             new = np.ones(len(s), np.bool_)
-            new[1:] = (np.diff(r) != 0) | (np.diff(s) != 1) | (np.diff(d) != 0) | (np.diff(f) != 1)
+            new[1:] = (np.diff(r) != 0) | (np.diff(s) != 1) | (np.diff(d) != 0) | (np.diff(f) != 1) | (np.diff(f // BLOCK) != 0)
             at = np.nonzero(new)[0]
             size = np.diff(np.append(at, len(s)))
             flat = pa.StructArray.from_arrays([pa.array(x) for x in (s[at], size, d[at], f[at])], _RUN)
@@ -196,30 +245,39 @@ def runs(grouped: DataFrame) -> DataFrame:
     return grouped.mapInArrow(merge, f"doc long, runs array<struct<{', '.join(c + ': long' for c in _RUN)}>>")
 
 
+def _shard(doc: np.ndarray, start: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a document's block of windows, so that neither long documents nor patterns in ids fill one shard."""
+    h = doc.astype(np.int64).view(np.uint64) * _MULTIPLIER + (start // BLOCK).astype(np.uint64)
+    for _ in range(2):
+        h = (h ^ (h >> np.uint64(32))) * _MIXER
+    return ((h >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
+
+
 def pieces(found: DataFrame, shards: int) -> DataFrame:
     """reference, shard, doc, text_hash, start, words: parts of the regions that make up a shard or have to go through it."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in _slices(parts):
             out: list[tuple] = []
             (start, size, first_doc, first_start), ends = _flat(part["runs"], _RUN)
-            regions_ = zip(*(part[c].to_pylist() for c in ("doc", "text_hash", "start", "words")), strict=True)
-            for k, (doc, mark, at, raw) in enumerate(regions_):
-                words = raw.split()
-                last = at + len(words) - WINDOW
+            raw, begin, end_of, words = _positions(part["words"])
+            data = raw.tobytes()
+            for k, (doc, mark, at) in enumerate(zip(*(part[c].to_pylist() for c in ("doc", "text_hash", "start")), strict=True)):
+                last = at + int(words[k + 1] - words[k]) - WINDOW
                 lo, hi = ends[k] + np.searchsorted(start[ends[k] : ends[k + 1]], (at, last + 1))
                 if lo == hi:
                     continue
-                s, d = start[lo:hi], first_doc[lo:hi]
+                s, d, f = start[lo:hi], first_doc[lo:hi], first_start[lo:hi]
                 end = np.minimum(s + size[lo:hi], last + 1)
-                own = (d == doc) & (first_start[lo:hi] == s)
-                shard = d % shards
+                own = (d == doc) & (f == s)
+                shard = _shard(d, f, shards)
                 new = np.ones(len(s), np.bool_)
                 new[1:] = (own[1:] != own[:-1]) | (shard[1:] != shard[:-1]) | (s[1:] > end[:-1])
                 b = np.nonzero(new)[0]
                 ends_at = np.maximum.reduceat(end, b)
+                origin = int(words[k]) - at
                 for is_own, to, a, z in zip(own[b].tolist(), shard[b].tolist(), s[b].tolist(), ends_at.tolist(), strict=True):
-                    out.append((is_own, to, doc, mark, a, b" ".join(words[a - at : z - at + WINDOW - 1])))
+                    out.append((is_own, to, doc, mark, a, data[begin[origin + a] : end_of[origin + z + WINDOW - 2]]))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["reference", "shard", "doc", "text_hash", "start", "words"]
@@ -372,28 +430,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts, counts, removed, digests = [], [], [], []
-            for text, out in zip(part.column(at).to_pylist(), part.column(len(part.columns) - 1).to_pylist(), strict=True):
-                words = _words(text)
-                flags = _gone(len(words), out or [])
-                if flags.any():
-                    raw, kept, place = text.encode("utf-8", "surrogatepass"), [], 0
-                    begin = []
-                    for w in words:
-                        place = raw.index(w, place)
-                        begin.append(place)
-                        place += len(w)
-                    begin.append(len(raw))
-                    kept = [raw[begin[i] : begin[i + 1]] for i in np.nonzero(~flags)[0]]
-                    text = b"".join(kept).decode("utf-8", "surrogatepass")
-                    words = [words[i] for i in np.nonzero(~flags)[0]]
-                texts.append(text)
-                counts.append(len(flags))
-                removed.append(int(flags.sum()))
+        for part in _slices(parts):
+            raw, begin, end, starts = _positions(part.column(at))
+            data, texts, changed, removed, digests = raw.tobytes(), [], [], [], []
+            for k, out in enumerate(part.column(len(part.columns) - 1).to_pylist()):
+                a, z = int(starts[k]), int(starts[k + 1])
+                words = data[begin[a] : end[z - 1]].split() if a < z else []
+                flags = _gone(z - a, out) if out else None
+                changed.append(flags is not None and bool(flags.any()))
+                if changed[-1]:
+                    # The white space after the last word is the end of the row's text.
+                    text = part.column(at)[k].as_py().encode("utf-8", "surrogatepass")
+                    lead = len(text) - len(text.lstrip(b" \t\n\v\f\r"))
+                    cuts = [*(begin[a:z] - begin[a] + lead).tolist(), len(text)]
+                    stay = np.nonzero(~flags)[0].tolist()
+                    texts.append(b"".join([text[cuts[i] : cuts[i + 1]] for i in stay]).decode("utf-8", "surrogatepass"))
+                    words = [words[i] for i in stay]
+                removed.append(int(flags.sum()) if flags is not None else 0)
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            counts = np.diff(starts)
             columns = list(part.columns[:-1])
-            columns[at] = pa.array(texts, columns[at].type)
+            if texts:
+                columns[at] = pc.replace_with_mask(columns[at], pa.array(changed), pa.array(texts, columns[at].type))
             new = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, *new], [*part.schema.names[:-1], "n_words", "n_removed", "kept_sha256"])
 
