@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from govspark import fixed_values as fixed
 from govspark.functions import uuid5_dns
@@ -174,6 +175,108 @@ def _number_chunks(placed: DataFrame, df: DataFrame, keys: list[str], order: str
 # --- vectors -----------------------------------------------------------------
 
 
+MAX_PIVOTS = 1024
+
+
+def _unit(vectors) -> np.ndarray:
+    a = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+
+
+def _cells(side: DataFrame, pivots: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Adds the cell (number of the nearest pivot of like length, -1 without one) and the angle to that pivot."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cell, angle = np.full(len(batch), -1), np.zeros(len(batch))
+            lengths = batch["f_length"].to_numpy()
+            for length in set(lengths.tolist()) & set(pivots):
+                rows = np.nonzero(lengths == length)[0]
+                numbers, known = pivots[length]
+                unit = _unit(batch["v"].iloc[rows])
+                good = np.isfinite(unit).all(axis=1) & (np.abs(unit).max(axis=1) > 0)
+                cosine = unit[good] @ known.T
+                nearest = cosine.argmax(axis=1)
+                cell[rows[good]] = numbers[nearest]
+                angle[rows[good]] = np.arccos(np.clip(cosine[np.arange(len(nearest)), nearest], -1, 1))
+            yield batch.assign(cell=cell, angle=angle)
+
+    return side.mapInPandas(place, T.StructType([*side.schema, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
+
+
+def _packed(placed: DataFrame, id_col: str, names: list[str], block_rows: int, prefix: str) -> tuple[DataFrame, dict[int, float]]:
+    """Blocks of near ``block_rows`` vectors of one cell with their radius, and the radius of each cell."""
+    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()  # a row per pivot
+    parts = [1] * (MAX_PIVOTS + 1)
+    for r in stats:
+        parts[r.cell + 1] = -(-r.n // block_rows)
+    part = F.pmod(F.xxhash64(id_col), F.array(*map(F.lit, parts[: max((r.cell for r in stats), default=-1) + 2]))[F.col("cell") + 1])
+    blocks = placed.groupBy(*names, F.col("cell").alias(f"{prefix}_cell"), part.alias(f"{prefix}_part")).agg(
+        F.max("angle").alias(f"{prefix}_radius"), F.collect_list(F.struct(F.col(id_col).alias("id"), "v")).alias(prefix)
+    )
+    blocks = blocks.select(
+        *names, f"{prefix}_cell", f"{prefix}_part", f"{prefix}_radius", F.transform(prefix, lambda s: s["id"]).alias(f"{prefix}_ids"),
+        F.flatten(F.transform(prefix, lambda s: s["v"])).alias(f"{prefix}_v"),
+    )
+    return materialize(blocks), {r.cell: r.radius for r in stats}
+
+
+def vector_blocks(
+    queries: DataFrame, corpus: DataFrame, threshold: float, filters: dict[str, str] | None = None, block_rows: int = 4096
+) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """Blocks of both sides, the pairs of blocks that may hold a cosine at or above the threshold, and the columns they share.
+
+    A block holds vectors nearest to one of at most ``MAX_PIVOTS`` vectors drawn from the corpus. By the triangle inequality of angles
+    no cosine of a pair exceeds that of the angle between its pivots less both radii (``bound``).
+    """
+    filters = filters or {}
+    names = [f"f{i}" for i in range(len(filters))]
+    usable = (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())
+
+    def side(df: DataFrame, id_col: str, keys) -> DataFrame:
+        picked = df.select(F.col(id_col), F.col("vector").alias("v"), *[F.col(c).cast("string").alias(n) for n, c in zip(names, keys)])
+        return picked.filter(usable).dropna(subset=names).withColumn("f_length", F.size("v"))
+
+    q, c = side(queries, "query_id", filters.values()), side(corpus, "corpus_id", filters)
+    names = [*names, "f_length"]
+    wanted = min(MAX_PIVOTS, max(1, -(-c.count() // block_rows)))
+    drawn: dict[int, list] = {}
+    for n, r in enumerate(c.orderBy(F.xxhash64("corpus_id")).select("v", "f_length").limit(wanted).collect()):
+        drawn.setdefault(r.f_length, []).append((n, r.v))
+    pivots = {}
+    for length, rows in drawn.items():
+        unit = _unit([v for _, v in rows])
+        good = np.isfinite(unit).all(axis=1) & (np.abs(unit).max(axis=1) > 0)
+        if good.any():
+            pivots[length] = (np.array([n for n, _ in rows])[good], unit[good])
+    q_blocks, _ = _packed(materialize(_cells(q, pivots)), "query_id", names, block_rows, "q")
+    c_blocks, c_radius = _packed(materialize(_cells(c, pivots)), "corpus_id", names, block_rows, "c")
+    least = np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each block of queries with the cells it may have to meet and the angle between the pivots."""
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                numbers, known = pivots.get(row["f_length"], (np.zeros(0, np.int64), np.zeros((0, row["f_length"]))))
+                mine = np.nonzero(numbers == row["q_cell"])[0]
+                between = np.arccos(np.clip(known @ known[mine[0]], -1, 1)) if len(mine) else np.zeros(len(numbers))
+                radius = np.array([c_radius.get(int(n), -np.inf) for n in numbers])
+                meet = between - radius - row["q_radius"] <= least if len(mine) else radius >= 0
+                cells = [(-1, 0.0), *zip(numbers[meet].tolist(), between[meet].tolist(), strict=True)]
+                yield pd.DataFrame([{**row, "c_cell": n, "between": x} for n, x in cells])
+
+    asked = q_blocks.select(*names, "q_cell", "q_part", "q_radius")
+    meeting = T.StructType([*asked.schema, T.StructField("c_cell", T.IntegerType()), T.StructField("between", T.DoubleType())])
+    reached = asked.mapInPandas(near, meeting)
+    pairs = reached.join(c_blocks.select(*names, "c_cell", "c_part", "c_radius"), [*names, "c_cell"])
+    # Without a pivot on one side nothing is known of the angle.
+    apart = F.when((F.col("q_cell") < 0) | (F.col("c_cell") < 0), 0.0).otherwise(
+        F.greatest(F.lit(0.0), F.col("between") - F.col("q_radius") - F.col("c_radius") - 1e-6)
+    )
+    pairs = pairs.withColumn("bound", F.cos(apart)).filter(F.col("bound") >= threshold)
+    return q_blocks, c_blocks, pairs.drop("between", "q_radius", "c_radius"), names
+
+
 def vector_topk(
     queries: DataFrame,
     corpus: DataFrame,
@@ -184,61 +287,48 @@ def vector_topk(
 ) -> DataFrame:
     """(query_id, corpus_id, score, rank): exact cosine top-k at or above the threshold.
 
-    Both sides are packed into blocks of vectors, every query block meets every corpus block, and a pair
-    of blocks is one matrix product that keeps at most k rows per query. ``filters`` maps corpus columns
-    to query columns that must be equal; they become the join key, so only like blocks meet. Vectors of
-    different lengths don't meet either, and null vectors or ones with a null component take no part.
+    Both sides are packed into blocks of near vectors. Each block of queries meets its most promising block first; the worst kth score
+    found there, or the threshold, then excludes all blocks whose bound is lower. A pair of blocks is one matrix product that
+    keeps at most k rows per query. ``filters`` maps corpus columns to query columns that must be equal; they become the join key, so
+    only like blocks meet. Vectors of different lengths don't meet either, and null or empty vectors or ones with a null component take no part.
     """
-    filters = filters or {}
-    names = [f"f{i}" for i in range(len(filters))]
-    q = queries.select(
-        F.col("query_id"), F.col("vector").alias("v"), *[F.col(c).cast("string").alias(n) for n, c in zip(names, filters.values())]
-    )
-    c = corpus.select(
-        F.col("corpus_id"), F.col("vector").alias("v"), *[F.col(x).cast("string").alias(n) for n, x in zip(names, filters)]
-    )
-    usable = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
-    q, c = (side.filter(usable).withColumn("f_length", F.size("v")) for side in (q, c))
-    names = [*names, "f_length"]
-
-    def blocks(df: DataFrame, id_col: str, prefix: str) -> tuple[DataFrame, int]:
-        # The number of blocks follows from a count, so a block stays near `block_rows` vectors.
-        n = max(1, -(-df.count() // block_rows))
-        block = F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
-        packed = df.groupBy(*names, block.alias(f"{prefix}_block")).agg(
-            F.collect_list(F.struct(F.col(id_col).alias("id"), F.col("v").alias("v"))).alias(prefix)
-        )
-        return packed.select(
-            *names, f"{prefix}_block", F.transform(prefix, lambda s: s["id"]).alias(f"{prefix}_ids"),
-            F.flatten(F.transform(prefix, lambda s: s["v"])).alias(f"{prefix}_v"),
-        ), n
-
-    q_blocks, n_q = blocks(q, "query_id", "q")
-    c_blocks, _ = blocks(c, "corpus_id", "c")
-    spread = c_blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    pairs = spread.join(q_blocks, [*names, "q_block"]).select("q_ids", "q_v", "c_ids", "c_v")
+    q_blocks, c_blocks, pairs, names = vector_blocks(queries, corpus, threshold, filters, block_rows)
+    q_key, c_key = [*names, "q_cell", "q_part"], ["c_cell", "c_part"]
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for q_ids, q_v, c_ids, c_v in batch.itertuples(index=False, name=None):
-                a = np.asarray(q_v, dtype=np.float64).reshape(len(q_ids), -1)
-                b = np.asarray(c_v, dtype=np.float64).reshape(len(c_ids), -1)
-                a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
-                b = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+            for cell, part, q_ids, q_v, c_ids, c_v in batch.itertuples(index=False, name=None):
+                a = _unit(np.asarray(q_v, dtype=np.float64).reshape(len(q_ids), -1))
+                b = _unit(np.asarray(c_v, dtype=np.float64).reshape(len(c_ids), -1))
                 scores = a @ b.T
                 rows, cols = np.nonzero(scores >= threshold)
                 if not len(rows):
                     continue
                 found = pd.DataFrame(
-                    {"query_id": np.asarray(q_ids)[rows], "corpus_id": np.asarray(c_ids)[cols], "score": scores[rows, cols]}
+                    {"q_cell": cell, "q_part": part, "query_id": np.asarray(q_ids)[rows], "corpus_id": np.asarray(c_ids)[cols], "score": scores[rows, cols]}
                 )
                 found = found.sort_values(["query_id", "score", "corpus_id"], ascending=[True, False, True])
                 yield found.groupby("query_id", sort=False).head(k)
 
-    q_type, c_type = (df.schema[n].dataType.simpleString() for df, n in ((q, "query_id"), (c, "corpus_id")))
-    partial = pairs.mapInPandas(best, f"query_id {q_type}, corpus_id {c_type}, score double")
+    types = [df.schema[n].dataType.simpleString() for df, n in ((queries, "query_id"), (corpus, "corpus_id"), (q_blocks, "q_part"))]
+    schema = f"q_cell int, q_part {types[2]}, query_id {types[0]}, corpus_id {types[1]}, score double"
+
+    def scored(which: DataFrame) -> DataFrame:
+        met = which.join(q_blocks.drop("q_radius"), q_key).join(c_blocks.drop("c_radius"), [*names, *c_key])
+        return met.select("q_cell", "q_part", "q_ids", "q_v", "c_ids", "c_v").mapInPandas(best, schema)
+
+    home = pairs.groupBy(*q_key).agg(F.max(F.struct("bound", *c_key)).alias("home")).select(*q_key, *[f"home.{c}" for c in c_key])
+    first = materialize(scored(home))
+    # The worst kth score of a block: of its queries that have k so far; if any has fewer, the threshold stays.
+    kth = first.groupBy("q_cell", "q_part", "query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") >= k)
+    kth = kth.groupBy("q_cell", "q_part").agg(F.count("*").alias("full"), F.min("score").alias("worst"))
+    sizes = q_blocks.groupBy("q_cell", "q_part").agg(F.sum(F.size("q_ids")).alias("size"))
+    kth = kth.join(sizes, ["q_cell", "q_part"]).filter(F.col("full") == F.col("size")).select("q_cell", "q_part", "worst")
+    rest = pairs.join(home, [*q_key, *c_key], "left_anti").join(kth, ["q_cell", "q_part"], "left")
+    rest = rest.filter(F.col("worst").isNull() | (F.col("bound") >= F.col("worst") - 1e-9)).drop("bound", "worst")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "corpus_id"))
-    return partial.withColumn("rank", rank).filter(F.col("rank") <= k)
+    found = first.unionByName(scored(rest)).select("query_id", "corpus_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def ground_chunks(

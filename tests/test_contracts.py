@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from govspark.operators.contracts import chunk_elements, pack_greedily, vector_topk, verify_quotes
+from govspark.operators.contracts import chunk_elements, pack_greedily, vector_blocks, vector_topk, verify_quotes
 from govspark.operators.ordered import running
 
 
@@ -64,10 +65,31 @@ def test_topk_does_not_depend_on_blocks(spark):
     assert rows(4096) == rows(16)
 
 
+def test_blocks_of_far_clusters_dont_meet(spark):
+    """Clusters about distinct axes: most pairs of blocks are excluded, and the answers are those of all pairs."""
+    rng = random.Random(5)
+    near = lambda i: [rng.gauss(0, 0.05) + (3.0 if j == i % 12 else 0.0) for j in range(12)]
+    known, asked = [(i, near(i)) for i in range(600)], [(i, near(i)) for i in range(120)]
+    known += [(900, [0.0] * 12), (901, known[0][1]), (902, known[0][1])]
+    queries = spark.createDataFrame([*asked, (500, [0.0] * 12)], "query_id bigint, vector array<double>")
+    corpus = spark.createDataFrame(known, "corpus_id bigint, vector array<double>")
+    q_blocks, c_blocks, pairs, _ = vector_blocks(queries, corpus, 0.5, block_rows=16)
+    assert pairs.count() < 0.5 * q_blocks.count() * c_blocks.count()
+    unit = lambda rows: np.array([v for _, v in rows]) / np.maximum(np.linalg.norm([v for _, v in rows], axis=1, keepdims=True), 1e-300)
+    scores = unit(asked) @ unit(known).T
+    for threshold in (0.5, 0.0):
+        got = {}
+        for r in vector_topk(queries, corpus, 4, threshold, block_rows=16).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.score)
+        for i, row in enumerate(scores):
+            assert np.allclose(got[i], sorted(row[row >= threshold], reverse=True)[:4], atol=1e-9)
+        assert (500 in got) == (threshold <= 0)
+
+
 def test_vectors_that_are_null_or_of_another_length_take_no_part(spark):
     schema = "vector array<double>"
-    queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [1.0, 0.0, 0.0]), (3, [1.0, None])], f"query_id bigint, {schema}")
-    corpus = spark.createDataFrame([(10, [1.0, 0.1]), (11, None), (12, [0.0, 1.0, 0.0]), (13, [1.0, 0.0, 0.1])], f"corpus_id bigint, {schema}")
+    queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [1.0, 0.0, 0.0]), (3, [1.0, None]), (4, [])], f"query_id bigint, {schema}")
+    corpus = spark.createDataFrame([(10, [1.0, 0.1]), (11, None), (12, [0.0, 1.0, 0.0]), (13, [1.0, 0.0, 0.1]), (14, [])], f"corpus_id bigint, {schema}")
     assert sorted((r.query_id, r.corpus_id) for r in vector_topk(queries, corpus, 4, 0.1).collect()) == [(0, 10), (2, 13)]
 
 
