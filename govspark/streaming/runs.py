@@ -1,28 +1,26 @@
-"""Run start and end signals folded as they arrive."""
+"""Run start and end signals, folded per batch as they arrive and merged when read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from govspark.operators.lineage import collapse_runs
+from govspark.operators.lineage import finish_runs, merge_runs, partial_runs
 from govspark.streaming.storage import overwrite_batch
 
 
 def stream_runs(
     spark: SparkSession, source: str, schema: StructType, out: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Fold signals per run in the state store and write every changed run with its batch.
+    """Fold the signals of each batch per run and write what they say.
 
-    The fold is the batch operator itself; Spark keeps its partial state between batches.
+    Partial rows of a run merge in any order, so nothing is kept between batches: neither a run without an end nor one that is
+    heard of again after years holds state, and a batch that is run again replaces its own rows.
     """
     signals = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(source)
     return (
-        collapse_runs(signals)
-        .writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: overwrite_batch(batch, out, batch_id))
+        signals.writeStream.foreachBatch(lambda batch, batch_id: overwrite_batch(partial_runs(batch), out, batch_id))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 second"}))
         .start()
@@ -30,7 +28,8 @@ def stream_runs(
 
 
 def latest_runs(updates: DataFrame) -> DataFrame:
-    """Current state of every run from the table that ``stream_runs`` writes."""
-    columns = [c for c in updates.columns if c not in ("project_id", "external_run_id", "batch_id")]
-    newest = updates.groupBy("project_id", "external_run_id").agg(F.max_by(F.struct(*columns), "batch_id").alias("r"))
-    return newest.select("project_id", "external_run_id", "r.*")
+    """Current state of every run from the table that ``stream_runs`` writes.
+
+    ``merge_runs`` of older batches may stand for them, and may overlap with them.
+    """
+    return finish_runs(merge_runs(updates))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from govspark.operators.ledger import entry_hash, seal
-from govspark.operators.lineage import collapse_runs
+from govspark.operators.lineage import collapse_runs, merge_runs
 from govspark.schemas import RUN_SIGNAL
 from govspark.sources.audit import append_audit, canonicalize_audit, split_audit_stream
 from govspark.streaming import latest_runs, live_tail, stream_ingest, stream_runs, stream_seal, stream_traffic
@@ -118,6 +118,33 @@ def test_runs(spark, tmp_path):
     assert got == rows(batch) and dict(got[0])["triggered_by"] == "me" and dict(got[0])["success"] is True
 
 
+def test_late_signals_need_no_state(spark, tmp_path):
+    """One file a batch; a run is heard of again after its end and after many others, and earlier numbers come late."""
+    src, out, ckpt = tmp_path / "signals", str(tmp_path / "runs"), str(tmp_path / "c")
+    src.mkdir()
+    at = lambda n: (START + timedelta(hours=n)).isoformat()
+    signal = lambda run, seq, **more: json.dumps({"project_id": "p", "external_run_id": run, "seq": seq, "received_at": at(seq or 0), **more})
+    deliveries = [
+        [signal("r", 5, ended_at=at(5), success=True, triggered_by="late")],
+        [signal(f"x{i}", 1, run_type="ETL_TRANSFORM", started_at=at(1)) for i in range(20)],
+        [signal("r", 2, run_type="AI_TRAINING", started_at=at(2), triggered_by="early"), signal("none", None)],
+        [signal("r", 7, ended_at=at(7), success=False), signal("r", 5, ended_at=at(5), success=True, triggered_by="late")],
+    ]
+    for n, lines in enumerate(deliveries):
+        (src / f"{n}.json").write_text("\n".join(lines) + "\n")
+        query = stream_runs(spark, str(src), RUN_SIGNAL, out, ckpt, ONCE)
+        finish(query)
+        assert not any(p["stateOperators"] for p in query.recentProgress)
+    updates = spark.read.parquet(out)
+    batch = collapse_runs(spark.read.schema(RUN_SIGNAL).json(str(src)))
+    rows = lambda df: sorted(str(r.asDict()) for r in df.select(*batch.columns).collect())
+    assert rows(latest_runs(updates)) == rows(batch) and len(rows(batch)) == 22
+    old = merge_runs(updates.filter("batch_id < 3"))
+    assert rows(latest_runs(old.unionByName(updates.drop("batch_id")))) == rows(batch)
+    r = batch.filter("external_run_id = 'r'").first()
+    assert (r.run_type, r.started_at, r.ended_at, r.success, r.triggered_by) == ("AI_TRAINING", START + timedelta(hours=2), START + timedelta(hours=7), False, "early")
+
+
 def test_files_per_batch_are_bounded(spark, tmp_path):
     """Three files, two at a time, then a project whose folder appears later."""
     src, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "c")
