@@ -53,6 +53,7 @@ ADMIN_GROUPS = ["admin", "metastore_admins"]
 ADMIN_ROLES = ["ACCOUNTADMIN", "SECURITYADMIN", "SYSADMIN"]
 
 # --- cloud policy documents --------------------------------------------------
+UPLOADS = "s3://uploads/"
 POLICY_DOCUMENT_VERSION = "2012-10-17"
 AI_ACTIONS = [
     "sagemaker:CreateTrainingJob",

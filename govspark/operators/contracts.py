@@ -426,9 +426,11 @@ def merge_constraints(constraints: DataFrame, group: list[str] | None = None) ->
 
     Input: ord (document order), filename, category, subject, rationale, section, mapped_regulation_id,
     retention_s and rule_json, plus the ``group`` columns within which rules are merged. Repeated
-    rationales are reduced before they are gathered, so a group holds only what its result shows.
+    rationales are reduced before they are gathered, so a group holds only what its result shows. ``object_uri``, if there is
+    such a column, is where the file is stored; files without one are known as uploads by their name.
     """
     group = group or []
+    stored = F.col("object_uri") if "object_uri" in constraints.columns else F.lit(None).cast("string")
     fingerprint = F.sha2(
         F.to_json(
             F.struct(
@@ -447,7 +449,7 @@ def merge_constraints(constraints: DataFrame, group: list[str] | None = None) ->
         F.concat(prefix, F.col("rationale")).alias("entry"),
         rank.alias("rank"),
         F.struct(
-            "filename", "category", "subject", "mapped_regulation_id", "retention_s", "rule_json", "section"
+            "filename", "category", "subject", "mapped_regulation_id", "retention_s", "rule_json", "section", stored.alias("object_uri")
         ).alias("item"),
     )
     keys = [*group, "fingerprint"]
@@ -480,6 +482,7 @@ def merge_constraints(constraints: DataFrame, group: list[str] | None = None) ->
         F.when(is_mapped, F.substring_index("m.mapped_regulation_id", "::", 1)).otherwise(F.col("m.filename")).alias("source_id"),
         F.when(is_mapped, F.lit("REGULATION")).otherwise(F.lit("CONTRACT_UPLOAD")).alias("document_type"),
         "section_reference",
+        F.coalesce(F.nullif("m.object_uri", F.lit("")), F.concat(F.lit(fixed.UPLOADS), F.col("m.filename"))).alias("document_uri"),
         F.when(zero, F.lit(fixed.ENFORCEMENT_LEVEL["AUDIT_ONLY"])).otherwise(F.lit(fixed.ENFORCEMENT_LEVEL["BLOCKING"])).alias(
             "enforcement_level"
         ),

@@ -177,10 +177,11 @@ merged AS (
 SELECT filename, 'auto-' || substr(fp, 1, 12) AS id, CASE category WHEN 'RETENTION' THEN 'Retention' WHEN 'PRIVACY' THEN 'Privacy' ELSE 'Ai_Restriction' END || ' Rule for ' || subject AS title,
   CASE WHEN mapped THEN '[Found in ' || filename || '] ' ELSE '' END || reasons || CASE WHEN zero THEN '{fixed.ZERO_RETENTION_NOTE}' ELSE '' END AS description,
   CASE WHEN mapped THEN string_split(mapped_regulation_id, '::')[1] ELSE filename END AS source_id, CASE WHEN mapped THEN 'REGULATION' ELSE 'CONTRACT_UPLOAD' END AS document_type,
-  section_reference, CASE WHEN zero THEN 2 ELSE 1 END AS enforcement_level, CASE WHEN zero THEN 31536000 ELSE retention_s END AS retention_s, rule_json, {_TAGS} AS match_tags, n AS merged_count
+  section_reference, CASE WHEN length(filename) % 2 = 0 THEN 's3://contracts/' ELSE 's3://uploads/' END || filename AS document_uri, CASE WHEN zero THEN 2 ELSE 1 END AS enforcement_level, CASE WHEN zero THEN 31536000 ELSE retention_s END AS retention_s, rule_json, {_TAGS} AS match_tags, n AS merged_count
 FROM merged""")
 def d9_merged_obligations(t: Tables) -> DataFrame:
-    merged = D.merge_constraints(_verified(t).filter("verified"), ["filename"])
+    stored = F.when(F.length("filename") % 2 == 0, F.concat(F.lit("s3://contracts/"), F.col("filename")))
+    merged = D.merge_constraints(_verified(t).filter("verified").withColumn("object_uri", stored), ["filename"])
     tags = F.array_sort(F.map_entries("match_tags"))
     return merged.withColumn("match_tags", F.array_join(F.transform(tags, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
 
