@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from govspark.operators.match import match_obligations
+from govspark.operators.match import match_obligations, match_shapes
 from govspark.operators.resolve import explain_policies, resolve_policies
 from rules import ai, geo, obligation, obligations, privacy, purpose, resources, retention
 
@@ -137,3 +137,35 @@ def test_a_resource_without_a_project_has_its_policy(spark):
     assets = resources(spark, ("urn:x:a", {}), ("urn:x:b", {})).withColumn("project_id", F.expr("CASE WHEN urn = 'urn:x:b' THEN 'p' END"))
     found = resolve_policies(assets, rows)
     assert {(r.project_id, r.resource_urn, r.retention.duration_s) for r in found.collect()} == {(None, "urn:x:a", 30 * 86400), ("p", "urn:x:b", 30 * 86400)}
+
+
+def test_equal_targets_are_matched_once(spark):
+    """Forty contracts with one and the same glob are one shape: candidates don't grow with resources times contracts."""
+    globs = ["urn:lake:prod:a*", "urn:?ake:*7"]
+    rules = [obligation(i, None, [*globs, f"urn:lake:prod:x{i}"], retention=retention(i + 1)) for i in range(40)]
+    rows = obligations(spark, *rules, obligation(40, "w", ["urn:lake:prod:a*"], retention=retention(99)))
+    assets = [("urn:lake:prod:a7", {}), ("urn:lake:prod:a8", {}), ("urn:lake:prod:x3", {}), ("urn:lake:prod:y", {})]
+    fits, members = match_shapes(resources(spark, *assets), rows)
+    assert fits.count() == 4 and members.count() == 121 and members.select("shape").distinct().count() == 42
+    found = {(r.urn, r.ord) for r in match_obligations(resources(spark, *assets), rows).collect()}
+    assert found == brute(assets, [(i, [*globs, f"urn:lake:prod:x{i}"], [], {}) for i in range(40)] + [(40, globs[:1], [], {})])
+
+
+def test_a_rule_of_several_shapes_counts_once_per_row(spark):
+    """Two include globs that both hit are one rule; a resource that comes twice still has each of its rules twice."""
+    rows = obligations(spark, obligation(0, None, ["urn:x:*", "*:a", "urn:x:a"], retention=retention(5)), obligation(1, None, ["*:a"], retention=retention(9)))
+    assets = resources(spark, ("urn:x:a", {}), ("urn:x:b", {}), ("urn:x:b", {}))
+    found = sorted((r.resource_urn, r.contributing_obligation_ids) for r in resolve_policies(assets, rows).collect())
+    assert found == [("urn:x:a", ["o0", "o1"]), ("urn:x:b", ["o0", "o0"]), ("urn:x:b", ["o0", "o0"])]
+
+
+def test_conflicts_of_many_settings(spark):
+    """The verdict follows the rules in order: weaker ones after a stronger are ignored, parameterless ones agree with all."""
+    sets = [
+        [(0, {"a": "1"}), (4, {}), (0, {"a": "2"})], [(0, {"a": "1"}), (0, {"b": "2"}), (0, {"a": "2"}), (4, {})],
+        [(4, {"a": "1"}), (1, {"a": "1"}), (1, {"a": "2"})], [(1, {"a": "1", "b": "2"}), (1, {"b": "2"}), (1, {"a": "1"})],
+        [(2, {"k": "1"}), (2, {"k": "2"})], [(3, {"epsilon": "1"}), (3, {"epsilon": "2"})], [(1, {}), (1, {"a": "1"})],
+    ]
+    rows = [obligation(i * 10 + j, None, [f"urn:x:{i}"], privacy=privacy(m, **v)) for i, s in enumerate(sets) for j, (m, v) in enumerate(s)]
+    found = resolve_policies(resources(spark, *[(f"urn:x:{i}", {}) for i in range(len(sets))]), obligations(spark, *rows))
+    assert [r.conflict for r in found.orderBy("resource_urn").select("privacy.conflict").collect()] == [False, True, False, False, False, False, False]
