@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from govspark.operators.match import match_obligations, match_shapes
+from govspark.operators.match import _owned, match_obligations, match_shapes
 from govspark.operators.resolve import explain_policies, resolve_policies
 from rules import ai, geo, obligation, obligations, privacy, purpose, resources, retention
 
@@ -169,3 +169,32 @@ def test_conflicts_of_many_settings(spark):
     rows = [obligation(i * 10 + j, None, [f"urn:x:{i}"], privacy=privacy(m, **v)) for i, s in enumerate(sets) for j, (m, v) in enumerate(s)]
     found = resolve_policies(resources(spark, *[(f"urn:x:{i}", {}) for i in range(len(sets))]), obligations(spark, *rows))
     assert [r.conflict for r in found.orderBy("resource_urn").select("privacy.conflict").collect()] == [False, True, False, False, False, False, False]
+
+
+def test_keys_of_a_resource_are_compiled_and_unique(spark):
+    """A list of keys that is exploded as it is made is interpreted; grams that repeat in a urn are owned once."""
+    lean = spark.createDataFrame(
+        [("p", "urn:abab:abab:", {"env": "prod", "none": None}), ("p", None, {}), ("p", "x", {})],
+        "project_id string, r_urn string, r_tags map<string,string>",
+    )
+    kinds = _owned(lean, [3, 12])
+    for kind in kinds:
+        plan = kind._jdf.queryExecution().executedPlan().toString()
+        assert "lambdafunction" not in plan
+    keys = [(r.r_urn, r.key) for kind in kinds for r in kind.collect() if r.key is not None]
+    assert len(keys) == len(set(keys))
+    urn, marked = "urn:abab:abab:", "\u0002urn:abab:abab:\u0003"
+    assert {k for u, k in keys if u == urn and k[:2] != "g:"} == {"t:env\u0001prod", "p:urn:", "p:urn:abab:", "p:" + urn, "o:"}
+    assert {k for u, k in keys if u == urn and k[:2] == "g:"} == {"g:" + marked[i : i + n] for n in (3, 12) for i in range(17 - n)}
+    assert {k for u, k in keys if u is None} == {"o:"} and {k for u, k in keys if u == "x"} == {"p:x", "o:", "g:\u0002x\u0003"}
+
+
+def test_changes_are_compiled(spark):
+    from govspark.operators.change import diff_policies
+
+    old = resolve_policies(resources(spark, ("a:x:1", {})), obligations(spark, obligation(1, include=["a:*"], retention=retention(5))))
+    new = resolve_policies(resources(spark, ("a:x:1", {})), obligations(spark, obligation(1, include=["a:*"], retention=retention(3))))
+    found = diff_policies(old, new)
+    lines = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate" in x]
+    assert lines and not any("CASE WHEN" in x for x in lines)
+    assert [(r.category, r.impact) for r in found.collect()] == [("Retention", "RESTRICTIVE")]
