@@ -56,10 +56,10 @@ def chunk_elements(elements: DataFrame, max_tokens: int = 800, html: str | None
     rows = elements.select(
         known.alias("doc_id"), "pos", "kind", F.when(table, body).otherwise(trimmed).alias("text"), F.col("page").cast("bigint").alias("page")
     )
+    # Written out, so that each text is cleaned and its tokens are counted once.
+    rows = materialize(rows.withColumn("tokens", count_tokens(F.col("text"))))
     # Numbering and packing move positions and sizes only; the text joins in once at the end.
-    sizes = materialize(
-        rows.select("doc_id", "pos", "kind", count_tokens(F.col("text")).alias("tokens"), F.when(title, F.col("text")).alias("title"))
-    )
+    sizes = rows.select("doc_id", "pos", "kind", "tokens", F.when(title, F.col("text")).alias("title"))
     numbered = running(
         sizes,
         ["doc_id"],
@@ -72,11 +72,13 @@ def chunk_elements(elements: DataFrame, max_tokens: int = 800, html: str | None
         numbered.filter(~title & ~table & (F.col("tokens") > 0)), ["doc_id", "cut"], "pos", "tokens", max_tokens
     ).select("doc_id", "pos", "cut", "section", "chunk_no")
     alone = numbered.filter(table).select("doc_id", "pos", "cut", "section", F.lit(-1).cast("bigint").alias("chunk_no"))
-    content = rows.filter(~title).select("doc_id", "pos", "text", "page")
+    content = rows.filter(~title).select("doc_id", "pos", "text", "page", F.col("tokens").alias("held"))
     parts = packed.unionByName(alone).join(content, ["doc_id", "pos"])
     # A chunk holds at most `max_tokens` tokens, or one longer element.
     chunks = parts.groupBy("doc_id", "cut", "chunk_no").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "text", "page"))).alias("parts"), F.any_value("section").alias("section")
+        F.array_sort(F.collect_list(F.struct("pos", "text", "page"))).alias("parts"), F.any_value("section").alias("section"),
+        # Parts are joined by line breaks, which end a token and are none.
+        F.coalesce(F.sum("held"), F.lit(0)).alias("token_count"),
     )
     first = F.get("parts", F.lit(0))
     joined = chunks.select(
@@ -86,10 +88,9 @@ def chunk_elements(elements: DataFrame, max_tokens: int = 800, html: str | None
         F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("content"),
         first["page"].alias("page"),
         F.when(F.col("chunk_no") < 0, F.lit("Table")).otherwise(F.lit("NarrativeText")).alias("element_type"),
+        "token_count",
     )
-    return joined.withColumn("token_count", count_tokens(F.col("content"))).withColumn(
-        "chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("start_pos").cast("string"))
-    )
+    return joined.withColumn("chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("start_pos").cast("string")))
 
 
 def pack_greedily(df: DataFrame, keys: list[str], order: str, size: str, limit: int) -> DataFrame:

@@ -99,3 +99,16 @@ def test_every_constraint_gets_a_verdict(spark):
     rows = [(0, 1, "delete all personal data"), (1, 1, "not in this text"), (2, 2, "within thirty days"), (3, None, "within thirty days"), (4, 9, "within thirty days"), (5, 1, None)]
     got = verify_quotes(spark.createDataFrame(rows, "ord bigint, chunk_id bigint, quote string"), chunks)
     assert {r.ord: r.verified for r in got.collect()} == {0: True, 1: False, 2: True, 3: False, 4: False, 5: False}
+
+
+def test_tokens_of_a_text_are_counted_once(spark, monkeypatch):
+    from govspark.operators import contracts
+
+    calls, real = [], contracts.count_tokens
+    monkeypatch.setattr(contracts, "count_tokens", lambda text: calls.append(1) or real(text))
+    texts = ["Title one", " a,b  c_d ", "(e)  f", "g—h.", None, "x y z"]
+    kinds = ["Title", "NarrativeText", "NarrativeText", "NarrativeText", "Table", "Table"]
+    rows = [(1, i, k, x, 1) for i, (k, x) in enumerate(zip(kinds, texts))]
+    chunks = chunk_elements(spark.createDataFrame(rows, "doc_id bigint, pos bigint, kind string, text string, page int"), 9)
+    again = chunks.select("token_count", real(F.col("content")).alias("again"), "element_type").collect()
+    assert len(again) == 4 and all(r.token_count == r.again for r in again) and len(calls) == 1
