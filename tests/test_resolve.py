@@ -189,6 +189,46 @@ def test_keys_of_a_resource_are_compiled_and_unique(spark):
     assert {k for u, k in keys if u is None} == {"o:"} and {k for u, k in keys if u == "x"} == {"p:x", "o:", "g:\u0002x\u0003"}
 
 
+def test_asked_keys_are_met_by_number_and_told_by_text(spark, monkeypatch):
+    from govspark.operators import match
+
+    lean = spark.createDataFrame(
+        [("p", "urn:abab:abab:", {"env": "prod"}), ("p", "x", {})], "project_id string, r_urn string, r_tags map<string,string>"
+    )
+    asked = spark.createDataFrame([(k, k == "o:") for k in ("g:bab", "g:urn", "g:zzz", "t:env\u0001prod", "p:urn:", "o:")], "key string, hot boolean")
+    expected = {("urn:abab:abab:", k, False) for k in ("g:bab", "g:urn", "t:env\u0001prod", "p:urn:")} | {(u, "o:", True) for u in ("urn:abab:abab:", "x")}
+
+    def met():
+        return [(r.r_urn, r.key, r.hot) for kind in _owned(lean, [3], asked) for r in kind.collect()]
+
+    grams = _owned(lean, [3], asked)[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in line and "_number" in line for line in grams.splitlines())
+    assert sorted(met()) == sorted(expected)
+    # All grams share one number: the text still tells them apart.
+    monkeypatch.setattr(match.F, "xxhash64", lambda *_: F.lit(7).cast("bigint"))
+    assert sorted(met()) == sorted(expected)
+
+
+def test_many_globs_from_one_file_are_dealt(spark, monkeypatch):
+    from govspark.operators import match
+
+    parts = []
+    monkeypatch.setattr(match, "_selectors", lambda o, gram, real=match._selectors: parts.append(o.rdd.getNumPartitions()) or real(o, gram))
+    rules = obligations(spark, *[obligation(i, include=[f"a:*{i}"], retention=retention(5)) for i in range(40)]).coalesce(1)
+    assert match_obligations(resources(spark, ("a:x:1", {})), rules).count() == 1
+    assert parts == [spark.sparkContext.defaultParallelism]
+
+
+def test_tags_of_resources_are_compiled(spark, sf_dir):
+    from workload.tables import Tables, present_map
+
+    plan = Tables(spark, sf_dir).resources()._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
+    rows = spark.createDataFrame([("1", None), (None, None), ("1", "2")], "a string, b string")
+    found = [r.m for r in rows.select(present_map({"a": F.col("a"), "b": F.col("b")}).alias("m")).collect()]
+    assert found == [{"a": "1"}, {}, {"a": "1", "b": "2"}]
+
+
 def test_changes_are_compiled(spark):
     from govspark.operators.change import diff_policies
 
