@@ -35,14 +35,20 @@ PROFILES = {
 _NO_POLICY = "No policy found for resource."
 
 
-def ctx(context: str, keys: list[str]) -> str:
-    """SQL for the value of the first key present, each tried exactly and then ignoring case."""
-    arms = []
-    for key in keys:
-        folded = f"filter(map_entries({context}), e -> lower(e.key) = '{key.lower()}')"
-        arms.append(f"WHEN map_contains_key({context}, '{key}') THEN try_element_at({context}, '{key}')")
-        arms.append(f"WHEN size({folded}) > 0 THEN try_element_at({folded}, -1).value")
-    return f"CASE {' '.join(arms)} END"
+# The context's keys and values as they are, then once more from the last, the keys in small letters.
+_FOLDED = {
+    "_names": "concat(map_keys(context), reverse(transform(map_keys(context), k -> lower(k))))",
+    "_values": "concat(map_values(context), reverse(map_values(context)))",
+}
+
+
+def ctx(keys: list[str]) -> str:
+    """SQL for the value of the first key present, each tried exactly and then ignoring case; the keys are in small letters.
+
+    Reads what ``_FOLDED`` adds. Short code: Java compiles no method as long as a test for each key and case would make it.
+    """
+    at = ", ".join(f"nullif(array_position(_names, '{key}'), 0L)" for key in keys)
+    return f"try_element_at(_values, cast(coalesce({at}) AS int))"
 
 
 def _asked(profile: str) -> dict[str, str]:
@@ -50,12 +56,12 @@ def _asked(profile: str) -> dict[str, str]:
     spec = PROFILES[profile]
     every = profile == "all"
     blank = (lambda value: value) if every else (lambda value: f"nullif({value}, '')")
-    wanted = f"lower({ctx('context', fixed.FORMAT_KEYS)})"
+    wanted = f"lower({ctx(fixed.FORMAT_KEYS)})"
     return {
-        "_region": blank(f"upper({ctx('context', fixed.REGION_KEYS)})"),
-        "_purpose": blank(f"upper({ctx('context', spec['purpose_keys'])})"),
+        "_region": blank(f"upper({ctx(fixed.REGION_KEYS)})"),
+        "_purpose": blank(f"upper({ctx(spec['purpose_keys'])})"),
         "_format": wanted if every else f"trim({wanted})",
-        "_date": ctx("context", spec["date_keys"]),
+        "_date": ctx(spec["date_keys"]),
         "_verb": "lower(action)",
     }
 
@@ -137,11 +143,12 @@ def _with_policy(requests: DataFrame, policies: DataFrame) -> DataFrame:
     return null_safe_join(requests, policies.select(*keys, *_DOMAINS, F.lit(True).alias("has_policy")), keys, "left")
 
 
-def _with_facts(joined: DataFrame, as_of: datetime, profile: str) -> DataFrame:
+def _with_facts(requests: DataFrame, as_of: datetime, profile: str) -> DataFrame:
     """Add what the checks look at: the context values and the age of the data."""
-    asked = joined.selectExpr("*", *[f"{sql} AS {name}" for name, sql in _asked(profile).items()])
+    folded = requests.selectExpr("*", *[f"{sql} AS {name}" for name, sql in _FOLDED.items()])
+    asked = folded.selectExpr("*", *[f"{sql} AS {name}" for name, sql in _asked(profile).items()])
     created = parse_instant(F.col("_date"), require_zone=profile == "all")
-    return asked.withColumn("_age", age_seconds(created, F.lit(as_of).cast("timestamp")))
+    return asked.withColumn("_age", age_seconds(created, F.lit(as_of).cast("timestamp"))).drop(*_FOLDED)
 
 
 def evaluate_requests(
@@ -172,13 +179,15 @@ def evaluate_requests(
         )
         return matched.select("request_id", "project_id", "resource_urn", *outcome)
 
-    joined = _with_policy(requests, policies)
     gate: list[tuple[str, str]] = []
-    if lineage is not None:
+    if lineage is None:
+        # Read before the join, so that no contexts are shuffled for it.
+        facts = _with_policy(_with_facts(requests, as_of, profile), policies)
+    else:
         upstream = lineage.select(
             "project_id", F.col("urn").alias("resource_urn"), "inherited_risk", "inherited_sensitivity", "poison_sources"
         )
-        joined = null_safe_join(joined, upstream, ["project_id", "resource_urn"], "left").withColumn(
+        joined = null_safe_join(_with_policy(requests, policies), upstream, ["project_id", "resource_urn"], "left").withColumn(
             "context",
             F.expr(
                 "map_concat(map_filter(context, (k, v) -> k NOT IN ('inherited_risk', 'inherited_sensitivity')), "
@@ -193,8 +202,8 @@ def evaluate_requests(
                 f"concat('Blocked by upstream constraint propagation. Sources: [', {listed}, ']')",
             )
         ]
+        facts = _with_facts(joined, as_of, profile)
     missing = [] if PROFILES[profile]["missing_policy_allows"] else [("has_policy IS NULL", f"'{_NO_POLICY}'")]
-    facts = _with_facts(joined, as_of, profile)
     checks = [*gate, *missing, *[check for pairs in _checks(profile).values() for check in pairs]]
     columns = ["request_id", "project_id", "resource_urn"]
     if profile == "all":
@@ -214,7 +223,7 @@ def explain_decisions(requests: DataFrame, policies: DataFrame, as_of: datetime,
     hits = [(" OR ".join(f"coalesce({condition}, false)" for condition, _ in checks[name]), domain) for domain, name in order]
     blocking = _case([(hit, f"'{domain}'") for hit, domain in hits])
     winner = _case([(hit, f"{domain}.reason.winning_obligation_id") for hit, domain in hits])
-    return _with_facts(_with_policy(requests, policies), as_of, profile).selectExpr(
+    return _with_policy(_with_facts(requests, as_of, profile), policies).selectExpr(
         "request_id", "project_id", "resource_urn", f"{blocking} AS blocking_domain", f"{winner} AS winning_obligation_id"
     )
 

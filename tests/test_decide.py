@@ -87,3 +87,24 @@ def test_poisoned_lineage_denies_training_only(spark, policies):
     found = {r.request_id: r for r in evaluate_requests(requests, policies, NOW, "server", lineage).collect()}
     assert found[1].reason == "Blocked by upstream constraint propagation. Sources: ['urn:x:bad']"
     assert found[2].allowed
+
+
+def test_contexts_are_read_once_and_not_shuffled(spark, policies):
+    requests = requests_of(spark)
+    for found in (evaluate_requests(requests, policies, NOW, "all"), explain_decisions(requests, policies, NOW)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        join = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+        # Above the join no context is left; below it the keys are folded by one lambda.
+        assert not any("context#" in line for line in plan[: join + 1])
+        assert sum(line.count("lower(lambda") for line in plan) == 1
+
+
+def test_keys_of_a_context_exact_before_folded_and_last_before_first(spark, policies):
+    contexts = [
+        {"REGION": "fr", "region": "cn"}, {"region": "cn", "REGION": "fr"}, {"Region": "cn", "REGION": "fr"}, {"GEO": "cn", "Region": "fr"},
+        {"region": None, "geo": "fr"}, None,
+    ]
+    rows = [(i, "p", "urn:x:geo", "read", "me", ctx) for i, ctx in enumerate(contexts)]
+    found = evaluate_requests(spark.createDataFrame(rows, REQUESTS), policies, NOW, "sdk").orderBy("request_id").collect()
+    blocked, missing = "Region 'CN' is explicitly blocked.", "Context missing 'region' attribute required for geofencing."
+    assert [r.reason for r in found] == [blocked, blocked, "Access Allowed", "Access Allowed", missing, missing]
